@@ -4,12 +4,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
+from .decontaminate import benchmark_hits, hit_digest
+from .quality import quality_verdicts
 from .staging import table
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return hit_digest(benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_verdicts(table(spark, folder, "documents")).select(*columns)
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_bpe": op9_bpe,
+}
 ORACLES: dict[str, str] = {}

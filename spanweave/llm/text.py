@@ -99,6 +99,17 @@ def with_columns(kept: StructType, **kinds: str) -> StructType:
     return StructType([*kept.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in kinds.items())])
 
 
+def carried(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by place, so that none clashes with a working column, and those names by the old ones."""
+    places = [f"__c{i}" for i in range(len(df.columns))]
+    return df.toDF(*places), dict(zip(df.columns, places, strict=True))
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``carried(like)`` in ``df``, under their own names."""
+    return df.select(*[f"__c{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
