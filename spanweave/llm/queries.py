@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_hits, hit_digest
+from .near import near_groups
 from .quality import quality_verdicts
 from .staging import table
 
@@ -18,6 +19,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(table(spark, folder, "documents")).select(*columns)
 
 
+def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
@@ -25,6 +30,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
 }
 ORACLES: dict[str, str] = {}
