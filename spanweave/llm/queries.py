@@ -7,6 +7,7 @@ from .bpe import bpe_encode
 from .decontaminate import benchmark_hits, hit_digest
 from .near import near_groups
 from .quality import quality_verdicts
+from .spans import span_report
 from .staging import table
 
 
@@ -19,6 +20,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_verdicts(table(spark, folder, "documents")).select(*columns)
 
 
+def op7_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return span_report(table(spark, folder, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
@@ -30,6 +35,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_span_dedup": op7_span_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
 }
