@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_hits, hit_digest
+from .maxent import lm_scores
 from .near import near_groups
 from .quality import quality_verdicts
 from .spans import span_report
@@ -32,11 +33,16 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_span_dedup": op7_span_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLES: dict[str, str] = {}
