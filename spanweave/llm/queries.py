@@ -10,12 +10,17 @@ from .near import near_groups
 from .quality import quality_verdicts
 from .spans import span_report
 from .staging import table
+from .toxicity import toxicity_scores
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return hit_digest(benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_verdicts(table(spark, folder, "documents")).select(*columns)
@@ -39,6 +44,7 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_span_dedup": op7_span_dedup,
     "op8_near_dedup": op8_near_dedup,
