@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
 from .decontaminate import benchmark_hits, hit_digest
+from .licenses import license_scan
 from .maxent import lm_scores
 from .near import near_groups
 from .quality import quality_verdicts
@@ -17,6 +18,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return hit_digest(benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -44,6 +49,7 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_span_dedup": op7_span_dedup,
