@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_encode
+from .chat import adjacent_pairs, preference_pairs
 from .decontaminate import benchmark_hits, hit_digest
 from .licenses import license_scan
 from .maxent import lm_scores
@@ -12,16 +13,27 @@ from .quality import quality_verdicts
 from .spans import span_report
 from .staging import table
 from .toxicity import toxicity_scores
+from .urls import RULES, url_verdicts
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return hit_digest(benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return preference_pairs(conversations, adjacent_pairs(conversations))
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan(table(spark, folder, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_verdicts(table(spark, folder, "pages"), rules)
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -49,7 +61,9 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_license_scan": op3_license_scan,
+    "op4_url_filters": op4_url_filters,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_span_dedup": op7_span_dedup,
