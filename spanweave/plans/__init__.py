@@ -1,0 +1 @@
+"""Join and window plans that the operators share."""
