@@ -10,7 +10,9 @@ that share a tree's first ``DEPTH`` values are a bucket.
    The best candidates are confirmed and joined to components, so that a large
    group collapses with a number of pairs that is linear in its size.
 2. What then shares a bucket without sharing a component is compared in full,
-   in blocks of bounded size: no cap on partners, no pairs within a component.
+   in blocks of bounded size: first by signature, then what may be linked by its
+   full sets, which come to the block once per document and not once per pair.  No
+   cap on partners, no pairs within a component.
 
 A link of similarity 0.75 shares at least one bucket with probability
 1 - (1 - 0.75**3)**20 > 0.99998.
@@ -95,6 +97,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     width = 2 * VALUES
     rows = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
         F.xxhash64("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(2 * DEPTH))).alias("key"),
+        "tree",
         "rep",
         F.substring("sig", F.col("tree") * width + 1 + 2 * DEPTH, F.lit(width - 2 * DEPTH)).alias("deep"),
     )
@@ -146,10 +149,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
         def step(batch):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                joined = np.sort(np.concatenate((x, y)), kind="stable")
-                shared = int((joined[1:] == joined[:-1]).sum())
-                keep.append(100 * shared >= PERCENT * (len(joined) - shared))
+                keep.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             chosen = batch.filter(pa.array(keep, pa.bool_()))
             return {"a": chosen.column(0), "b": chosen.column(1)}
 
@@ -158,9 +158,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
     return arrow_map(both.select("a", "b", "x", "y"), start, f"a {kind}, b {kind}").distinct()
 
 
-def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs (a > b) that share a bucket but no component, each bucket compared in blocks of bounded size."""
-    placed = members.select("key", "rep", "n").join(component_of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a > b) between classes that share a bucket but no component, each bucket compared in blocks of bounded size.
+
+    The classes outside a bucket's largest component ask, all its classes answer.
+    """
+    placed = members.select("key", "tree", "rep", "n").join(component_of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "tree", "rep", "n", F.coalesce("component", "rep").alias("component"))
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     main = shares.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.max("m").alias("most")).where("parts > 1")
     rows = placed.join(main, "key").withColumns(
@@ -172,21 +175,33 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame) -> Da
     )
     dealt = F.xxhash64("rep")
     each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    as_member = rows.select("key", "rep", "component", "query", F.lit(False).alias("asks"), F.pmod(dealt, F.col("blocks")).alias("block"), F.explode(each("parts")).alias("part"))
-    as_query = rows.where("query").select("key", "rep", "component", "query", F.lit(True).alias("asks"), F.explode(each("blocks")).alias("block"), F.pmod(dealt, F.col("parts")).alias("part"))
+    as_member = rows.select("key", "tree", "rep", "component", "query", F.lit(False).alias("asks"), F.pmod(dealt, F.col("blocks")).alias("block"), F.explode(each("parts")).alias("part"))
+    as_query = rows.where("query").select("key", "tree", "rep", "component", "query", F.lit(True).alias("asks"), F.explode(each("blocks")).alias("block"), F.pmod(dealt, F.col("parts")).alias("part"))
     kind = classes.schema["rep"].dataType.simpleString()
-    told = as_member.unionByName(as_query).join(classes.select("rep", "sig", "n_shingles"), "rep")
-    sorted_ = told.select("key", "block", "part", "rep", "component", "query", "asks", "n_shingles", "sig")
-    sorted_ = sorted_.repartition(F.col("key"), F.col("block"), F.col("part")).sortWithinPartitions("key", "block", "part")
+    told = as_member.unionByName(as_query)
+    columns = ["key", "block", "part", "tree", "rep", "component", "query", "asks"]
+
+    def in_blocks(more: DataFrame, *extra: str) -> DataFrame:
+        both = more.join(classes.select("rep", "sig", "n_shingles"), "rep").select(*columns, "n_shingles", "sig", *extra)
+        return both.repartition(F.col("key"), F.col("block"), F.col("part")).sortWithinPartitions("key", "block", "part")
+
+    def likely_rows(batches):
+        for group in grouped(batches, 3):
+            chosen = {x for q, near in across(group) for x in (q, *near)}
+            if chosen:
+                yield from group.select(columns).take(pa.array(sorted(chosen))).combine_chunks().to_batches()
 
-    def run(batches):
+    def linked(batches):
         arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
         for group in grouped(batches, 3):
-            found = across(group)
+            found = links(group)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in found], arrow[0].type), pa.array([min(x) for x in found], arrow[1].type)], schema=arrow)
 
-    return sorted_.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    first = in_blocks(told)
+    asked = staged(first.mapInArrow(likely_rows, first.select(*columns).schema))
+    sets = staged(shingle_sets(docs, doc_id, text, staged(asked.select("rep").distinct())))
+    return in_blocks(asked.join(sets, "rep"), "shingles").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def id_type(kind: str) -> pa.DataType:
@@ -213,21 +228,47 @@ def grouped(batches, n: int):
         yield pa.Table.from_batches(held)
 
 
-def across(group: pa.Table) -> list[tuple]:
-    """Likely pairs of a query and a member of different components."""
-    rep, component, query, asks, n, sig = (group.column(i).to_pylist() for i in range(3, 9))
-    member = [i for i, x in enumerate(asks) if not x]
-    if not member:
-        return []
+def across(group: pa.Table):
+    """For each asking row of a block, the rows of other components that may be linked with it and share no bucket of an earlier tree, most alike first."""
+    tree, rep, component, query, asks, n, sig = (group.column(i).to_pylist() for i in range(3, 10))
+    member = np.array([i for i, x in enumerate(asks) if not x], np.int64)
+    if not len(member):
+        return
     sigs = np.frombuffer(b"".join([sig[i] for i in member]), np.uint16).reshape(len(member), -1)
-    sizes = np.array([n[i] for i in member], np.int64)
-    found = []
+    sizes, of_query = np.array([n[i] for i in member], np.int64), np.array([query[i] for i in member])
+    reps, components = np.array([rep[i] for i in member]), np.array([component[i] for i in member])
     for q in (i for i, x in enumerate(asks) if x):
-        fits = 100 * np.minimum(sizes, n[q]) >= PERCENT * np.maximum(sizes, n[q])
-        near = np.flatnonzero(fits & ((sigs == np.frombuffer(sig[q], np.uint16)).mean(axis=1) >= LEAST_EQUAL)) if fits.any() else ()
-        for j in near:
-            m = member[j]
-            if component[m] != component[q] and (not query[m] or rep[q] < rep[m]):
+        # Of two rows that ask each other one is enough.
+        fits = (100 * np.minimum(sizes, n[q]) >= PERCENT * np.maximum(sizes, n[q])) & (components != component[q]) & (~of_query | (reps > rep[q]))
+        fits = np.flatnonzero(fits)
+        if not len(fits):
+            continue
+        equal = sigs[fits] == np.frombuffer(sig[q], np.uint16)
+        share = equal.mean(axis=1)
+        first = equal.reshape(len(fits), TREES, VALUES)[:, :, :DEPTH].all(axis=2).argmax(axis=1) == tree[q]
+        near = np.flatnonzero((share >= LEAST_EQUAL) & first)
+        if len(near):
+            yield q, member[fits[near[np.argsort(-share[near], kind="stable")]]].tolist()
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as sorted distinct hashes, have the similarity of a link."""
+    joined = np.sort(np.concatenate((x, y)), kind="stable")
+    shared = int((joined[1:] == joined[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(joined) - shared)
+
+
+def links(group: pa.Table) -> list[tuple]:
+    """Confirmed links of a block; a row that has one with a component needs no other with it."""
+    rep, component = group.column(4).to_pylist(), group.column(5).to_pylist()
+    sets: dict[int, np.ndarray] = {}
+    at = lambda i: sets[i] if i in sets else sets.setdefault(i, np.frombuffer(group.column(10)[i].as_buffer(), np.uint64))
+    found = []
+    for q, near in across(group):
+        done = set()
+        for m in near:
+            if component[m] not in done and similar(at(q), at(m)):
+                done.add(component[m])
                 found.append((rep[q], rep[m]))
     return found
 
@@ -246,7 +287,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     close = likely(neighbours(members), classes)
     best = close.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("equal"), "b"))).where(F.col("place") <= BEST).select("a", "b")
     first = staged(confirmed(best, docs, doc_id, text))
-    more = confirmed(apart(members, connected_components(first), classes), docs, doc_id, text)
+    more = staged(apart(members, connected_components(first), classes, docs, doc_id, text))
     same = table.where("digest is not null and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     linked = connected_components(first.unionByName(more))
     # Copies take the component of their class; only ids with rows of several texts tie classes together beyond that.
