@@ -2,6 +2,7 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .chat import adjacent_pairs, preference_pairs
@@ -9,6 +10,7 @@ from .decontaminate import benchmark_hits, hit_digest
 from .licenses import license_scan
 from .maxent import lm_scores
 from .near import near_groups
+from .oracles import ORACLES
 from .quality import quality_verdicts
 from .spans import span_report
 from .staging import table
@@ -22,7 +24,9 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
-    return preference_pairs(conversations, adjacent_pairs(conversations))
+    pairs = preference_pairs(conversations, adjacent_pairs(conversations))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
+    return pairs.withColumns({c: shown(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
 
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,4 +75,5 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
