@@ -20,7 +20,7 @@ ALNUM_TABLE = bytes(
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words held by one worker's hash cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Bytes of a record batch that are worked on at once.
 SLICE_BYTES = 8 << 20
 

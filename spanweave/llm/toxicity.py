@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text import STEP, WordHash, alnum_words, arrow_map, as_bytes, mixed, with_columns
+from .text import CACHE_WORDS, STEP, WordHash, alnum_words, arrow_map, as_bytes, mixed, with_columns
 
 #: Most documents of each class that the models learn from (chosen by hash where there are more).
 SAMPLE = 20_000
@@ -29,7 +29,7 @@ START = np.uint64(0x51ED270B5A1F2C37)
 
 class StemHash(WordHash):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word[:STEM])
         return value
