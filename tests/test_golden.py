@@ -3,7 +3,7 @@
 import pytest
 
 import spanweave as sw
-from conftest import rows_of
+from helpers import rows_of
 from spanweave.model import SPEC, Spec
 from spanweave.operators.joins import OTHER
 

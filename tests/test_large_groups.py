@@ -5,7 +5,7 @@ import random
 import pytest
 
 import spanweave as sw
-from conftest import rows_of
+from helpers import rows_of
 from spanweave.operators.joins import OTHER
 from spanweave.plans import prefix
 from spanweave.streaming import overlaps_with_static, stream_tiles

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import same_as_sql
+from helpers import same_as_sql
 from spanweave.queries import ORACLES, QUERIES
 
 
