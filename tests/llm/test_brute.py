@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against plain versions, the library and held-out rows."""
 
 import collections
+import hashlib
 import random
 import re
 import zlib
@@ -16,8 +17,6 @@ from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import MIN_WORDS
 from spanweave.llm.text import alnum_words, space_words
 
-import hashlib
-
 BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
