@@ -25,8 +25,8 @@ SENTENCE_END = re.compile(rb"[.!?]+(?=\s)[ \t]*\n?|\n")
 #: A second odd multiplier, and the inverses of both modulo 2**64.
 STEP_2 = np.uint64(0xD6E8FEB86659FD93)
 INVERSE, INVERSE_2 = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (STEP, STEP_2))
-#: Documents with repeated spans up to which their places are broadcast.
-BROADCAST_DOCS = 200_000
+#: Documents with repeated spans, and spans, up to which their places are broadcast.
+BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 2_000_000
 
 
 def sentence_ends(raw: bytes) -> np.ndarray:
@@ -135,7 +135,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     never a first occurrence.
     """
     found = staged(covered(repeated_spans(docs, doc_id, text))).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    found = F.broadcast(found) if found.count() <= BROADCAST_DOCS else found
+    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
+    found = F.broadcast(found) if rows <= BROADCAST_DOCS and spans <= BROADCAST_SPANS else found
     joined = docs.join(found, F.col(doc_id) == F.col("__id"), "left").drop("__id")
     names = joined.columns
     at, text_at = names.index("__spans"), names.index(text)
