@@ -45,15 +45,15 @@ def levels_needed(longest: int, base: int) -> int:
     return top
 
 
-def range_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], condition: Column, bin_width: int | None = None) -> DataFrame:
+def range_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], condition: Column, bin_width: int | None = None, extents: tuple | None = None) -> DataFrame:
     """Pairs of rows of equal ``g`` that meet ``condition``, which must imply that the ranges of both overlap.
 
     ``g`` must be a column of both sides and all other names distinct.  Bounds, a median length and the
-    levels in use are read first, in one small aggregation per side.
+    levels in use are read first, in one small aggregation per side (``extents``: their ``extent``, where it is known).
     """
-    seen = [_lengths(x, *r) for x, r in ((a, a_range), (b, b_range))]
-    base = bin_width or base_width(*[x[0] for x in seen])
-    top = levels_needed(max(x[1] or 1 for x in seen), base)
+    seen = extents or [extent(x, *r) for x, r in ((a, a_range), (b, b_range))]
+    base = bin_width or base_width(*[x.median for x in seen])
+    top = levels_needed(max(x.longest or 1 for x in seen), base)
     levels = list(range(top + 1))
     if top:
         own = [set(r[0] for r in x.select(level_of(F.col(r1) - F.col(r0), base, top)).distinct().collect()) for x, (r0, r1) in ((a, a_range), (b, b_range))]
@@ -67,6 +67,7 @@ def range_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tu
     return met.drop("__k", "__bin", "__level_a", "__level_b", "__first_a", "__first_b")
 
 
-def _lengths(df: DataFrame, start: str, end: str):
+def extent(df: DataFrame, start: str, end: str):
+    """Number of rows (``n``), least start and greatest end (``low``, ``high``), ``median`` and ``longest`` length."""
     length = F.col(end) - F.col(start)
-    return df.agg(F.percentile_approx(length, 0.5, 1000), F.max(length)).first()
+    return df.agg(F.count("*").alias("n"), F.min(start).alias("low"), F.max(end).alias("high"), F.percentile_approx(length, 0.5, 1000).alias("median"), F.max(length).alias("longest")).first()

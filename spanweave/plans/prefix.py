@@ -18,9 +18,10 @@ STRETCH_ROWS = 2_000_000
 class Stretches:
     """``df`` with ``__b``, the stretch of each row by the long column ``pos``."""
 
-    def __init__(self, df: DataFrame, pos: str, rows: int | None = None):
-        n, low, high = df.agg(F.count("*"), F.min(pos), F.max(pos)).first()
-        parts = -(-n // (rows or STRETCH_ROWS)) if n else 1
+    def __init__(self, df: DataFrame, pos: str, bounds: tuple[int, int | None, int | None] | None = None):
+        """``bounds``: the number of rows and the least and greatest ``pos``, where they are known."""
+        n, low, high = bounds or df.agg(F.count("*"), F.min(pos), F.max(pos)).first()
+        parts = -(-n // STRETCH_ROWS) if n else 1
         self.pos = pos
         self.width = max(1, (high - low) // parts + 1) if n else 1
         self.single = parts <= 1
