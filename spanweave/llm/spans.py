@@ -80,7 +80,7 @@ def spans_of(raw: bytes, cache: WordHash, power: tuple[np.ndarray, ...]) -> tupl
 
 
 def span_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``hash``, ``check``, ``doc_id``, ``start`` and ``stop`` (sentences) of every span of documents with an id."""
+    """``hash``, ``check``, ``doc_id``, ``start`` and ``stop`` (sentences) of every span of documents with an id, and whether the document has it before (``again``)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def start():
@@ -96,24 +96,32 @@ def span_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 got.append(spans_of(raw or b"", cache, power))
             rows = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
             pairs = np.concatenate([x[2] for x in got])
-            return {"hash": np.concatenate([x[0] for x in got]), "check": np.concatenate([x[1] for x in got]), "doc_id": batch.column(0).take(pa.array(rows)), "start": pairs[:, 0], "stop": pairs[:, 1]}
+            again = np.concatenate([repeats(x[0]) for x in got])
+            return {"again": again, "hash": np.concatenate([x[0] for x in got]), "check": np.concatenate([x[1] for x in got]), "doc_id": batch.column(0).take(pa.array(rows)), "start": pairs[:, 0], "stop": pairs[:, 1]}
 
         return step
 
     chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(chosen, start, f"hash long, check int, doc_id {kind}, start int, stop int")
+    return arrow_map(chosen, start, f"hash long, check int, doc_id {kind}, start int, stop int, again boolean")
+
+
+def repeats(hashes: np.ndarray) -> np.ndarray:
+    """Which hashes stand earlier in the array."""
+    out = np.ones(len(hashes), bool)
+    out[np.unique(hashes, return_index=True)[1]] = False
+    return out
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``start`` and ``stop`` of the occurrences of repeated spans that aren't the first.
 
-    The least occurrence of a hash is found with partial sums before the shuffle, so a passage of many
-    documents is a few rows; the join back has one row per repeated hash on one side, so a hot one can be split.
+    Within a document the repeats are known at once.  The first document of a hash is found with partial
+    minima before the shuffle, so a passage of many documents is a few rows; the join back has one
+    row per repeated hash on one side, so a hot one can be split.
     """
     spans = span_table(docs, doc_id, text)
-    place = F.struct("doc_id", "start")
-    firsts = spans.groupBy("hash", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "check", "first")
-    return spans.join(firsts, ["hash", "check"]).where(place != F.col("first")).select("doc_id", "start", "stop")
+    firsts = spans.groupBy("hash", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("hash", "check", "first")
+    return spans.join(firsts, ["hash", "check"], "left").where("again or doc_id <> first").select("doc_id", "start", "stop")
 
 
 def covered(spans: DataFrame) -> DataFrame:
