@@ -27,7 +27,7 @@ from .text import arrow_map, as_bytes, with_columns
 #: Key of a pair: left id * PAIR + right id.
 PAIR = 1 << 32
 #: Words whose tokens one worker keeps, and bytes of text it encodes together.
-KEPT_WORDS, BATCH_BYTES = 300_000, 16 << 20
+KEPT_WORDS, BATCH_BYTES = 150_000, 8 << 20
 
 
 @dataclass
