@@ -173,3 +173,14 @@ def test_scores(odd):
     assert all(r.score < 0 and r.n_known <= r.n_tokens for v in got.values() for r in v)
     assert lm_scores(odd, train="false").agg(F.max("n_known")).first()[0] == 0
     assert lm_scores(odd.where("false")).isEmpty()
+
+
+def test_rarer_words_are_scored_by_context(spark):
+    common = [" ".join(f"w{i}" for i in range(1100))] * 6
+    pairs = [f"a{i} b{i}" for i in range(40)] * 3
+    held = ["a7 b7", "a7 b8", "z b7"]
+    rows = [(i, t, i < 1000) for i, t in enumerate(common + pairs)] + [(1000 + i, t, False) for i, t in enumerate(held)]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), train="learn").collect()}
+    met, other, new = (got[1000 + i] for i in range(3))
+    assert met.base_score == other.base_score and met.score > other.score + 2
+    assert (met.n_known, other.n_known, new.n_known) == (3, 3, 2) and all(r.score < 0 for r in got.values())
