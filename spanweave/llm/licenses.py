@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block (a line) meets a template if it holds at least ``PERCENT`` percent of the template's
-distinct words.  Words are ordered by how many blocks hold them over the whole
+A block is a line, and also what lies around a wrap: the last words of a line and the first ones of the
+lines that go on from it, on each side twice as many as the largest template has.  A line goes on if it has
+``WRAPPED`` characters and the next one has words; a shorter line ends what it closes.
+A block meets a template if it holds at least ``PERCENT`` percent of the template's distinct words.  Words are ordered by how many blocks hold them over the whole
 corpus, rarest first.  A block that shares enough words with a template shares
 one of the template's first ``size - needed + 1`` words (prefix filter), has at
 least ``needed`` words of any template (length filter), and from the places of the
@@ -38,6 +40,8 @@ TEMPLATES = {
 }
 #: Share of a template's words that a block needs, in percent.
 PERCENT = 90
+#: Characters of a line from which the next line goes on with its text.
+WRAPPED = 24
 
 
 def prefix_table(docs: DataFrame, templates: dict[str, str], order: list[str], needed: dict[str, int]) -> DataFrame:
@@ -54,10 +58,42 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def blocks_of(text: Column, order: list[str], least: int) -> Column:
-    """The distinct template words of each line, in the given order, for lines with ``least`` or more of them."""
+def lines_of(text: Column) -> Column:
+    """For each line of a lower-cased text its ``words`` and whether it ``goes_on`` by its length."""
+    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)).alias("words"), (F.length(x) >= WRAPPED).alias("goes_on")))
+
+
+def possible(docs: DataFrame, templates: dict[str, str], needed: dict[str, int]) -> DataFrame:
+    """``docs`` with ``lines``; none for a text without any of each template's ``size - needed + 1`` longest words.
+
+    The prefix filter holds for any order of words, so no block of such a text meets a template.
+    """
+    first = [sorted(set(t.split()), key=lambda w: (-len(w), w))[: max(0, len(set(t.split())) - needed[t] + 1)] for t in templates]
+    lowered = docs.withColumn("lowered", F.translate("text", UPPER, LOWER))
+    meets = F.lit(False)
+    for w in sorted({w for x in first for w in x}):
+        meets = meets | F.contains("lowered", F.lit(w))
+    return lowered.withColumn("lowered", F.when(meets, F.col("lowered")).otherwise("")).withColumn("lines", lines_of(F.col("lowered"))).drop("lowered")
+
+
+def blocks_of(lines: Column, order: list[str], least: int, around: int) -> Column:
+    """The distinct template words of each block, in the given order, for blocks with ``least`` or more of them; ``around``: words on each side of a wrap."""
     known = F.array(*[F.lit(x) for x in order])
-    sets = F.transform(F.split(F.translate(text, UPPER, LOWER), "\n"), lambda line: F.array_intersect(known, F.regexp_extract_all(line, F.lit(WORD), F.lit(0))))
+    none = F.array().cast("array<string>")
+
+    def more(done: Column, line: Column) -> Column:
+        taken = done["open"] & (F.size(done["words"]) < around)
+        return F.struct(
+            F.when(taken, F.concat(done["words"], F.slice(line["words"], F.lit(1), F.lit(around)))).otherwise(done["words"]).alias("words"),
+            (taken & line["goes_on"] & (F.size(line["words"]) > 0)).alias("open"),
+        )
+
+    def wrap(line: Column, i: Column) -> Column:
+        before = F.slice(line["words"], F.greatest(F.size(line["words"]) - around, F.lit(0)) + 1, F.lit(around))
+        after = F.aggregate(F.slice(lines, i + 2, F.lit(around)), F.struct(none.alias("words"), F.lit(True).alias("open")), more)["words"]
+        return F.when(line["goes_on"] & (F.size(line["words"]) > 0) & (F.size(after) > 0), F.array_intersect(known, F.concat(before, F.slice(after, F.lit(1), F.lit(around)))))
+
+    sets = F.concat(F.transform(lines, lambda x: F.array_intersect(known, x["words"])), F.transform(lines, wrap))
     return F.filter(sets, lambda x: F.size(x) >= least)
 
 
@@ -90,14 +126,16 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     sizes = {t: len(set(t.split())) for t in templates}
     needed = {t: max(1, -(-percent * n // 100)) for t, n in sizes.items()}
     least = min(needed.values(), default=1)
+    around = 2 * max((len(t.split()) for t in templates), default=1)
     # One row per template word, whatever the corpus.
-    seen = docs.select(F.explode(blocks_of(whole, vocabulary, least)).alias("block")).select(F.explode("block").alias("word"))
+    seen = possible(docs.select(whole.alias("text")), templates, needed).select(F.explode(blocks_of(F.col("lines"), vocabulary, least, around)).alias("block")).select(F.explode("block").alias("word"))
     frequency = dict(seen.groupBy("word").agg(F.count("*").alias("n")).collect())
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     prefixes = prefix_table(docs, templates, order, needed)
 
     marked = docs.select("doc_id", whole.alias("text"), F.monotonically_increasing_id().alias("row"))
-    worded = marked.select("doc_id", "row", words_of(F.col("text")).alias("words"), blocks_of(F.col("text"), order, least).alias("blocks"))
+    worded = possible(marked, templates, needed).select("doc_id", "row", words_of(F.col("text")).alias("words"), "lines")
+    worded = worded.select("doc_id", "row", "words", blocks_of(F.col("lines"), order, least, around).alias("blocks"))
     spaced = worded.withColumn("spaced", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
     found = [places(F.col("spaced"), p) for p in phrases]
     based = spaced.select(

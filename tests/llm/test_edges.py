@@ -184,3 +184,16 @@ def test_rarer_words_are_scored_by_context(spark):
     met, other, new = (got[1000 + i] for i in range(3))
     assert met.base_score == other.base_score and met.score > other.score + 2
     assert (met.n_known, other.n_known, new.n_known) == (3, 3, 2) and all(r.score < 0 for r in got.values())
+
+
+def test_licenses_over_wrapped_lines(spark):
+    notices = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+        " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+        "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU\n# General Public License as published",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software",
+        "Permission is hereby granted, free of charge,\nno\nto any person obtaining a copy of this software",
+    ]
+    got = by_id(license_scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")))
+    assert [got[i][0].labels for i in range(5)] == ["mit-notice", "bsd", "gpl,gpl-notice", "", ""]
+    assert got[0][0].score == got[1][0].score == 1.0
