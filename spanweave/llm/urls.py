@@ -29,6 +29,11 @@ TRACKING = r"[?&]utm_[^&]*"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: The same with the attributes of a tag in any order, and a target's scheme.
+LINK, META = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+IS_CANONICAL, IS_REFRESH = r"""(?is)\brel\s*=\s*["']?canonical\b""", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b"""
+TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -47,22 +52,41 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query))
 
 
-def absolute(target: Column, host: Column) -> Column:
-    """A link target as a URL: absolute ones, and those relative to the host; null for others."""
+def without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments carried out."""
+    first = F.array().cast("array<string>")
+    parts = F.aggregate(
+        F.split(path, "/"),
+        first,
+        lambda done, x: F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x))),
+    )
+    return F.array_join(parts, "/")
+
+
+def absolute(target: Column, host: Column, path: Column) -> Column:
+    """A link target as a URL: absolute ones, and those relative to the host or to the page's path; null for other schemes."""
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    folder = F.when(path.startswith("/"), F.regexp_extract(path, r"(?s)^.*/", 0)).otherwise("/")
+    place = F.when(own == "", path).when(own.startswith("/"), without_dots(own)).otherwise(without_dots(F.concat(folder, own)))
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(SCHEME + "//"), target)
         .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-        .when(target.startswith("/"), F.concat(F.lit("http://"), host, target))
+        .when(~target.rlike(SCHEME), F.concat(F.lit("http://"), host, place, rest))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Edges (a, b) from each page's node to those of its canonical link and its redirect."""
-    page = F.col(html)
-    canonical = F.when(F.contains(page, F.lit("anonical")) | F.contains(page, F.lit("ANONICAL")), F.regexp_extract(F.regexp_extract(page, CANONICAL, 0), HREF, 1))
-    refresh = F.when(page.rlike(r"(?i)http-equiv"), F.regexp_extract(page, REFRESH, 1))
-    found = pages.select(F.col(url).alias("url"), F.explode(F.array_compact(F.array(F.nullif(canonical, F.lit("")), F.nullif(refresh, F.lit(""))))).alias("target"))
-    return found.select(node_of(F.col("url")).alias("a"), node_of(absolute(F.col("target"), host_of(F.col("url")))).alias("b")).where("a <> b")
+    """Edges (a, b) from each page's node to those of its canonical links and its redirects."""
+    page, link = F.col(html), F.col(url)
+
+    def targets(tag: str, kind: str, target: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(page, F.lit(tag), F.lit(0)), lambda x: x.rlike(kind))
+        return F.when(page.rlike(kind), F.transform(tags, lambda x: F.regexp_extract(x, target, 1))).otherwise(F.array().cast("array<string>"))
+
+    both = F.concat(targets(LINK, IS_CANONICAL, HREF), targets(META, IS_REFRESH, TARGET))
+    found = pages.select(link.alias("url"), F.explode(F.array_distinct(both)).alias("target")).where("target <> ''")
+    return found.select(node_of(F.col("url")).alias("a"), node_of(absolute(F.col("target"), host_of(F.col("url")), path_of(F.col("url")))).alias("b")).where("a <> b")
 
 
 def fitting(rules: Column, host: Column, path: Column) -> Column:

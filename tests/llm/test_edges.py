@@ -14,7 +14,7 @@ from spanweave.llm.near import near_dedup, near_groups
 from spanweave.llm.quality import quality_filter, quality_verdicts
 from spanweave.llm.spans import span_dedup, span_report
 from spanweave.llm.toxicity import toxicity_scores
-from spanweave.llm.urls import url_verdicts
+from spanweave.llm.urls import alias_edges, url_verdicts
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -197,3 +197,12 @@ def test_licenses_over_wrapped_lines(spark):
     got = by_id(license_scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")))
     assert [got[i][0].labels for i in range(5)] == ["mit-notice", "bsd", "gpl,gpl-notice", "", ""]
     assert got[0][0].score == got[1][0].score == 1.0
+
+
+def test_aliases_of_all_forms(spark):
+    html = """<link rel=canonical href='next.html'><link href="?p=2" rel="canonical"><link rel="canonical" href="../up/./x">
+    <meta content="0; url=/top" http-equiv=refresh><meta http-equiv="refresh" content="1;URL=deep/er?u=http://z.org/"><link rel="canonical" href="mailto:a@b">"""
+    pages = [(1, "http://h.com/a/b/c", html), (2, "http://h.com", '<link rel="canonical" href="in">'), (3, "zzz", html), (4, "http://h.com/q", None)]
+    got = sorted(map(tuple, alias_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()))
+    to = ["h.com/a/b/c?p=2", "h.com/a/b/deep/er?u=http://z.org/", "h.com/a/b/next.html", "h.com/a/up/x", "h.com/top"]
+    assert got == [("h.com", "h.com/in"), *(("h.com/a/b/c", x) for x in to)]
