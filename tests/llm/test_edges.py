@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm.bpe import bpe_decode, bpe_encode
-from spanweave.llm.chat import preference_pairs
+from spanweave.llm.chat import adjacent_pairs, preference_pairs
 from spanweave.llm.components import connected_components
 from spanweave.llm.decontaminate import benchmark_hits, decontaminate, hit_digest
 from spanweave.llm.licenses import license_scan
@@ -206,3 +206,13 @@ def test_aliases_of_all_forms(spark):
     got = sorted(map(tuple, alias_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()))
     to = ["h.com/a/b/c?p=2", "h.com/a/b/deep/er?u=http://z.org/", "h.com/a/b/next.html", "h.com/a/up/x", "h.com/top"]
     assert got == [("h.com", "h.com/in"), *(("h.com/a/b/c", x) for x in to)]
+
+
+def test_adjacent_conversations_with_a_prompt_of_several_turns(spark):
+    shared = [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "more")]
+    talks = {2: [*shared, ("assistant", "yes")], 3: [*shared, ("assistant", "no")], 5: shared, 6: shared}
+    turns = spark.createDataFrame([(c, i, *t) for c, x in talks.items() for i, t in enumerate(x)], "conv_id long, turn int, role string, text string")
+    (got,) = preference_pairs(turns, adjacent_pairs(turns)).collect()
+    assert (got.chosen_id, got.rejected_id, got.n_prompt_turns, got.usable) == (2, 3, 4, True)
+    assert got.prompt == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in shared)
+    assert (got.chosen, got.rejected) == tuple(f"<|im_start|>assistant\n{x}<|im_end|>\n" for x in ("yes", "no"))
