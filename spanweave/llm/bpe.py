@@ -14,6 +14,7 @@ import gc
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -26,8 +27,9 @@ from .text import arrow_map, as_bytes, with_columns
 
 #: Key of a pair: left id * PAIR + right id.
 PAIR = 1 << 32
-#: Words whose tokens one worker keeps, and bytes of text it encodes together.
-KEPT_WORDS, BATCH_BYTES = 150_000, 8 << 20
+#: Words whose tokens one worker keeps between batches, bytes of text it encodes together, and tokens it decodes together.
+KEPT_WORDS, BATCH_BYTES, DECODED = 100_000, 1 << 20, 1 << 17
+SPACE = re.compile(rb"[\t-\r ]")
 
 
 @dataclass
@@ -203,18 +205,15 @@ def byte_names() -> list[str]:
 
 
 class Encoder:
-    """Encodes texts of one worker; keeps the tokens of up to ``KEPT_WORDS`` words."""
+    """Encodes texts of one worker in batches; keeps the tokens of up to ``KEPT_WORDS`` words from one batch to the next."""
 
     def __init__(self, model: WordBpe):
         self.model = model
         self.ids: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
+        self.decoder = Decoder(model.tokens)
 
     def learn(self, texts: list[bytes]) -> None:
         """Encodes all words of the texts that aren't known yet, together."""
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-            self.shown.clear()
         words: set[bytes] = set()
         for text in texts:
             words.update(text.split())
@@ -239,30 +238,66 @@ class Encoder:
                 several.append((word, found))
         pieces = {x for _, x in single}
         pieces.update(x for _, row in several for x in row if isinstance(x, bytes))
-        ids, shown = self.tokens_of(list(pieces))
+        ids = self.tokens_of(list(pieces))
         for word, piece in single:
-            self.ids[word], self.shown[word] = ids[piece], shown[piece]
-        tokens = self.model.tokens
+            self.ids[word] = ids[piece]
         for word, row in several:
             self.ids[word] = b"".join([ids[x] if isinstance(x, bytes) else np.uint32(x).tobytes() for x in row])
-            self.shown[word] = b" ".join([shown[x] if isinstance(x, bytes) else tokens[x].encode() for x in row])
 
-    def tokens_of(self, pieces: list[bytes]) -> tuple[dict[bytes, bytes], dict[bytes, bytes]]:
-        """The ids, and the token strings joined by spaces, of each piece."""
-        ids, shown = {}, {}
-        names = [t.encode() for t in self.model.tokens]
+    def tokens_of(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each piece as little-endian 32-bit numbers."""
         symbols, ends = self.model.encode_pieces(pieces)
-        raw, listed, at = symbols.tobytes(), symbols.tolist(), 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            ids[piece] = raw[4 * at : 4 * end]
-            shown[piece] = names[listed[at]] if end == at + 1 else b" ".join([names[i] for i in listed[at:end]])
-            at = end
-        return ids, shown
+        raw, stops = symbols.tobytes(), (4 * ends).tolist()
+        return {piece: raw[a:b] for piece, a, b in zip(pieces, [0, *stops], stops, strict=False)}
+
+    def ids_of(self, text: bytes) -> bytes:
+        return b"".join(map(self.ids.__getitem__, text.split()))
 
     def encode(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit numbers, and the decoded text in UTF-8, of a text whose words are known."""
-        words = text.split()
-        return b"".join(map(self.ids.__getitem__, words)), b" ".join(filter(None, map(self.shown.__getitem__, words)))
+        ids = self.ids_of(text)
+        return ids, self.decoder.decode([ids])[0][:-1]
+
+    def encode_all(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids, and each token's text with a space after it, of every text; then words go if there are too many."""
+        self.learn(texts)
+        ids = list(map(self.ids_of, texts))
+        if len(self.ids) > KEPT_WORDS:
+            self.ids.clear()
+        return list(zip(ids, self.decoder.decode(ids), strict=True))
+
+
+class Decoder:
+    """Token ids to text: each token's bytes with a space after it, unused ids none."""
+
+    def __init__(self, tokens: list[str]):
+        shown = [t.encode() + b" " if t else b"" for t in tokens]
+        self.size = np.fromiter(map(len, shown), np.int32, len(shown))
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.flat = np.frombuffer(b"".join(shown), np.uint8)
+
+    def decode(self, lists: list[bytes]) -> list[bytes]:
+        """The bytes of every list of ids (little-endian, 32 bits, all known)."""
+        ids = np.frombuffer(b"".join(lists), "<u4")
+        stops = np.cumsum(self.size[ids], dtype=np.int64)
+        parts = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            size = self.size[part]
+            stop = np.cumsum(size, dtype=np.int32)
+            parts.append(self.flat[np.arange(stop[-1], dtype=np.int32) + np.repeat(self.start[part] - stop + size, size)].tobytes())
+        raw = b"".join(parts)
+        ends = np.concatenate(([0], stops))[np.cumsum([0, *(len(x) // 4 for x in lists)])].tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def cut_at_spaces(text: bytes, size: int):
+    """A text in parts of about ``size`` bytes that end where words end."""
+    at = 0
+    while len(text) - at > size and (m := SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
@@ -270,12 +305,16 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     Returns the columns ``keep`` with ``n_tokens long``, and ``ids array<int>`` and ``decoded
     string``, or with ``digest`` their SHA-256 sums ``ids_sha256`` and ``decoded_sha256``
-    instead.  Special strings of the vocabulary in a text are their tokens, as the library has
-    it.  A map over partitions without a shuffle; repeated rows give repeated results.  The
-    vocabulary at ``path`` is read on the driver and broadcast; it doesn't grow with the data.
+    instead; a column of ``keep`` that has one of these names is left out.  Special strings of the
+    vocabulary in a text are their tokens, as the library has it.  A map over partitions without a
+    shuffle; repeated rows give repeated results.  The vocabulary at ``path`` is read on the driver
+    and broadcast; it doesn't grow with the data.  A worker holds ``BATCH_BYTES`` of text and the tokens of
+    ``KEPT_WORDS`` words and of that text's; longer texts are encoded part by part.
     """
     spark: SparkSession = docs.sparkSession
     model = spark.sparkContext.broadcast(WordBpe.load(path))
+    made = {"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"}
+    keep = tuple(x for x in keep if x not in {"n_tokens", *made})
     kept = docs.select(*keep).schema
 
     def start():
@@ -283,29 +322,36 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
         def step(batch):
             texts = [x or b"" for x in as_bytes(batch.column(len(keep)))]
-            n, ids, shown = [], [], []
-            at = 0
-            while at < len(texts):
-                stop, size = at, 0
-                while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_BYTES):
-                    size += len(texts[stop])
-                    stop += 1
-                # The collector would walk the word tables again and again; they hold no cycles.
+            ids, shown = [[] for _ in texts], [[] for _ in texts]
+            held, size = [], 0
+
+            def encode():
+                # The collector would walk the word table again and again; it holds no cycles.
                 gc.disable()
-                encoder.learn(texts[at:stop])
-                for t in texts[at:stop]:
-                    i, d = encoder.encode(t)
-                    n.append(len(i) // 4)
-                    ids.append(hashlib.sha256(i).hexdigest() if digest else np.frombuffer(i, "<i4"))
-                    shown.append(hashlib.sha256(d).hexdigest() if digest else d.decode())
-                at = stop
+                for (row, _), (i, d) in zip(held, encoder.encode_all([x for _, x in held]), strict=True):
+                    ids[row].append(i)
+                    shown[row].append(d)
                 gc.enable()
-            made = {"ids_sha256": ids, "decoded_sha256": shown} if digest else {"ids": ids, "decoded": shown}
-            return {f.name: batch.column(i) for i, f in enumerate(kept)} | {"n_tokens": n} | made
+                held.clear()
+
+            for row, whole in enumerate(texts):
+                for part in cut_at_spaces(whole, BATCH_BYTES):
+                    if held and size + len(part) > BATCH_BYTES:
+                        encode()
+                        size = 0
+                    held.append((row, part))
+                    size += len(part)
+            encode()
+            n, of_ids, of_shown = [], [], []
+            for i, d in zip(ids, shown, strict=True):
+                i, d = b"".join(i), b"".join(d)[:-1]
+                n.append(len(i) // 4)
+                of_ids.append(hashlib.sha256(i).hexdigest() if digest else np.frombuffer(i, "<i4"))
+                of_shown.append(hashlib.sha256(d).hexdigest() if digest else d.decode())
+            return {f.name: batch.column(i) for i, f in enumerate(kept)} | {"n_tokens": n} | dict(zip(made, (of_ids, of_shown), strict=True))
 
         return step
 
-    made = {"ids_sha256": "string", "decoded_sha256": "string"} if digest else {"ids": "array<int>", "decoded": "string"}
     schema = with_columns(kept, n_tokens="long", **made)
     return arrow_map(docs.select(*keep, F.col(text).alias("__text")), start, schema, slice_bytes=BATCH_BYTES)
 
@@ -313,14 +359,15 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 def bpe_decode(rows: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Decoded text of id arrays: token strings joined by a space; null and empty arrays give the empty text, unknown ids none."""
     model = rows.sparkSession.sparkContext.broadcast(WordBpe.load(path).tokens)
+    keep = tuple(x for x in keep if x != "decoded")
     kept = rows.select(*keep).schema
 
     def start():
-        tokens = model.value
+        decoder = Decoder(model.value)
 
         def step(batch):
-            lists = batch.column(len(keep)).to_pylist()
-            shown = [" ".join([tokens[i] for i in x or () if i is not None and 0 <= i < len(tokens) and tokens[i]]) for x in lists]
+            known = [[i for i in x or () if i is not None and 0 <= i < len(decoder.size)] for x in batch.column(len(keep)).to_pylist()]
+            shown = [x[:-1].decode() for x in decoder.decode([np.array(x, "<u4").tobytes() for x in known])]
             return {f.name: batch.column(i) for i, f in enumerate(kept)} | {"decoded": shown}
 
         return step

@@ -136,10 +136,10 @@ def quality_verdicts(docs: DataFrame, text: str = "text") -> DataFrame:
 def quality_filter(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they are.
 
-    The counts are made a second time beside the text rather than joined to it, so that no text is shuffled.
+    Each text is measured once: rows and counts are written to the shared folder, and the sketches read only
+    the counts there.  No text is shuffled.
     """
-    limits = thresholds(shares(quality_metrics(docs, text)))
     held, own = carried(docs)
     named = held.withColumns({"lang": F.col(own["lang"]), "source": F.col(own["source"])})
-    verdicts = judged(shares(quality_metrics(named, own[text], (*held.columns, "lang", "source"))), limits)
-    return restored(verdicts.where("kept"), docs)
+    measured = shares(staged(quality_metrics(named, own[text], (*held.columns, "lang", "source"))))
+    return restored(judged(measured, thresholds(measured)).where("kept"), docs)

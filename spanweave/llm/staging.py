@@ -7,13 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests), a temporary folder that becomes it."""
+    """``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (as in tests) gets a temporary folder that becomes it; a cluster
+    raises ValueError, since no folder of one machine would be seen by the others.
+    """
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if known is None:
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="shared-")
     if not current.isDefined():
         context.setCheckpointDir(known)

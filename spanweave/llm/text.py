@@ -5,10 +5,13 @@ Texts are handled as UTF-8 bytes: ``bytes.lower`` touches A-Z only and
 of this package are single C calls.
 """
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -21,8 +24,8 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words held by one worker's hash cache before it starts anew.
 CACHE_WORDS = 150_000
-#: Bytes of a record batch that are worked on at once.
-SLICE_BYTES = 8 << 20
+#: Bytes of a record batch that are worked on at once, and of the batches that Spark sends to workers.
+SLICE_BYTES, SENT_BYTES = 2 << 20, 4 << 20
 
 
 def alnum_words(text: bytes | None) -> list[bytes]:
@@ -79,9 +82,14 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def arrow_map(df: DataFrame, function, schema, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """``mapInArrow`` of a function from a record batch to a dict of columns (or None), made once per partition by ``function()``."""
+    """``mapInArrow`` of a function from a record batch to a dict of columns (or None), made once per partition by ``function()``.
+
+    Sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to ``SENT_BYTES`` where it is larger, and gives
+    the memory of a partition back at its end: workers are used again and would otherwise only grow.
+    """
     schema = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches):
         step = function()
@@ -90,10 +98,28 @@ def arrow_map(df: DataFrame, function, schema, slice_bytes: int = SLICE_BYTES) -
                 out = step(part)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([as_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        step = out = batch = part = None
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).removesuffix("b")
+    if not size.isdigit() or int(size) > SENT_BYTES:
+        spark.conf.set(name, str(SENT_BYTES))
+
+
+def release() -> None:
+    """Gives unused memory of this worker back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def with_columns(kept: StructType, **kinds: str) -> StructType:
     """A new schema: the fields of ``kept`` and those given by name and DDL type."""
     return StructType([*kept.fields, *(StructField(n, _parse_datatype_string(k)) for n, k in kinds.items())])

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spanweave.llm.bpe import Encoder, WordBpe
+from spanweave.llm.bpe import Encoder, WordBpe, bpe_encode
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import MIN_WORDS
@@ -44,6 +44,17 @@ def test_bpe_on_odd_characters():
     assert [encoder.encode(t) for t in raw] == [(i, d.encode()) for i, d in library(texts)]
 
 
+def test_bpe_of_texts_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr("spanweave.llm.bpe.BATCH_BYTES", 200)
+    monkeypatch.setattr("spanweave.llm.bpe.KEPT_WORDS", 20)
+    monkeypatch.setattr("spanweave.llm.bpe.DECODED", 7)
+    texts = ["", " \n", "It's a Text, cut\tinto parts. " * 40, "unspaced" * 60, "x " * 300 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
+    got = {r.doc_id: r for r in bpe_encode(docs, BPE, keep=("doc_id", "ids")).collect()}
+    for i, (ids, shown) in enumerate(library(texts)):
+        assert np.array(got[i].ids, "<u4").tobytes() == ids and got[i].decoded == shown and got[i].n_tokens == len(ids) // 4
+
+
 def test_near_copies_of_many_kinds(spark):
     draw = random.Random(7)
     word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
