@@ -39,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text that they decode to, beside its columns."""
-    return bpe_encode(docs, TOKENIZER, keep=("doc_id", "text", "lang", "source"))
+    return bpe_encode(docs, TOKENIZER, keep=tuple(docs.columns))
 
 
 STAGES = [
