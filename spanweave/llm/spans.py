@@ -1,27 +1,30 @@
 """Substring deduplication by sliding sentence spans.
 
-A span is a shortest run of consecutive sentences with ``MIN_WORDS`` words,
-counted from each sentence forward and from each sentence backward, so that
-every sentence of a repeated passage lies in a span that lies in the passage.
-Spans are joined globally by hash; sentences covered by an occurrence other than
-the first, in the order of document id and place, are removed.
+Every run of several consecutive sentences with ``MIN_WORDS`` words or more counts, and so
+does one sentence of ``LONE_WORDS``.  Such a run is a union of shortest ones, counted from
+each of its sentences forward and backward, and where the run is repeated they
+are, too: so the shortest runs are what is hashed and joined globally.  Sentences
+covered by an occurrence other than the first, in the order of document id and
+place, are removed.
 """
 
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import word_bounds
 from .staging import staged
 from .text import STEP, WordHash, alnum_words, arrow_map, as_bytes, carried, mixed, restored, with_columns
 
-#: Words that a span has at least.
-MIN_WORDS = 25
-#: A sentence ends after stops before white space, and after a line break.
-SENTENCE_END = re.compile(rb"[.!?]+(?=\s)[ \t]*\n?|\n")
+#: Words that a span of several sentences has at least, and one of a single sentence.
+MIN_WORDS, LONE_WORDS = 16, 25
+#: A word of more bytes than this (writing without spaces) counts once for every half of it.
+LONG_WORD = 24
+#: A sentence ends after stops before white space (those of Arabic, Urdu and Hindi, too), after full-width stops, and after a line break.
+SENTENCE_END = re.compile(rb"(?:[.!?]|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4)+(?=\s)[ \t]*\n?|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+[ \t]*\n?|\n")
 #: A second odd multiplier, and the inverses of both modulo 2**64.
 STEP_2 = np.uint64(0xD6E8FEB86659FD93)
 INVERSE, INVERSE_2 = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (STEP, STEP_2))
@@ -48,22 +51,26 @@ def runs(ends: np.ndarray) -> np.ndarray:
     """(first, past last) sentence of each distinct span, from the number of words up to each sentence's end."""
     upto = np.concatenate(([0], ends))
     n = len(ends)
-    stop = np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left")
-    first = np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1
     rows = np.arange(n)
-    pairs = np.concatenate((np.stack((rows, stop), 1)[stop <= n], np.stack((first, rows + 1), 1)[first >= 0]))
-    return np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 2)
+    stop = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left"), rows + 2)
+    first = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right"), rows) - 1
+    lone = rows[np.diff(upto) >= LONE_WORDS]
+    pairs = np.concatenate((np.stack((rows, stop), 1)[stop <= n], np.stack((first, rows + 1), 1)[first >= 0], np.stack((lone, lone + 1), 1)))
+    packed = np.unique(pairs[:, 0] << 32 | pairs[:, 1])
+    return np.stack((packed >> 32, packed & 0xFFFFFFFF), 1)
 
 
 def spans_of(raw: bytes, cache: WordHash, power: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64 and 32 bits of the hash of each span's words, and its sentences."""
     words = alnum_words(raw)
-    starts, _ = word_bounds(raw)
+    starts, stops = word_bounds(raw)
     upto = np.searchsorted(starts, sentence_ends(raw), "left")
     # Sentences without words begin and end no run.
     spoken = np.flatnonzero(np.diff(upto, prepend=0))
     upto = upto[spoken]
-    pairs = runs(upto)
+    length = stops - starts
+    counted = np.concatenate(([0], np.cumsum(np.where(length > LONG_WORD, length * 2 // LONG_WORD, 1))))
+    pairs = runs(counted[upto])
     if not len(pairs):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), pairs
     hashes = cache.array(words)
@@ -79,8 +86,13 @@ def spans_of(raw: bytes, cache: WordHash, power: tuple[np.ndarray, ...]) -> tupl
     return one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), pairs
 
 
+def row_key(text: str) -> Column:
+    """Tells rows of one id and different texts apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def span_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``hash``, ``check``, ``doc_id``, ``start`` and ``stop`` (sentences) of every span of documents with an id, and whether the document has it before (``again``)."""
+    """``hash``, ``check``, ``doc_id``, ``row`` (``row_key``), ``start`` and ``stop`` (sentences) of every span of rows with an id, and whether the row has it before (``again``)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def start():
@@ -90,19 +102,27 @@ def span_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         def step(batch):
             nonlocal power
             got = []
-            for raw in as_bytes(batch.column(1)):
+            for raw in as_bytes(batch.column(2)):
                 if raw and len(raw) // 2 + 2 > len(power[0]):
                     power = [powers(x, len(raw)) for x in (STEP, STEP_2, INVERSE, INVERSE_2)]
                 got.append(spans_of(raw or b"", cache, power))
-            rows = np.repeat(np.arange(len(got)), [len(x[0]) for x in got])
+            rows = pa.array(np.repeat(np.arange(len(got)), [len(x[0]) for x in got]))
             pairs = np.concatenate([x[2] for x in got])
             again = np.concatenate([repeats(x[0]) for x in got])
-            return {"again": again, "hash": np.concatenate([x[0] for x in got]), "check": np.concatenate([x[1] for x in got]), "doc_id": batch.column(0).take(pa.array(rows)), "start": pairs[:, 0], "stop": pairs[:, 1]}
+            return {
+                "hash": np.concatenate([x[0] for x in got]),
+                "check": np.concatenate([x[1] for x in got]),
+                "doc_id": batch.column(0).take(rows),
+                "row": batch.column(1).take(rows),
+                "start": pairs[:, 0],
+                "stop": pairs[:, 1],
+                "again": again,
+            }
 
         return step
 
-    chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_map(chosen, start, f"hash long, check int, doc_id {kind}, start int, stop int, again boolean")
+    chosen = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), row_key(text).alias("row"), F.col(text).alias("text"))
+    return arrow_map(chosen, start, f"hash long, check int, doc_id {kind}, row long, start int, stop int, again boolean")
 
 
 def repeats(hashes: np.ndarray) -> np.ndarray:
@@ -113,39 +133,57 @@ def repeats(hashes: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``start`` and ``stop`` of the occurrences of repeated spans that aren't the first.
+    """``doc_id``, ``row``, ``start`` and ``stop`` of the occurrences of repeated spans that aren't the first.
 
-    Within a document the repeats are known at once.  The first document of a hash is found with partial
-    minima before the shuffle, so a passage of many documents is a few rows; the join back has one
-    row per repeated hash on one side, so a hot one can be split.
+    Texts are read once; the spans are written to the shared folder.  Within a row the repeats are known at
+    once.  The first row of a hash is found with partial minima before the shuffle, so a passage of many
+    documents is a few rows; those that are repeated have one row each and meet the spans in a plain
+    inner join of two tables, whose hot keys Spark splits.
     """
-    spans = span_table(docs, doc_id, text)
-    firsts = spans.groupBy("hash", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("hash", "check", "first")
-    return spans.join(firsts, ["hash", "check"], "left").where("again or doc_id <> first").select("doc_id", "start", "stop")
+    spans = staged(span_table(docs, doc_id, text))
+    shared = not spans.groupBy("doc_id").agg((F.min("row") != F.max("row")).alias("several")).where("several").isEmpty()
+    # Rows are in the order of their ids, and of their keys where some rows share an id.
+    place = F.struct("doc_id", "row") if shared else F.col("doc_id")
+    least = spans.groupBy("hash", "check").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = staged(least.where("first <> last").select("hash", "check", "first"))
+    places = ("doc_id", "row", "start", "stop")
+    later = spans.join(firsts, ["hash", "check"]).where(place != F.col("first")).select(*places)
+    return later.unionByName(spans.where("again").select(*places))
 
 
 def covered(spans: DataFrame) -> DataFrame:
-    """Per document the sentences that the spans cover, as disjoint ``spans array<struct<start, stop>>``."""
-    lists = spans.distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
-    joined = F.expr(
-        "aggregate(slice(spans, 2, size(spans)), slice(spans, 1, 1), (done, x) -> if(x.start <= element_at(done, -1).stop,"
-        " concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'stop', greatest(element_at(done, -1).stop, x.stop)))),"
-        " concat(done, array(x))))"
-    )
-    return lists.select("doc_id", joined.alias("spans"))
+    """Per ``doc_id`` and ``row`` the sentences that the spans cover, as disjoint ``spans array<struct<start, stop>>``."""
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("stop")
+    lists = spans.groupBy("doc_id", "row").agg(F.collect_set(packed).alias("packed"))
+
+    def start():
+        def step(batch):
+            out = []
+            for x in batch.column(2):
+                pairs = np.sort(x.values.to_numpy())
+                start, stop = pairs >> 32, np.maximum.accumulate(pairs & 0xFFFFFFFF)
+                opens = np.flatnonzero(np.concatenate(([True], start[1:] > stop[:-1])))
+                closes = np.append(opens[1:], len(pairs)) - 1
+                out.append([{"start": a, "stop": b} for a, b in zip(start[opens].tolist(), stop[closes].tolist(), strict=True)])
+            return {"doc_id": batch.column(0), "row": batch.column(1), "spans": out}
+
+        return step
+
+    kind = spans.schema["doc_id"].dataType.simpleString()
+    return arrow_map(lists, start, f"doc_id {kind}, row long, spans array<struct<start:int,stop:int>>")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``__spans`` (the removed sentences), ``__sentences`` (their number before) and ``__text`` (what stays).
 
-    A text without repeated spans stays as it is.  Null and empty texts have no sentences.  Rows that share
-    an id are one document: equal rows keep the same sentences.  A row without an id stays as it is and is
-    never a first occurrence.
+    A text without repeated spans stays as it is.  Null and empty texts have no sentences.  Equal rows of an id are one
+    document and keep the same sentences; rows of an id and different texts are documents of their own, in an
+    order of their texts' hashes.  A row without an id stays as it is and is never a first occurrence.
     """
-    found = staged(covered(repeated_spans(docs, doc_id, text))).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    found = staged(covered(repeated_spans(docs, doc_id, text))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
     found = F.broadcast(found) if rows <= BROADCAST_DOCS and spans <= BROADCAST_SPANS else found
-    joined = docs.join(found, F.col(doc_id) == F.col("__id"), "left").drop("__id")
+    joined = docs.join(found, (F.col(doc_id) == F.col("__id")) & (row_key(text) == F.col("__row")), "left").drop("__id", "__row")
     names = joined.columns
     at, text_at = names.index("__spans"), names.index(text)
 

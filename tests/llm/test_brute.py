@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from spanweave.llm.bpe import Encoder, WordBpe, bpe_encode
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
-from spanweave.llm.spans import MIN_WORDS
+from spanweave.llm.spans import LONE_WORDS, LONG_WORD, MIN_WORDS, span_report
 from spanweave.llm.text import alnum_words, space_words
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -85,29 +85,34 @@ def test_near_copies_of_many_kinds(spark):
     assert got == {i: root(i) for i in range(len(docs))}
 
 
-def test_spans(spark, folder, texts):
+def span_cuts(rows):
+    """Of (place, text) rows: the sentences of each, and those that lie in any repeated run but its first occurrence."""
     split, found = {}, {}
-    for i, t in texts:
-        sentences = [x.decode() for x in re.findall(rb"(?s)\n|.+?(?:[.!?]+(?=\s)[ \t]*\n?|\n|\Z)", t.encode())]
+    for i, t in rows:
+        sentences = [x.decode() for x in re.findall(rb"(?s)\n|.+?(?:(?:[.!?]|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4)+(?=\s)[ \t]*\n?|(?:\xe3\x80\x82|\xef\xbc[\x81\x9f])+[ \t]*\n?|\n|\Z)", t.encode())]
         words = [tuple(alnum_words(x.encode())) for x in sentences]
+        size = [sum(len(w) * 2 // LONG_WORD if len(w) > LONG_WORD else 1 for w in x) for x in words]
         split[i] = sentences
-        spans = set()
-        for a in (k for k, w in enumerate(words) if w):
-            for step in (1, -1):
-                n, b = 0, a
-                while 0 <= b < len(words):
-                    n += len(words[b])
-                    if n >= MIN_WORDS and words[b]:
-                        spans.add((min(a, b), max(a, b) + 1))
-                        break
-                    b += step
-        for a, b in spans:
-            found.setdefault(tuple(w for x in words[a:b] for w in x), []).append((i, a, b))
+        spoken = [k for k, w in enumerate(words) if w]
+        for a in range(len(spoken)):
+            n = 0
+            # All runs, not only the shortest, of up to a few sentences past the words that count.
+            for b in range(a, min(len(spoken), a + 24)):
+                n += size[spoken[b]]
+                if n >= (MIN_WORDS if b > a else LONE_WORDS):
+                    run = range(spoken[a], spoken[b] + 1)
+                    found.setdefault(tuple(w for x in run for w in words[x]), []).append((i, run))
     cut = collections.defaultdict(set)
     for places in found.values():
-        for i, a, b in places:
-            if (i, a) != min(places)[:2]:
-                cut[i].update(range(a, b))
+        first = min((i, run.start) for i, run in places)
+        for i, run in places:
+            if (i, run.start) != first:
+                cut[i].update(run)
+    return split, cut
+
+
+def test_spans(spark, folder, texts):
+    split, cut = span_cuts(texts)
     got = {r.doc_id: r for r in QUERIES["op7_span_dedup"](spark, folder).collect()}
     for i, sentences in split.items():
         assert got[i].text == "".join(x for k, x in enumerate(sentences) if k not in cut[i])
@@ -115,6 +120,19 @@ def test_spans(spark, folder, texts):
     assert any(cut.values())
 
 
+def test_spans_of_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(14)) + ". And so on. " for x in "abc")
+    ends = "\u3042" * 20 + "\u3002" + "\u3044" * 30 + "\uff01"
+    cases = [[(1, a + b), (1, None)], [(1, a + b), (1, "short one.")], [(1, a), (2, b + " " + a), (2, b)], [(1, a), (2, a), (2, b)], [(3, a + b), (3, c + a), (4, b + c), (4, "x " + a)], [(1, ends), (2, c + ends), (2, ends)]]
+    for rows in cases:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        key = {tuple(r)[:2]: r.row for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) as row").collect()}
+        split, cut = span_cuts([((i, key[i, t]), t or "") for i, t in rows])
+        got = {(r.doc_id, r.text): r.n_removed for r in span_report(docs).collect()}
+        want = {(i, None if t is None else "".join(x for k, x in enumerate(split[i, key[i, t]]) if k not in cut[i, key[i, t]])): len(cut[i, key[i, t]]) for i, t in rows}
+        assert got == want
+
+
 def test_scores(spark, folder, texts):
     got = {r.doc_id: r for r in QUERIES["op10_lm_scoring"](spark, folder).collect()}
     tokens = {i: [*space_words(t.encode()), b" end"] for i, t in texts}
