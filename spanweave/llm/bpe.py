@@ -14,7 +14,6 @@ import gc
 import hashlib
 import heapq
 import json
-import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -23,13 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import arrow_map, as_bytes, with_columns
+from .text import arrow_map, as_bytes, cut_at_spaces, with_columns
 
 #: Key of a pair: left id * PAIR + right id.
 PAIR = 1 << 32
 #: Words whose tokens one worker keeps between batches, bytes of text it encodes together, and tokens it decodes together.
 KEPT_WORDS, BATCH_BYTES, DECODED = 100_000, 1 << 20, 1 << 17
-SPACE = re.compile(rb"[\t-\r ]")
 
 
 @dataclass
@@ -291,15 +289,6 @@ class Decoder:
         return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def cut_at_spaces(text: bytes, size: int):
-    """A text in parts of about ``size`` bytes that end where words end."""
-    at = 0
-    while len(text) - at > size and (m := SPACE.search(text, at + size)):
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:]
-
-
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """Token ids and decoded text of every whole text.
 

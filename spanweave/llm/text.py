@@ -7,6 +7,7 @@ of this package are single C calls.
 
 import ctypes
 import gc
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 ALNUM_TABLE = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
+#: ASCII white space: which bytes it is, and a pattern.
+SPACE_BYTES = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+SPACE = re.compile(rb"[\t-\r ]")
 #: Odd multiplier of the rolling word-window hash, and the constants of the splitmix64 finalizer.
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -38,6 +42,15 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def cut_at_spaces(text: bytes, size: int):
+    """A text in parts of about ``size`` bytes that end where words end."""
+    at = 0
+    while len(text) - at > size and (m := SPACE.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 class WordHash(dict):
     """word -> 64-bit hash, computed once per word while the cache holds it."""
 

@@ -5,13 +5,16 @@ import hashlib
 import random
 import re
 import zlib
-from math import log10
+from math import floor, log, log2, log10
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm.bpe import Encoder, WordBpe, bpe_encode
+from spanweave.llm import maxent
+from spanweave.llm.maxent import lm_scores
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import LONE_WORDS, LONG_WORD, MIN_WORDS, span_report
@@ -150,6 +153,110 @@ def test_scores(spark, folder, texts):
     assert model > base
 
 
+def plain_scores(rows, train):
+    """``score`` of every (doc_id, text, salt, later) row by the model's definition, token by token."""
+    m64, fan = (1 << 64) - 1, maxent.FAN
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    def word(x):
+        return mix((sum(int(maxent.BYTES[b]) * pow(maxent.BASE, i, 1 << 64) for i, b in enumerate(x)) + len(x)) & m64)
+
+    end, before = int(maxent.END), int(maxent.BEFORE)
+    marks, factors = (list(map(int, x)) for x in (maxent.MARKS, maxent.FACTORS))
+    docs = {i: [*map(word, space_words((t or "").encode())), end] for i, t, _, _ in rows}
+    counts = collections.Counter(w for i in docs if i in train for w in docs[i])
+    levels = min(maxent.LEVELS, 1 + (len(counts) > 24) + (len(counts) > 768))
+    grades = collections.Counter(floor(log2(c) * 16) for c in counts.values())
+    frequent = {g for g in grades if sum(n for x, n in grades.items() if x >= g) <= maxent.HEAD_WORDS}
+    ranked = sorted((w for w in counts if floor(log2(counts[w]) * 16) in frequent), key=lambda w: (-counts[w], w))[: fan**levels * 3 // 4]
+    digits = lambda place: [place // fan**k % fan for k in range(levels)]
+    shared = fan**levels // 4
+    path = {w: digits(r) for r, w in enumerate(ranked)}
+    path_of = lambda w: path[w] if w in path else digits(fan**levels * 3 // 4 + (w >> (64 - shared.bit_length() + 1)))
+    inside, mass = collections.defaultdict(float), collections.defaultdict(float)
+    for k in range(shared):
+        inside[tuple(digits(fan**levels * 3 // 4 + k))] += 1
+    for w, c in counts.items():
+        if w not in path:
+            inside[tuple(path_of(w))] += c + 1
+    for p, x in [*inside.items(), *((tuple(path[w]), counts[w] + 1) for w in path)]:
+        for k in range(levels + 1):
+            mass[p[:k]] += x
+    bits = min(17, max(11, (len(counts) - 1).bit_length()))
+
+    def share(node):
+        return [max(log(mass[(*node, j)] / mass[node]), -60) if mass[(*node, j)] else -60 if mass[node] else -log(fan) for j in range(fan)]
+
+    def steps(tokens):
+        for at, w in enumerate(tokens):
+            one, two = (tokens[at - k] if at >= k else before for k in (1, 2))
+            one, two = mix(one), mix(two * 3 & m64)
+            context = [mix(one ^ marks[0]), mix((one + two * 5 & m64) ^ marks[1]), mix(two ^ marks[2])]
+            p = path_of(w)
+            for k in range(levels):
+                own = bits - 5 * k
+                yield at, k, tuple(p[:k]), p[k], [(k, tuple(p[:k]), mix(c + factors[k] & m64) >> (64 - own)) for c in context], context
+
+    weights = collections.defaultdict(lambda: np.zeros(fan))
+
+    def softmax(node, cells):
+        z = np.exp(np.array(share(node)) + sum(weights[c] for c in cells))
+        return z / z.sum()
+
+    rounded = lambda x: np.clip(x, -maxent.MOST, maxent.MOST).astype(np.float16).astype(float)
+    for k in range(2):
+        seen, drawn = (collections.defaultdict(lambda: np.zeros(fan)) for _ in range(2))
+        for i, _, salt, later in rows:
+            if i in train and (k == 0 or later):
+                for at, level, node, member, cells, context in steps(docs[i]):
+                    for c in cells:
+                        seen[c][member] += 1
+                    if k:
+                        chance = (mix(mix(context[1] + salt + at * marks[0] & m64) ^ factors[level]) >> 40) / (1 << 24)
+                        guess = min(int((np.cumsum(softmax(node, cells)) < chance).sum()), fan - 1)
+                        for c in cells:
+                            drawn[c][guess] += 1
+        for c in seen:
+            if k:
+                weights[c] = rounded(weights[c] + maxent.LATER_RATE * np.log((seen[c] + maxent.LATER_PRIOR) / (drawn[c] + maxent.LATER_PRIOR)))
+            else:
+                weights[c] = rounded(maxent.RATE * np.log((seen[c] + maxent.PRIOR) / (seen[c].sum() * np.exp(share(c[1])) + maxent.PRIOR)))
+    scores = {}
+    for i, tokens in docs.items():
+        scores[i] = sum(log10(softmax(node, cells)[member]) for _, _, node, member, cells, _ in steps(tokens))
+        scores[i] += sum(log10((counts[w] + 1) / inside[tuple(path_of(w))]) for w in tokens if w not in path)
+    return scores
+
+
+@pytest.mark.parametrize(("words", "levels", "head"), [(15, 3, 8), (200, 3, 1000), (1500, 3, 2000), (1500, 2, 600)])
+def test_scores_by_definition(spark, monkeypatch, words, levels, head):
+    monkeypatch.setattr("spanweave.llm.maxent.LEVELS", levels)
+    monkeypatch.setattr("spanweave.llm.maxent.HEAD_WORDS", head)
+    monkeypatch.setattr("spanweave.llm.maxent.STEP_TOKENS", 64)
+    draw = random.Random(words)
+    vocabulary = [f"w{k}" for k in range(words)]
+    texts = [" ".join(draw.choice(vocabulary[: 1 + int(words * draw.random() ** 2)]) for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    texts[3:6] = None, texts[7], texts[7] + " never met before"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = "doc_id % 5 <> 3"
+    rows = [(r.doc_id, r.text, r.salt % (1 << 64), r.later) for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id) as salt", "pmod(xxhash64(coalesce(text, '')), 2) = 1 as later").collect()]
+    want = plain_scores(rows, {i for i in range(len(texts)) if i % 5 != 3})
+    got = {r.doc_id: r.score for r in lm_scores(docs, train=train).collect()}
+    assert all(abs(got[i] - want[i]) < 2e-3 * abs(want[i]) for i in want)
+
+
+def test_scores_sum_to_one(spark):
+    known = ["a b c d e f g"] * 5 + ["a c"] * 3
+    rows = [(k, x, True) for k, x in enumerate(known)] + [(100 + k, f"a {x}", False) for k, x in enumerate("abcdefg")]
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), train="learn").collect()}
+    assert 0.5 < sum(10 ** (got[100 + k] - got[100]) for k in range(7)) and sum(10 ** got[100 + k] for k in range(7)) < 1
+    assert max(range(7), key=lambda k: got[100 + k]) in (1, 2)
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     scores = QUERIES["op5_toxicity"](spark, folder)
