@@ -71,6 +71,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hash of a byte at each place of a word: a number by byte, times a power of an odd base.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * STEP)
+BASE = int(STEP)
+#: Bytes of text that are hashed at once.
+HASHED_BYTES = 1 << 18
+
+
+class Words:
+    """64-bit hashes of the words of texts, without making each word: those of ``space_words``, or with ``alnum`` of ``alnum_words``; with ``stem`` also those of their first bytes."""
+
+    def __init__(self, alnum: bool = False, stem: int = 0):
+        self.alnum, self.stem = alnum, stem
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def hashed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word of a text that ends with white space starts, its hash and its stem's."""
+        if len(raw) > len(self.up):
+            powers = [np.full(max(len(raw), HASHED_BYTES + 4096), x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+            for p in powers:
+                p[0] = 1
+            self.up, self.down = (np.cumprod(p, dtype=np.uint64) for p in powers)
+        text = np.frombuffer(raw.translate(ALNUM_TABLE) if self.alnum else raw.lower(), np.uint8)
+        inside = np.concatenate(([False], text != 0x20 if self.alnum else ~SPACE_BYTES[text]))
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        start, stop = edge[::2], edge[1::2]
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[text] * self.up[: len(text)], dtype=np.uint64)))
+        hashed = lambda end: mixed((upto[end] - upto[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return start, hashed(stop), hashed(np.minimum(stop, start + self.stem)) if self.stem else start
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of all words end to end, those of their stems, and the number of each text's words."""
+        found, stems, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush():
+            start, hashes, of_stems = self.hashed(b"\n".join([x for _, x in held]) + b"\n")
+            stops = np.cumsum([len(x) + 1 for _, x in held])
+            np.add.at(n, [i for i, _ in held], np.diff(np.searchsorted(start, stops), prepend=0))
+            found.append(hashes)
+            stems.append(of_stems)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for part in cut_at_spaces(text, HASHED_BYTES) if text else ():
+                if held and size + len(part) > HASHED_BYTES:
+                    flush()
+                    size = 0
+                held.append((i, part))
+                size += len(part) + 1
+        if held:
+            flush()
+        return np.concatenate(found), np.concatenate(stems) if self.stem else found[0], n
+
+
 def windows(hashes: np.ndarray, length: int) -> np.ndarray:
     """One hash for each run of ``length`` consecutive word hashes."""
     n = len(hashes) - length + 1

@@ -1,46 +1,46 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, back off from word pairs
-to the words' continuation counts, to those of their stems, and at last to
-counts that both classes share, so rare expressions say little about a class.
-The discount of a count c is ``2 * sqrt(c)``: what chance could have made is left to
-the backoff.  A text is read as the difference of the log-likelihoods per
-token: of the whole text, of its most toxic window and of its most toxic
-expression; a logistic curve over the three, fitted to the training rows, is
-its score.
+Two interpolated models, of toxic and of ordinary documents, give each token a probability:
+
+    p(word | before) = max(c(before, word) - D, 0) / c(before) + left(before) * p(word)
+    p(word)          = max(n(word) - D', 0) / n + left * p(stem) * shared(word | stem)
+    p(stem)          = max(n(stem) - D'', 0) / n + left * shared(stem)
+
+with counts c of word pairs, continuation counts n (kinds of pairs that end so), absolute
+discounts, and ``left`` the share that the discounts of a class took away, so that all
+of them add up to one.  The last levels are counts that both classes share: what is rare in either
+says little about a class.  The discounts grow with the square root of the sample, as chance differences of counts do,
+which would else outweigh a few toxic expressions.
+
+A passage is ``PASSAGE`` consecutive tokens.  The score is a logistic curve over the greatest difference
+of the passages' length-normalised log-likelihoods and over the logarithm of the text's length (more
+passages have a greater maximum by chance), fitted to the training rows, each read by models of the
+other ``FOLDS - 1`` parts of them.
 """
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text import CACHE_WORDS, STEP, WordHash, alnum_words, arrow_map, as_bytes, mixed, with_columns
-
-#: Most documents of each class that the models learn from (chosen by hash where there are more).
-SAMPLE = 20_000
-#: Bytes of a stem, least count of an expression that a model holds, and most expressions of each kind.
-STEM, LEAST, HELD = 5, 5, 1_000_000
-#: Tokens of a window, bound of one token's evidence, and weight of the penalty on the curve's slopes.
-WINDOW, BOUND, PENALTY = 4, 6.0, 0.01
+from .text import STEP, Words, arrow_map, as_bytes, mixed, with_columns
+
+#: Most documents of each class, and most bytes of their texts, that the models learn from (chosen by hash where there are more).
+SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
+#: Parts of the training rows, each of which is left out once.
+FOLDS = 4
+#: Bytes of a stem, the least discount, and those of pairs, words and stems by the square root of the number of kinds of pairs in the lesser class.
+STEM, LEAST_DISCOUNT, DISCOUNTS = 5, 0.75, (0.05, 0.008, 0.04)
+#: Tokens of a passage, tokens that are looked up at once, and weight of the penalty on the curve's slopes.
+PASSAGE, STEP_TOKENS, PENALTY = 2, 1 << 15, 1e-4
 START = np.uint64(0x51ED270B5A1F2C37)
+#: Count that shared expressions have besides their own, seen or not.
+ADDED = 0.5
 
 
-class StemHash(WordHash):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word[:STEM])
-        return value
-
-
-def tokens_of(texts: list, words: WordHash, stems: WordHash):
+def tokens_of(texts: list, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words, of the words before them and of their stems, and the number of words of each text."""
-    split = [alnum_words(x) for x in texts]
-    n = np.array([len(x) for x in split], np.int64)
-    w = np.concatenate([words.array(x) for x in split]) if len(split) else np.zeros(0, np.uint64)
-    s = np.concatenate([stems.array(x) for x in split]) if len(split) else np.zeros(0, np.uint64)
+    w, s, n = words.of(texts)
     u = np.concatenate(([START], w[:-1])) if len(w) else w
     u[(np.cumsum(n) - n)[n > 0]] = START
     return w, u, s, n
@@ -51,126 +51,159 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """``toxic``, ``u``, ``w``, ``stem`` and ``c`` of the word pairs of labelled texts."""
+    """``fold``, ``u``, ``w``, ``stem`` and the counts ``t`` and ``o`` of the word pairs of toxic and ordinary texts."""
 
     def start():
-        words, stems = WordHash(), StemHash()
+        words = Words(alnum=True, stem=STEM)
 
         def step(batch):
-            w, u, s, n = tokens_of(as_bytes(batch.column(1)), words, stems)
-            toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n)
-            return {"toxic": toxic, "u": u.view(np.int64), "w": w.view(np.int64), "stem": s.view(np.int64)}
+            w, u, s, n = tokens_of(as_bytes(batch.column(2)), words)
+            toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n).astype(np.int64)
+            fold = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
+            return {"fold": fold, "u": u.view(np.int64), "w": w.view(np.int64), "stem": s.view(np.int64), "t": toxic, "o": 1 - toxic}
 
         return step
 
-    return arrow_map(rows.select("toxic", "text"), start, "toxic boolean, u long, w long, stem long").groupBy("toxic", "u", "w", "stem").agg(F.count("*").alias("c"))
-
+    return arrow_map(rows.select("toxic", "fold", "text"), start, "fold int, u long, w long, stem long, t long, o long").groupBy("fold", "u", "w", "stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
-def kept(n):
-    """A count less its discount."""
-    return np.maximum(n - 2 * np.sqrt(n), 0)
-
-
-def held_rows(table: DataFrame) -> list:
-    """Rows (k, t, o) with a count of ``LEAST`` or more, and where that would be more than ``HELD`` rows, of the least power of two that fits."""
-    high = F.greatest("t", "o")
-    levels = table.where(high >= LEAST).groupBy(F.floor(F.log2(high)).cast("int").alias("level")).count().collect()
-    least, rows = LEAST, 0
-    for level, n in sorted(map(tuple, levels), reverse=True):
-        rows += n
-        if rows > HELD:
-            least = 2 ** (level + 1)
-            break
-    return table.where(high >= least).select("k", "t", "o").collect()
 
+class Table:
+    """Sorted hashes with a few numbers each; zeros for hashes that aren't held."""
 
-class Counts:
-    """Sorted hashes with the toxic and ordinary counts of one kind of expression."""
-
-    def __init__(self, rows: list, totals: tuple[float, float]):
-        data = np.array([tuple(r) for r in rows], np.int64).reshape(-1, 3)
-        keys = data[:, 0].view(np.uint64) if len(data) else np.zeros(0, np.uint64)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.n = keys[order], data[order, 1:].astype(float)
-        self.left = np.array([1 - kept(self.n[:, i]).sum() / max(totals[i], 1) for i in (0, 1)])
+        self.keys, self.values = keys[order], np.vstack((values[order], np.zeros((1, values.shape[1]))))
 
     def at(self, hashes: np.ndarray) -> np.ndarray:
-        """Counts (toxic, ordinary) of each hash; zeros where it isn't held."""
-        if not len(self.keys):
-            return np.zeros((len(hashes), 2))
-        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where((self.keys[i] == hashes)[:, None], self.n[i], 0)
+        i = np.searchsorted(self.keys, hashes)
+        i[i == len(self.keys)] = 0
+        i[self.keys[i] != hashes if len(self.keys) else slice(None)] = -1
+        return self.values[i]
 
 
 class Models:
-    """Both classes' models; ``totals``: numbers of distinct word pairs."""
+    """Both classes' models.
+
+    Held are the expressions with a count above the discount in a class, and the words and stems at the end of such ones.
+    All others add the same factor to both classes' probabilities, so that leaving them out changes no difference.
+    """
 
-    def __init__(self, totals, words, stems, pairs, contexts):
-        self.totals = np.maximum(np.array(totals, float), 1)
-        self.words, self.stems = Counts(words, self.totals), Counts(stems, self.totals)
-        self.pairs, self.contexts = Counts(pairs, self.totals), Counts(contexts, self.totals)
+    def __init__(self, kinds, discounts, left_words, left_stems, stems, words: Table, stem_table: Table, pairs: Table, contexts: Table):
+        self.kinds, self.discounts = np.asarray(kinds, float), discounts
+        self.left_words, self.left_stems = (np.where(self.kinds > 0, np.asarray(x, float) / np.maximum(self.kinds, 1), 1.0) for x in (left_words, left_stems))
+        self.n_stems = stems
+        self.words, self.stems, self.pairs, self.contexts = words, stem_table, pairs, contexts
 
-    def evidence(self, w: np.ndarray, u: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Difference of the log-probabilities of each token."""
-        shared = self.totals.sum()
+    def probabilities(self, w: np.ndarray, u: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Of each token by both classes (toxic, ordinary)."""
+        of_pairs, of_words, of_stems = self.discounts
         of_stem, of_word = self.stems.at(s), self.words.at(w)
-        low = np.where(of_stem.sum(axis=1) > 0, of_stem.sum(axis=1), 1) / shared
-        p_stem = kept(of_stem) / self.totals + self.stems.left * low[:, None]
-        both_word, both_stem = of_word.sum(axis=1), of_stem.sum(axis=1)
-        within = np.maximum(both_word, 1) / np.maximum(np.maximum(both_stem, both_word), 1)
-        p_word = kept(of_word) / self.totals + self.words.left * p_stem * within[:, None]
-        of_pair = self.pairs.at(pair_hash(u, w))
-        of_context = np.maximum(self.contexts.at(u), 1)
-        # One backoff weight per context and class would favour the class that saw the context less; pairs add to the words' probability instead.
-        share = np.minimum(kept(of_pair) / of_context, 1)
-        p = share + (1 - share) * p_word
-        return np.clip(np.log(p[:, 0]) - np.log(p[:, 1]), -BOUND, BOUND)
+        both_stem, both_word = of_stem[:, :2].sum(axis=1), of_word.sum(axis=1)
+        per = np.maximum(self.kinds, 1)
+        shared = (both_stem + ADDED) / (self.kinds.sum() + ADDED * (self.n_stems + 1))
+        within = (both_word + ADDED) / (both_stem + ADDED * (of_stem[:, 2] + 1))
+        p = np.maximum(of_stem[:, :2] - of_stems, 0) / per + self.left_stems * shared[:, None]
+        p = np.maximum(of_word - of_words, 0) / per + self.left_words * p * within[:, None]
+        context = self.contexts.at(u)
+        met = np.flatnonzero(context.any(axis=1))
+        if len(met):
+            count, left = context[met, :2], context[met, 2:]
+            pair = np.maximum(self.pairs.at(pair_hash(u[met], w[met])) - of_pairs, 0)
+            seen = count > 0
+            count = np.maximum(count, 1)
+            p[met] = np.where(seen, pair / count + left / count * p[met], p[met])
+        return p
 
     def features(self, w, u, s, n) -> np.ndarray:
-        """Evidence per token of each whole text, of its highest window and of its highest expression; zeros for no words."""
-        out = np.zeros((len(n), 3))
+        """Greatest difference of the passages' log-likelihoods per token, and logarithm of 1 + n, of each text; zeros for no words."""
+        out = np.column_stack((np.zeros(len(n)), np.log1p(n)))
         if not len(w):
             return out
-        value = self.evidence(w, u, s)
+        value = np.empty(len(w))
+        for at in range(0, len(w), STEP_TOKENS):
+            cut = slice(at, at + STEP_TOKENS)
+            logs = np.log(self.probabilities(w[cut], u[cut], s[cut]))
+            value[cut] = logs[:, 0] - logs[:, 1]
         some = np.flatnonzero(n > 0)
         starts = (np.cumsum(n) - n)[some]
         total = np.concatenate(([0.0], np.cumsum(value)))
-        ends = np.repeat(starts + n[some], n[some])
-        places = np.arange(len(w))
-        stop = np.minimum(places + WINDOW, ends)
-        out[some, 0] = np.add.reduceat(value, starts) / n[some]
-        out[some, 1] = np.maximum.reduceat((total[stop] - total[places]) / np.minimum(WINDOW, np.repeat(n[some], n[some])), starts)
-        out[some, 2] = np.maximum.reduceat(value, starts)
+        # A passage at the end of a text begins early enough; a shorter text is one passage.
+        size = np.minimum(PASSAGE, np.repeat(n[some], n[some]))
+        stop = np.minimum(np.arange(len(w)) + size, np.repeat(starts + n[some], n[some]))
+        out[some, 0] = np.maximum.reduceat((total[stop] - total[stop - size]) / size, starts)
         return out
 
 
+def discounts_of(kinds: int) -> list[float]:
+    return [max(LEAST_DISCOUNT, x * kinds**0.5) for x in DISCOUNTS]
+
+
+def model_of(counts: DataFrame) -> Models:
+    """The models of a table of pair counts.  What is collected is bounded by the sample: a held expression has more counts than its discount."""
+    pairs = staged(counts.groupBy("u", "w", "stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    kinds = pairs.agg(F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
+    discounts = of_pairs, of_words, of_stems = discounts_of(min(kinds))
+    high = lambda least: F.greatest("t", "o") > least
+    taken = lambda k, least: F.least(F.col(k).cast("double"), F.lit(least))
+    held = pairs.where(high(of_pairs))
+    words = staged(pairs.groupBy("w", "stem").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")))
+    stems = staged(words.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("words")))
+    left = lambda table, least: table.agg(*[F.coalesce(F.sum(taken(k, least)), F.lit(0.0)) for k in "to"], F.count("*")).first()
+    left_words, left_stems = left(words, of_words), left(stems, of_stems)
+    ends = held.select("w").distinct()
+    held_words = staged(words.join(ends, "w", "left_semi").unionByName(words.where(high(of_words)).join(ends, "w", "left_anti")))
+    bases = held_words.select("stem").distinct()
+    held_stems = stems.join(bases, "stem", "left_semi").unionByName(stems.where(high(of_stems)).join(bases, "stem", "left_anti"))
+    contexts = pairs.join(held.select("u").distinct(), "u", "left_semi").groupBy("u").agg(*[F.sum(k).alias(k) for k in "to"], *[F.sum(taken(k, of_pairs)).alias(f"left_{k}") for k in "to"])
+
+    def table(df: DataFrame, key: str, *columns: str) -> Table:
+        got = df.select(key, *columns).toArrow()
+        return Table(got.column(key).to_numpy().view(np.uint64), np.column_stack([got.column(c).to_numpy() for c in columns]).astype(float))
+
+    got = held.select("u", "w", "t", "o").toArrow()
+    u, w = (got.column(c).to_numpy().view(np.uint64) for c in "uw")
+    pair_table = Table(pair_hash(u, w), np.column_stack([got.column(c).to_numpy() for c in "to"]).astype(float))
+    return Models(
+        kinds,
+        discounts,
+        left_words[:2],
+        left_stems[:2],
+        left_stems[2],
+        table(held_words, "w", "t", "o"),
+        table(held_stems, "stem", "t", "o", "words"),
+        pair_table,
+        table(contexts, "u", "t", "o", "left_t", "left_o"),
+    )
+
+
 def featured(rows: DataFrame, keep: tuple[str, ...], models) -> DataFrame:
     kinds = rows.select(*keep).schema
 
     def start():
-        words, stems, know = WordHash(), StemHash(), models.value
+        words, know = Words(alnum=True, stem=STEM), models.value
 
         def step(batch):
-            x = know.features(*tokens_of(as_bytes(batch.column(len(keep))), words, stems))
-            return {f.name: batch.column(i) for i, f in enumerate(kinds)} | {"whole": x[:, 0], "window": x[:, 1], "highest": x[:, 2]}
+            x = know.features(*tokens_of(as_bytes(batch.column(len(keep))), words))
+            return {f.name: batch.column(i) for i, f in enumerate(kinds)} | {"passage": x[:, 0], "length": x[:, 1]}
 
         return step
 
-    return arrow_map(rows.select(*keep, "text"), start, with_columns(kinds, whole="double", window="double", highest="double"), slice_bytes=2 << 20)
+    return arrow_map(rows.select(*keep, "text"), start, with_columns(kinds, passage="double", length="double"), slice_bytes=1 << 20)
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales and coefficients (the last: intercept) of a penalised logistic curve, classes weighted equally."""
+    k = x.shape[1]
     if not len(y) or y.min() == y.max():
-        return np.zeros(3), np.ones(3), np.array([0, 0, 0, 6.0 * (2 * y.mean() - 1) if len(y) else -6.0])
+        return np.zeros(k), np.ones(k), np.append(np.zeros(k), 6.0 * (2 * y.mean() - 1) if len(y) else -6.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack(((x - mean) / scale, np.ones(len(x))))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    b = np.zeros(4)
+    b = np.zeros(k + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        gradient = z.T @ (weight * (p - y)) + PENALTY * 0.01 * np.append(b[:3], 0)
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + PENALTY * 0.01 * np.diag([1, 1, 1, 1e-3])
+        gradient = z.T @ (weight * (p - y)) + PENALTY * np.append(b[:k], 0)
+        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + PENALTY * np.diag(np.append(np.ones(k), 1e-3))
         step = np.linalg.solve(curve, gradient)
         b -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
@@ -178,42 +211,43 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return mean, scale, b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 5) = 0", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, held_out: str, text: str, sample: int, sample_bytes: int) -> DataFrame:
+    """``text``, ``toxic`` and ``fold`` of distinct labelled texts, about ``sample`` and ``sample_bytes`` of each class at most."""
+    marked = labels.where(f"not {held_out}").where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
+
+    def share(found: dict, most: int):
+        return F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, most / max(n, 1)))) for k, n in found.items()], F.lit(1.0)) * float(1 << 30)
+
+    found = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
+    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share(found, sample))
+    texts = staged(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct())
+    sizes = {r[0]: r[1] for r in texts.groupBy("toxic").agg(F.sum(F.octet_length("text"))).collect()}
+    place = F.xxhash64("text", F.lit(1))
+    return texts.where(F.pmod(place, F.lit(1 << 30)) < share(sizes, sample_bytes)).withColumn("fold", F.pmod(F.shiftright(place, 32), F.lit(FOLDS)).cast("int"))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 5) = 0", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Per row: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.5).
 
     Labels of rows that meet ``held_out`` are not used.  The models learn from up to about ``sample`` distinct
-    texts of each class; all other rows are only scored.  Scores depend on the text alone.  Null
+    texts, and ``sample_bytes`` of them, of each class; all other rows are only scored.  Scores depend on the text alone.  Null
     and empty texts count as texts without evidence.  Without labels of both classes all scores are near the
     one class, or 0.
     """
     spark = docs.sparkSession
-    marked = labels.where(f"not {held_out}").where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") == 1).alias("toxic")).distinct()
-    found = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
-    share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, sample / n))) for k, n in found.items()], F.lit(1.0))
-    chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * float(1 << 30))
-    train = staged(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct())
-    pairs = staged(pair_counts(train))
-    by_class = lambda value: [F.sum(F.when(F.col("toxic") == k, value).otherwise(0)).alias(n) for k, n in ((True, "t"), (False, "o"))]
-    count = lambda key, value: pairs.groupBy(F.col(key).alias("k")).agg(*by_class(value))
-    totals = pairs.agg(*by_class(F.lit(1))).first()
-    frequent = F.broadcast(pairs.where(F.col("c") >= LEAST).select("u", "w").distinct())
-    of_pairs = pairs.where(F.col("c") >= LEAST).groupBy("u", "w").agg(*by_class(F.col("c")))
-    pair_rows = held_rows(of_pairs.withColumn("k", F.struct("u", "w")))
-    context_rows = held_rows(pairs.join(frequent.select("u").distinct(), "u", "left_semi").groupBy(F.col("u").alias("k")).agg(*by_class(F.col("c"))))
-    hashed = pair_hash(*(np.array([r.k[i] for r in pair_rows], np.int64).view(np.uint64) for i in (0, 1))).view(np.int64)
-    model = Models(
-        (totals.t or 0, totals.o or 0),
-        held_rows(count("w", F.lit(1))),
-        held_rows(count("stem", F.lit(1))),
-        [(k, r.t, r.o) for k, r in zip(hashed.tolist(), pair_rows, strict=True)],
-        context_rows,
-    )
-    shared = spark.sparkContext.broadcast(model)
-    fitted = featured(train, ("toxic",), shared).collect()
-    mean, scale, b = logistic(np.array([r[1:] for r in fitted], float).reshape(-1, 3), np.array([r[0] for r in fitted], float))
+    train = training_rows(docs, labels, held_out, text, sample, sample_bytes)
+    counts = staged(pair_counts(train))
+    fitted = None
+    for k in range(FOLDS):
+        without = spark.sparkContext.broadcast(model_of(counts.where(F.col("fold") != k)))
+        part = featured(train.where(F.col("fold") == k), ("toxic",), without)
+        fitted = part if fitted is None else fitted.unionByName(part)
+    curve = np.array(fitted.collect(), float).reshape(-1, 3)
+    mean, scale, b = logistic(curve[:, 1:], curve[:, 0])
+    shared = spark.sparkContext.broadcast(model_of(counts))
     rows = featured(docs.select("doc_id", F.expr(held_out).alias("held_out"), F.col(text).alias("text")), ("doc_id", "held_out"), shared)
-    logit = F.lit(float(b[3]))
-    for name, m, s, x in zip(("whole", "window", "highest"), mean, scale, b, strict=False):
+    logit = F.lit(float(b[-1]))
+    for name, m, s, x in zip(("passage", "length"), mean, scale, b, strict=False):
         logit = logit + (F.col(name) - float(m)) / float(s) * float(x)
     score = F.lit(1.0) / (1 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
     return rows.select("doc_id", "held_out", score.alias("score")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -13,12 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm.bpe import Encoder, WordBpe, bpe_encode
-from spanweave.llm import maxent
+from spanweave.llm import maxent, toxicity
 from spanweave.llm.maxent import lm_scores
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import LONE_WORDS, LONG_WORD, MIN_WORDS, span_report
-from spanweave.llm.text import alnum_words, space_words
+from spanweave.llm.text import BASE, BYTES, alnum_words, space_words
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -163,7 +163,7 @@ def plain_scores(rows, train):
         return x ^ (x >> 31)
 
     def word(x):
-        return mix((sum(int(maxent.BYTES[b]) * pow(maxent.BASE, i, 1 << 64) for i, b in enumerate(x)) + len(x)) & m64)
+        return mix((sum(int(BYTES[b]) * pow(BASE, i, 1 << 64) for i, b in enumerate(x)) + len(x)) & m64)
 
     end, before = int(maxent.END), int(maxent.BEFORE)
     marks, factors = (list(map(int, x)) for x in (maxent.MARKS, maxent.FACTORS))
@@ -257,6 +257,57 @@ def test_scores_sum_to_one(spark):
     assert max(range(7), key=lambda k: got[100 + k]) in (1, 2)
 
 
+def plain_models(texts):
+    """p(word | before) of both classes over (toxic, text) rows by the definition, as a function of the class and two words."""
+    pairs = [collections.Counter() for _ in range(2)]
+    for toxic, t in texts:
+        words = alnum_words(t.encode())
+        pairs[toxic].update(zip([None, *words], words))
+    ends = [collections.Counter(w for _, w in x) for x in pairs]
+    stem = lambda w: w[: toxicity.STEM]
+    stems = [collections.Counter() for _ in range(2)]
+    for k in range(2):
+        for w, n in ends[k].items():
+            stems[k][stem(w)] += n
+    kinds, all_stems, all_words = [len(x) for x in pairs], {*stems[0], *stems[1]}, {*ends[0], *ends[1]}
+    d_pair, d_word, d_stem = (max(toxicity.LEAST_DISCOUNT, x * min(kinds) ** 0.5) for x in toxicity.DISCOUNTS)
+
+    def p(k, u, w):
+        s, add = stem(w), toxicity.ADDED
+        of_stem = stems[0][s] + stems[1][s]
+        low = (of_stem + add) / (sum(kinds) + add * (len(all_stems) + 1))
+        low = max(stems[k][s] - d_stem, 0) / kinds[k] + sum(min(n, d_stem) for n in stems[k].values()) / kinds[k] * low
+        low *= (ends[0][w] + ends[1][w] + add) / (of_stem + add * (sum(stem(x) == s for x in all_words) + 1))
+        low = max(ends[k][w] - d_word, 0) / kinds[k] + sum(min(n, d_word) for n in ends[k].values()) / kinds[k] * low
+        after = {x: n for (v, x), n in pairs[k].items() if v == u}
+        if not after:
+            return low
+        return (max(after.get(w, 0) - d_pair, 0) + sum(min(n, d_pair) for n in after.values()) * low) / sum(after.values())
+
+    return p, all_words
+
+
+def test_toxicity_models_by_definition(spark, monkeypatch):
+    monkeypatch.setattr("spanweave.llm.toxicity.DISCOUNTS", (0.15, 0.1, 0.25))
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choice("ab") for _ in range(draw.randint(2, 7))) for _ in range(40)]
+    texts = [(draw.random() < 0.4, " ".join(draw.choice(vocabulary[: draw.randint(1, 40)]) for _ in range(draw.randint(1, 25)))) for _ in range(120)]
+    p, known = plain_models(texts)
+    model = toxicity.model_of(toxicity.pair_counts(spark.createDataFrame(texts, "toxic boolean, text string").withColumn("fold", F.lit(0))))
+    words = toxicity.Words(alnum=True, stem=toxicity.STEM)
+    for t in ["a", "zz new", *(" ".join(draw.choices([*vocabulary, "never"], k=12)) for _ in range(30))]:
+        w, u, s, n = toxicity.tokens_of([t.encode()], words)
+        split = alnum_words(t.encode())
+        got = np.log(model.probabilities(w, u, s))
+        want = [log(p(1, a, b)) - log(p(0, a, b)) for a, b in zip([None, *split], split)]
+        assert np.abs(got[:, 0] - got[:, 1] - want).max() < 1e-9
+        passages = [sum(want[i : i + 2]) / 2 for i in range(len(want) - 1)] or want
+        assert abs(model.features(w, u, s, n)[0, 0] - max(passages)) < 1e-9
+    # A distribution: the known words, an unknown one for each stem, and unknown stems.
+    new = [b"%s?" % x for x in {x[: toxicity.STEM] for x in known} if len(x) == toxicity.STEM]
+    assert all(0.5 < sum(p(k, u, w) for w in [*known, *new, b"?"]) <= 1 + 1e-9 for k in (0, 1) for u in (None, vocabulary[0].encode()))
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     scores = QUERIES["op5_toxicity"](spark, folder)
