@@ -39,8 +39,9 @@ ADDED = 0.5
 
 
 def tokens_of(texts: list, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words, of the words before them and of their stems, and the number of words of each text."""
+    """Hashes of the words, of the words before them and of their stems (32 bits), and the number of words of each text."""
     w, s, n = words.of(texts)
+    s = (s >> np.uint64(32)).astype(np.uint32).view(np.int32)
     u = np.concatenate(([START], w[:-1])) if len(w) else w
     u[(np.cumsum(n) - n)[n > 0]] = START
     return w, u, s, n
@@ -51,20 +52,30 @@ def pair_hash(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """``fold``, ``u``, ``w``, ``stem`` and the counts ``t`` and ``o`` of the word pairs of toxic and ordinary texts."""
+    """``u``, ``w``, ``stem`` and per fold k the counts ``t{k}`` and ``o{k}`` of the word pairs of toxic and ordinary texts."""
 
     def start():
         words = Words(alnum=True, stem=STEM)
 
         def step(batch):
-            w, u, s, n = tokens_of(as_bytes(batch.column(2)), words)
-            toxic = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n).astype(np.int64)
-            fold = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), n)
-            return {"fold": fold, "u": u.view(np.int64), "w": w.view(np.int64), "stem": s.view(np.int64), "t": toxic, "o": 1 - toxic}
+            w, u, s, n = tokens_of(as_bytes(batch.column(1)), words)
+            return {"part": np.repeat(batch.column(0).to_numpy(), n), "u": u.view(np.int64), "w": w.view(np.int64), "stem": s}
 
         return step
 
-    return arrow_map(rows.select("toxic", "fold", "text"), start, "fold int, u long, w long, stem long, t long, o long").groupBy("fold", "u", "w", "stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    part = (F.col("fold") * 2 + F.col("toxic").cast("int")).alias("part")
+    sums = [F.count_if(F.col("part") == 2 * k + x).cast("int").alias(f"{'ot'[x]}{k}") for k in range(FOLDS) for x in (0, 1)]
+    return arrow_map(rows.select(part, "text"), start, "part int, u long, w long, stem int").groupBy("u", "w", "stem").agg(*sums)
+
+
+def tables_of(counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pair counts, and the continuation counts of words and of stems, as ``t``, ``o`` of all folds and ``t{k}``, ``o{k}`` of all but one; each is shuffled once for all models."""
+    total = {x: sum((F.col(f"{x}{k}") for k in range(1, FOLDS)), F.col(f"{x}0")) for x in "to"}
+    pairs = staged(counts).withColumns({x: v for x, v in total.items()} | {f"{x}{k}": v - F.col(f"{x}{k}") for x, v in total.items() for k in range(FOLDS)})
+    names = [f"{x}{k}" for k in ("", *range(FOLDS)) for x in "to"]
+    words = staged(pairs.groupBy("w", "stem").agg(*[F.count_if(F.col(c) > 0).cast("int").alias(c) for c in names]))
+    kept = [F.count_if(F.col(f"t{k}") + F.col(f"o{k}") > 0).alias(f"words{k}") for k in ("", *range(FOLDS))]
+    return pairs, words, staged(words.groupBy("stem").agg(*[F.sum(c).alias(c) for c in names], *kept))
 
 
 class Table:
@@ -138,16 +149,16 @@ def discounts_of(kinds: int) -> list[float]:
     return [max(LEAST_DISCOUNT, x * kinds**0.5) for x in DISCOUNTS]
 
 
-def model_of(counts: DataFrame) -> Models:
-    """The models of a table of pair counts.  What is collected is bounded by the sample: a held expression has more counts than its discount."""
-    pairs = staged(counts.groupBy("u", "w", "stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-    kinds = pairs.agg(F.count_if(F.col("t") > 0), F.count_if(F.col("o") > 0)).first()
+def model_of(tables: tuple[DataFrame, DataFrame, DataFrame], without: int | None = None) -> Models:
+    """The models of all folds but one.  What is collected is bounded by the sample: a held expression has more counts than its discount."""
+    suffix = "" if without is None else str(without)
+    pairs, words, stems = (x.select(*keys, *[F.col(f"{c}{suffix}").alias(c) for c in columns]) for x, keys, columns in zip(tables, (("u", "w"), ("w", "stem"), ("stem",)), ("to", "to", ("t", "o", "words")), strict=True))
+    pairs, words, stems = (x.where("t + o > 0") for x in (pairs, words, stems))
+    kinds = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
     discounts = of_pairs, of_words, of_stems = discounts_of(min(kinds))
     high = lambda least: F.greatest("t", "o") > least
     taken = lambda k, least: F.least(F.col(k).cast("double"), F.lit(least))
     held = pairs.where(high(of_pairs))
-    words = staged(pairs.groupBy("w", "stem").agg(F.count_if(F.col("t") > 0).alias("t"), F.count_if(F.col("o") > 0).alias("o")))
-    stems = staged(words.groupBy("stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.count("*").alias("words")))
     left = lambda table, least: table.agg(*[F.coalesce(F.sum(taken(k, least)), F.lit(0.0)) for k in "to"], F.count("*")).first()
     left_words, left_stems = left(words, of_words), left(stems, of_stems)
     ends = held.select("w").distinct()
@@ -158,7 +169,8 @@ def model_of(counts: DataFrame) -> Models:
 
     def table(df: DataFrame, key: str, *columns: str) -> Table:
         got = df.select(key, *columns).toArrow()
-        return Table(got.column(key).to_numpy().view(np.uint64), np.column_stack([got.column(c).to_numpy() for c in columns]).astype(float))
+        keys = got.column(key).to_numpy()
+        return Table(keys.view(np.uint64) if keys.dtype == np.int64 else keys, np.column_stack([got.column(c).to_numpy() for c in columns]).astype(float))
 
     got = held.select("u", "w", "t", "o").toArrow()
     u, w = (got.column(c).to_numpy().view(np.uint64) for c in "uw")
@@ -236,15 +248,15 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: str = "pmod(cr
     """
     spark = docs.sparkSession
     train = training_rows(docs, labels, held_out, text, sample, sample_bytes)
-    counts = staged(pair_counts(train))
+    tables = tables_of(pair_counts(train))
     fitted = None
     for k in range(FOLDS):
-        without = spark.sparkContext.broadcast(model_of(counts.where(F.col("fold") != k)))
+        without = spark.sparkContext.broadcast(model_of(tables, k))
         part = featured(train.where(F.col("fold") == k), ("toxic",), without)
         fitted = part if fitted is None else fitted.unionByName(part)
     curve = np.array(fitted.collect(), float).reshape(-1, 3)
     mean, scale, b = logistic(curve[:, 1:], curve[:, 0])
-    shared = spark.sparkContext.broadcast(model_of(counts))
+    shared = spark.sparkContext.broadcast(model_of(tables))
     rows = featured(docs.select("doc_id", F.expr(held_out).alias("held_out"), F.col(text).alias("text")), ("doc_id", "held_out"), shared)
     logit = F.lit(float(b[-1]))
     for name, m, s, x in zip(("passage", "length"), mean, scale, b, strict=False):

@@ -293,7 +293,9 @@ def test_toxicity_models_by_definition(spark, monkeypatch):
     vocabulary = ["".join(draw.choice("ab") for _ in range(draw.randint(2, 7))) for _ in range(40)]
     texts = [(draw.random() < 0.4, " ".join(draw.choice(vocabulary[: draw.randint(1, 40)]) for _ in range(draw.randint(1, 25)))) for _ in range(120)]
     p, known = plain_models(texts)
-    model = toxicity.model_of(toxicity.pair_counts(spark.createDataFrame(texts, "toxic boolean, text string").withColumn("fold", F.lit(0))))
+    rows = spark.createDataFrame([(k % toxicity.FOLDS, *x) for k, x in enumerate(texts)], "fold int, toxic boolean, text string")
+    tables = toxicity.tables_of(toxicity.pair_counts(rows))
+    model = toxicity.model_of(tables)
     words = toxicity.Words(alnum=True, stem=toxicity.STEM)
     for t in ["a", "zz new", *(" ".join(draw.choices([*vocabulary, "never"], k=12)) for _ in range(30))]:
         w, u, s, n = toxicity.tokens_of([t.encode()], words)
@@ -303,6 +305,10 @@ def test_toxicity_models_by_definition(spark, monkeypatch):
         assert np.abs(got[:, 0] - got[:, 1] - want).max() < 1e-9
         passages = [sum(want[i : i + 2]) / 2 for i in range(len(want) - 1)] or want
         assert abs(model.features(w, u, s, n)[0, 0] - max(passages)) < 1e-9
+    left = plain_models([x for k, x in enumerate(texts) if k % toxicity.FOLDS != 1])[0]
+    w, u, s, n = toxicity.tokens_of([b"aab ba"], words)
+    (high, low), = np.log(toxicity.model_of(tables, 1).probabilities(w, u, s))[1:]
+    assert abs(high - low - log(left(1, b"aab", b"ba")) + log(left(0, b"aab", b"ba"))) < 1e-9
     # A distribution: the known words, an unknown one for each stem, and unknown stems.
     new = [b"%s?" % x for x in {x[: toxicity.STEM] for x in known} if len(x) == toxicity.STEM]
     assert all(0.5 < sum(p(k, u, w) for w in [*known, *new, b"?"]) <= 1 + 1e-9 for k in (0, 1) for u in (None, vocabulary[0].encode()))
