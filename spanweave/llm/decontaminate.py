@@ -11,46 +11,65 @@ from pyspark.sql import functions as F
 
 from .text import ALNUM_TABLE, WordHash, alnum_words, arrow_map, as_bytes, carried, restored, windows, with_columns
 
-#: Bytes of benchmark text that are broadcast at once; larger benchmarks are taken in blocks of this size.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text, and windows, that are broadcast at once; larger benchmarks are taken in blocks.  A window takes up to
+#: 40 bytes in a worker beside the text, so a block is under 60 MB there.
+BLOCK_BYTES, BLOCK_WINDOWS = 16 << 20, 1 << 20
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 class Grams:
-    """The windows of a block of items: per length a bitmap of hashes and the words with their items."""
+    """The windows of a block of items as arrays: by length, sorted hashes with their items and places in the items' words."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
-        self.items: dict[tuple[bytes, ...], set[str | None]] = {}
-        for item, text in items:
+        self.names = [x for x, _ in items]
+        one, parts, at = WordHash(), [], 0
+        found: dict[int, list[np.ndarray]] = {}
+        for i, (_, text) in enumerate(items):
             words = alnum_words(text)
+            if not words:
+                continue
             size = min(n, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
-                self.items.setdefault(tuple(words[i : i + size]), set()).add(item)
-        by_length: dict[int, list[tuple[bytes, ...]]] = {}
-        for gram in self.items:
-            by_length.setdefault(len(gram), []).append(gram)
-        one = WordHash()
-        self.bits = max(16, int(np.ceil(np.log2(16 * len(self.items) + 1))))
-        self.maps = {}
-        for length, grams in by_length.items():
-            hit = np.zeros(1 << self.bits, bool)
-            for gram in grams:
-                hit[int(windows(one.array(list(gram)), length)[0]) >> (64 - self.bits)] = True
-            self.maps[length] = hit
+            hashes = windows(one.array(words), size)
+            ends = at + np.cumsum([len(w) + 1 for w in words])
+            start = np.concatenate(([at], ends[:-1]))[: len(hashes)]
+            rows = np.stack((hashes.view(np.int64), np.full(len(hashes), i), start, ends[size - 1 :] - 1 - start))
+            found.setdefault(size, []).append(rows)
+            parts.append(b" ".join(words))
+            at = int(ends[-1])
+        self.text = b" ".join(parts)
+        self.by_length = {}
+        for size, rows in found.items():
+            keys, item, start, length = np.concatenate(rows, axis=1)
+            keys = keys.view(np.uint64)
+            order = np.lexsort((start, item, keys))
+            keys, item = keys[order], item[order].astype(np.int32)
+            first = np.concatenate(([True], (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))
+            # Of a window that an item has twice one is enough.
+            keys, item, start, length = keys[first], item[first], start[order][first], length[order][first].astype(np.int32)
+            bits = max(10, int(np.ceil(np.log2(8 * len(keys) + 1))))
+            hit = np.zeros(1 << bits, bool)
+            hit[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.by_length[size] = bits, hit, keys, item, start, length
 
     def find(self, words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, set[str | None]]:
         """Which words lie inside an occurrence, and the items with occurring windows."""
         edge = np.zeros(len(words) + 1, np.int64)
-        found: set[str | None] = set()
-        for length, hit in self.maps.items():
-            if length > len(words):
+        found: set[int] = set()
+        for size, (bits, hit, keys, item, start, length) in self.by_length.items():
+            if size > len(words):
                 continue
-            places = np.flatnonzero(hit[(windows(hashes, length) >> np.uint64(64 - self.bits)).astype(np.int64)])
-            for i in places.tolist():
-                if (items := self.items.get(tuple(words[i : i + length]))) is not None:
+            wanted = windows(hashes, size)
+            places = np.flatnonzero(hit[(wanted >> np.uint64(64 - bits)).astype(np.int64)])
+            low, high = (np.searchsorted(keys, wanted[places], side) for side in ("left", "right"))
+            some = np.flatnonzero(low < high)
+            for i, a, b in zip(places[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                gram = b" ".join(words[i : i + size])
+                same = [k for k in range(a, b) if length[k] == len(gram) and self.text.startswith(gram, start[k])]
+                if same:
                     edge[i] += 1
-                    edge[i + length] -= 1
-                    found |= items
-        return np.cumsum(edge[:-1]) > 0, found
+                    edge[i + size] -= 1
+                    found.update(item[same].tolist())
+        return np.cumsum(edge[:-1]) > 0, {self.names[k] for k in found}
 
 
 def without_hits(text: bytes, hit: np.ndarray) -> bytes:
@@ -72,11 +91,14 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return step[::2], step[1::2]
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark as it is, or in hash blocks of about ``block_bytes`` of text."""
+def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int, block_windows: int) -> list[DataFrame]:
+    """The benchmark as it is, or in hash blocks of about ``block_bytes`` of text and ``block_windows`` words (as many windows at most)."""
     rows = benchmark.select(F.col(item).cast("string").alias("item_id"), F.col(text).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length(F.coalesce("item_id", F.lit("")))), F.lit(0))).first()[0]
-    n = -(-int(size) // block_bytes) or 1
+    found = rows.agg(
+        F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + F.octet_length(F.coalesce("item_id", F.lit("")))), F.lit(0)),
+        F.coalesce(F.sum(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0)))), F.lit(0)),
+    ).first()
+    n = max(-(-int(found[0]) // block_bytes), -(-int(found[1]) // block_windows), 1)
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows for k in range(n)]
 
 
@@ -107,12 +129,12 @@ def scan(docs: DataFrame, items: list[tuple[str | None, bytes | None]], n: int,
     return arrow_map(docs.select(*keep, F.col(text).alias("__text")), start, with_columns(kept, **more))
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", clean: bool = False, block_bytes: int = BLOCK_BYTES, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Per row of ``docs``: the columns ``keep``, ``n_words``, ``n_hit`` (words inside an occurrence of a
     window) and ``item_ids array<string>`` (items with occurring windows, sorted); with ``clean`` also
     ``clean_text``, the text without the hit words.
 
-    The size of ``benchmark`` is checked.  Up to ``block_bytes`` of text its windows are
+    The size of ``benchmark`` is checked.  Up to ``block_bytes`` of text and ``block_windows`` words its windows are
     broadcast and the documents pass through one map without a shuffle.  A larger one is taken in
     blocks, each broadcast alone and scanned against all documents, and the hit places of equal texts
     are united; hot groups of copies are combined before that shuffle.
@@ -120,7 +142,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 8, text: str
     Null and empty texts have no words and no hits.  An item without an id marks words but isn't
     listed; an item without words has no window.  Repeated rows give repeated results.
     """
-    blocks = blocks_of(benchmark, item, item_text, block_bytes)
+    blocks = blocks_of(benchmark, item, item_text, block_bytes, block_windows)
     collected = lambda b: [(r[0], None if r[1] is None else r[1].encode()) for r in b.collect()]
     if len(blocks) == 1:
         return scan(docs, collected(blocks[0]), n, text, keep, False, clean)
