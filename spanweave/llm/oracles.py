@@ -2,7 +2,7 @@
 
 from .licenses import PERCENT, PHRASES, TEMPLATES
 from .quality import FLOORS, LENGTH_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, SPREAD, TOP
-from .urls import CANONICAL, HREF, REFRESH, RULES, TRACKING
+from .urls import CANONICAL, HREF, REFRESH, RULES
 
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
 ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -58,7 +58,8 @@ def url_sql() -> str:
     verdict = " ".join(f"when {f} then {quoted(v)}" for f, (_, _, v) in zip(fits, order, strict=True))
     host = lambda u: f"coalesce({lower(f'''regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)''')}, '')"
     path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-    node = lambda u: f"case when contains({u}, '://') then {host(u)} || regexp_replace({path(u)}, '/+$', '') || regexp_replace(regexp_extract({u}, '(?s)^[^?#]*(\\?[^#]*)', 1), {quoted(TRACKING)}, '', 'g') end"
+    query = lambda u: f"trim(regexp_replace(regexp_replace('&' || regexp_extract({u}, '(?s)^[^?#]*\\?([^#]*)', 1), '&utm_[^&]*', '', 'g'), '&+', '&', 'g'), '&')"
+    node = lambda u: f"case when contains({u}, '://') then {host(u)} || regexp_replace({path(u)}, '/+$', '') || case when {query(u)} = '' then '' else '?' || {query(u)} end end"
     whole = "case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then 'http://' || host || t end"
     return f"""
 with recursive p as (select row_number() over () as r, page_id, {host("url")} as host, {path("url")} as path, {node("url")} as node, html from pages),

@@ -24,7 +24,8 @@ RULES = [
 #: Rules up to which they are held in the expression; more are joined by host.
 INLINE_RULES, BROADCAST_HOSTS = 200, 100_000
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
-TRACKING = r"[?&]utm_[^&]*"
+#: Start of the names of query parameters that don't tell pages apart.
+TRACKING = "utm_"
 #: Targets of canonical links and refresh redirects.
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -48,8 +49,9 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """The form that equivalent URLs share; null for null and for what has no ``://``."""
-    query = F.regexp_replace(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1), TRACKING, "")
-    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query))
+    given = F.split(F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1), "&")
+    query = F.array_join(F.filter(given, lambda x: (x != "") & ~x.startswith(TRACKING)), "&")
+    return F.when(url.contains("://"), F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
 
 
 def without_dots(path: Column) -> Column:

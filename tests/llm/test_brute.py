@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from urllib.parse import urljoin
 from math import floor, log, log2, log10
 
 import numpy as np
@@ -12,12 +13,14 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from spanweave.llm.components import connected_components
 from spanweave.llm.bpe import Encoder, WordBpe, bpe_encode
 from spanweave.llm import maxent, toxicity
 from spanweave.llm.maxent import lm_scores
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import LONE_WORDS, LONG_WORD, MIN_WORDS, span_report
+from spanweave.llm.urls import url_verdicts
 from spanweave.llm.text import BASE, BYTES, alnum_words, space_words
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -329,3 +332,60 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     rows = QUERIES["op6_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").groupBy("quality", F.expr("kept or (base_failed and quality = 1)").alias("kept")).count().collect()
     found = {(r.quality, r.kept): r["count"] for r in rows}
     assert found.get((1, False), 0) <= 0.01 * found[1, True] and found.get((0, True), 0) <= 0.05 * found[0, False]
+
+
+def classes_of(pairs):
+    """The least node that each node reaches."""
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in parent}
+
+
+def test_components_of_many_edges(spark):
+    draw = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 3000)] + [(5000 + i, 5000 + (i + 1) % 2000) for i in range(2000)] + [(10_000, 20_000 + i) for i in range(60_000)]
+    edges += [(draw.randrange(100_000, 140_000), draw.randrange(100_000, 140_000)) for _ in range(35_000)]
+    draw.shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect()}
+    assert got == classes_of([e for e in edges if e[0] != e[1]])
+
+
+def test_verdicts_over_generated_links(spark):
+    draw = random.Random(4)
+    hosts = ["a.org", "b.net", "c.example.net", "d.com", "e.io"]
+    urls = [f"http://{draw.choice(hosts)}/{draw.choice(['en', 'fr', 'x'])}/{draw.choice(['', 'y/'])}p{k}" for k in range(240)]
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"), ("d.com", "/x/", "block")]
+    pages, links = [], []
+    for k, url in enumerate(urls):
+        html = ""
+        for target in draw.choices([urls[draw.randrange(240)], urls[min(k + 1, 239)], urls[7], f"p{draw.randrange(240)}", f"../x/p{draw.randrange(240)}", f"/fr/p{draw.randrange(240)}"], k=draw.choice([0, 0, 1])):
+            html += draw.choice(['<link rel="canonical" href="{}">', "<link href={} rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">']).format(target)
+            links.append((url, urljoin(url, target)))
+        pages.append((k, draw.choice([url, url + "/", url + "?utm_m=1", url.replace("http:", "https:") + "#f"]), html))
+    plain = lambda u: u.split("://")[1].rstrip("/")
+
+    def rule(url):
+        host, _, path = plain(url).partition("/")
+        fits = [(len(h) + len(p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    component = classes_of([(plain(a), plain(b)) for a, b in links] + [(plain(u), plain(u)) for u in urls])
+    verdicts = collections.defaultdict(set)
+    for u in urls:
+        verdicts[component[plain(u)]].add(rule(u))
+    want = {}
+    for k, u in enumerate(urls):
+        met = verdicts[component[plain(u)]]
+        want[k] = rule(u) or ("block" if "block" in met and "allow" not in met else "allow")
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_verdicts(table, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert got == want and sum(rule(u) is None and want[k] == "block" for k, u in enumerate(urls)) > 5

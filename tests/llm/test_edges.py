@@ -47,6 +47,21 @@ def test_hits(odd, benchmark):
     assert (got[6][0].n_hit, got[6][0].n_items, got[6][0].contaminated) == (1, 1, False)
     assert (got[4][0].n_hit, got[4][0].n_words) == (14999, 15000)
     assert by_id(hit_digest(benchmark_hits(odd, benchmark, block_bytes=40))) == got
+    assert by_id(hit_digest(benchmark_hits(odd, benchmark, block_windows=2))) == got
+
+
+def test_a_block_of_windows_is_small(spark):
+    import pickle
+
+    from spanweave.llm.decontaminate import BLOCK_WINDOWS, Grams, blocks_of
+
+    text = " ".join(str(i % 9973) for i in range(100_000)).encode()
+    grams = Grams([(str(k), text) for k in range(3)], 8)
+    windows = sum(len(x[2]) for x in grams.by_length.values())
+    assert windows == 3 * 9973 and len(pickle.dumps(grams)) < 40 * windows + len(grams.text) + 1000
+    rows = spark.createDataFrame([(str(k), "a b c " * 50) for k in range(30)], "item_id string, text string")
+    blocks = blocks_of(rows, "item_id", "text", 1 << 20, 1000)
+    assert len(blocks) == 5 and sum(b.count() for b in blocks) == 30 and len(blocks_of(rows, "item_id", "text", 1 << 20, BLOCK_WINDOWS)) == 1
 
 
 def test_decontaminate(odd, benchmark):
@@ -216,3 +231,11 @@ def test_adjacent_conversations_with_a_prompt_of_several_turns(spark):
     assert (got.chosen_id, got.rejected_id, got.n_prompt_turns, got.usable) == (2, 3, 4, True)
     assert got.prompt == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in shared)
     assert (got.chosen, got.rejected) == tuple(f"<|im_start|>assistant\n{x}<|im_end|>\n" for x in ("yes", "no"))
+
+
+def test_tracking_parameters_anywhere(spark):
+    from spanweave.llm.urls import node_of
+
+    urls = {"http://H/p?utm_source=x&a=1": "h/p?a=1", "http://h/p/?a=1&utm_x=2": "h/p?a=1", "https://h/p?a=1&utm_x&b=2#f": "h/p?a=1&b=2", "http://h/?utm_x": "h", "http://h/p?&a=1&": "h/p?a=1", "h/p?a": None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert {r.u: r.n for r in df.select("u", node_of(F.col("u")).alias("n")).collect()} == urls
