@@ -77,3 +77,20 @@ def adjacent_pairs(conversations: DataFrame) -> DataFrame:
     """Each conversation of an even id as the chosen side of the one after it."""
     even = conversations.select("conv_id").where("conv_id % 2 = 0").distinct()
     return even.select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"))
+
+
+def other_endings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Preference pairs that share their beginning: the turns of all sides, and the pairs.
+
+    The chosen side is a conversation with an assistant turn, the rejected one (of id ``-1 - conv_id``) has the same turns up to
+    the last of the assistant, and in its place the text of the last one of the next conversation.  Conversations
+    whose successor is missing or has no such turn, and those without an id, have no pair.
+    """
+    turn = F.struct("turn", "role", "text")
+    last = conversations.where(F.col("role") == LEARNED).groupBy("conv_id").agg(F.max(turn).alias("last"))
+    ends = last.join(last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other")), "conv_id")
+    rejected = (-1 - F.col("conv_id")).alias("conv_id")
+    begins = conversations.join(ends, "conv_id").where(turn < F.col("last")).select(rejected, "turn", "role", "text")
+    changed = ends.select(rejected, "last.turn", F.lit(LEARNED).alias("role"), F.col("other").alias("text"))
+    chosen = conversations.join(ends.select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn", "role", "text")
+    return chosen.unionByName(begins).unionByName(changed), ends.select(F.col("conv_id").alias("chosen_id"), rejected.alias("rejected_id"))

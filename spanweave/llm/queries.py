@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .chat import adjacent_pairs, preference_pairs
+from .chat import adjacent_pairs, other_endings, preference_pairs
 from .decontaminate import benchmark_hits, hit_digest
 from .licenses import license_scan
 from .maxent import lm_scores
@@ -24,7 +24,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
-    pairs = preference_pairs(conversations, adjacent_pairs(conversations))
+    turns, endings = other_endings(conversations)
+    # Pairs of whole conversations and, under ids below 0, pairs that differ at the end.
+    both = conversations.select("conv_id", "turn", "role", "text").unionByName(turns)
+    pairs = preference_pairs(both, adjacent_pairs(conversations).unionByName(endings))
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     return pairs.withColumns({c: shown(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 

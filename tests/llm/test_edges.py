@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm.bpe import bpe_decode, bpe_encode
-from spanweave.llm.chat import adjacent_pairs, preference_pairs
+from spanweave.llm.chat import adjacent_pairs, other_endings, preference_pairs
 from spanweave.llm.components import connected_components
 from spanweave.llm.decontaminate import benchmark_hits, decontaminate, hit_digest
 from spanweave.llm.licenses import license_scan
@@ -239,3 +239,14 @@ def test_tracking_parameters_anywhere(spark):
     urls = {"http://H/p?utm_source=x&a=1": "h/p?a=1", "http://h/p/?a=1&utm_x=2": "h/p?a=1", "https://h/p?a=1&utm_x&b=2#f": "h/p?a=1&b=2", "http://h/?utm_x": "h", "http://h/p?&a=1&": "h/p?a=1", "h/p?a": None}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: r.n for r in df.select("u", node_of(F.col("u")).alias("n")).collect()} == urls
+
+
+def test_other_endings(spark):
+    talks = {0: [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b"), ("user", "bye")], 1: [("user", "s"), ("assistant", "c")], 2: [("user", "no answer")], 4: [("assistant", "alone")], 5: [("assistant", None)]}
+    turns = spark.createDataFrame([(c, i, *t) for c, x in talks.items() for i, t in enumerate(x)] + [(None, 0, "assistant", "x")], "conv_id long, turn int, role string, text string")
+    both, pairs = other_endings(turns)
+    got = {r.chosen_id: r for r in preference_pairs(both, pairs).collect()}
+    assert {k: (r.rejected_id, r.n_prompt_turns, r.usable) for k, r in got.items()} == {0: (-1, 3, True), 4: (-5, 0, True)}
+    assert got[0].rejected == "<|im_start|>assistant\nc<|im_end|>\n" and got[0].chosen.endswith("user\nbye<|im_end|>\n")
+    assert got[4].rejected == "<|im_start|>assistant\n<|im_end|>\n"
+    assert preference_pairs(*other_endings(turns.where("false"))).isEmpty()
