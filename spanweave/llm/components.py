@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: Edges whose forest one worker builds at once.
-LOCAL_EDGES = 1_000_000
+#: Nodes whose forest one worker builds at once (about 50 MB).
+LOCAL_NODES = 250_000
 
 
 def forest(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def forest(edges: DataFrame) -> DataFrame:
                 x, y = root(x), root(y)
                 if x != y:
                     parent[max(x, y)] = min(x, y)
-            if len(parent) > LOCAL_EDGES:
+            if len(parent) > LOCAL_NODES:
                 yield stars()
         if like is not None:
             yield stars()

@@ -23,24 +23,24 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .staging import staged
+from .staging import broadcast_if_small, staged
 from .text import WordHash, arrow_map, as_bytes, carried, mixed, restored, shingles, space_words
 
 #: Words of a shingle, and the similarity of a link in percent.
 SHINGLE, PERCENT = 5, 75
 #: Trees of the forest, values per tree and those that make a bucket.
 TREES, VALUES, DEPTH = 20, 7, 3
-#: Share of equal signature values below which a pair is not confirmed: four standard deviations under 0.75.
-LEAST_EQUAL = 0.6
+#: Share of equal signature values below which a pair is not confirmed: five and a half standard deviations under 0.75.
+LEAST_EQUAL = 0.55
 #: Bucket sizes from which prefixes deepen and equal ones are dealt out; members and queries of a comparison block.
 DENSE, DEAL, BLOCK, QUERIES = 256, 4096, 512, 4096
 #: Candidates of a class that are confirmed in the first phase; the second phase takes all others.
 BEST = 2
-#: Ids up to which the set of documents to confirm is broadcast.
-BROADCAST_IDS = 2_000_000
 
 MULTIPLIERS = mixed(np.arange(1, TREES * VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -77,8 +77,7 @@ def shingle_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
     """``rep`` and ``shingles`` (sorted 64-bit hashes) of the documents whose id is in ``wanted(rep)``."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    chosen = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(ids, "rep", "left_semi")
+    chosen = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(broadcast_if_small(wanted), "rep", "left_semi")
 
     def start():
         cache = WordHash()
@@ -93,7 +92,10 @@ def shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) ->
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """Classes that share a bucket with another: ``key``, ``rep``, ``deep`` (the tree's further values), ``n`` and ``low`` of the bucket."""
+    """Classes that share a bucket with another: ``key``, ``rep``, ``deep`` (the tree's further values), ``n`` and ``low`` of the bucket.
+
+    Sizes are written first, so that the join with them is one of two plain tables and Spark can split a large bucket.
+    """
     width = 2 * VALUES
     rows = classes.select("rep", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select(
         F.xxhash64("tree", F.substring("sig", F.col("tree") * width + 1, F.lit(2 * DEPTH))).alias("key"),
@@ -101,7 +103,7 @@ def buckets(classes: DataFrame) -> DataFrame:
         "rep",
         F.substring("sig", F.col("tree") * width + 1 + 2 * DEPTH, F.lit(width - 2 * DEPTH)).alias("deep"),
     )
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    sizes = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"))
     return rows.join(sizes, "key")
 
 
@@ -165,7 +167,7 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
     """
     placed = members.select("key", "tree", "rep", "n").join(component_of.withColumnRenamed("node", "rep"), "rep", "left").select("key", "tree", "rep", "n", F.coalesce("component", "rep").alias("component"))
     shares = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
-    main = shares.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.max("m").alias("most")).where("parts > 1")
+    main = staged(shares.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts"), F.max("m").alias("most")).where("parts > 1"))
     rows = placed.join(main, "key").withColumns(
         {
             "query": F.col("component") != F.col("main"),
@@ -191,8 +193,9 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
             if chosen:
                 yield from group.select(columns).take(pa.array(sorted(chosen))).combine_chunks().to_batches()
 
+    arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
+
     def linked(batches):
-        arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
         for group in grouped(batches, 3):
             found = links(group)
             if found:
@@ -205,7 +208,7 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
 
 
 def id_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind]
+    return to_arrow_schema(_parse_datatype_string(f"id {kind}"))[0].type
 
 
 def grouped(batches, n: int):
@@ -279,7 +282,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Words are runs without ASCII white space, A-Z lower-cased; a set has the distinct 5-word shingles, or
     the whole sequence of a shorter text.  Null and empty texts have empty sets and no links.  Rows that
-    share an id are one document.  A row without an id has no component and is kept.
+    share an id are one document.  A row without an id has no component and is kept.  Ids are of any type that has an order.
     """
     table = staged(shingle_table(docs, doc_id, text))
     classes = staged(table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
@@ -304,5 +307,4 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The rows of ``docs`` without the documents that are near-duplicates of one with a lesser id."""
     held, own = carried(docs)
     dropped = staged(near_groups(docs.select(doc_id, text), doc_id, text).where("not kept").select(F.col("doc_id").alias("__id")).distinct())
-    ids = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    return restored(held.join(ids, F.col(own[doc_id]) == F.col("__id"), "left_anti"), docs)
+    return restored(held.join(broadcast_if_small(dropped), F.col(own[doc_id]) == F.col("__id"), "left_anti"), docs)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import word_bounds
-from .staging import staged
+from .staging import broadcast_if_small, staged
 from .text import STEP, WordHash, alnum_words, arrow_map, as_bytes, carried, mixed, restored, with_columns
 
 #: Words that a span of several sentences has at least, and one of a single sentence.
@@ -28,8 +28,6 @@ SENTENCE_END = re.compile(rb"(?:[.!?]|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4)+(?=\s)[ \t
 #: A second odd multiplier, and the inverses of both modulo 2**64.
 STEP_2 = np.uint64(0xD6E8FEB86659FD93)
 INVERSE, INVERSE_2 = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (STEP, STEP_2))
-#: Documents with repeated spans, and spans, up to which their places are broadcast.
-BROADCAST_DOCS, BROADCAST_SPANS = 200_000, 2_000_000
 
 
 def sentence_ends(raw: bytes) -> np.ndarray:
@@ -181,9 +179,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     order of their texts' hashes.  A row without an id stays as it is and is never a first occurrence.
     """
     found = staged(covered(repeated_spans(docs, doc_id, text))).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    rows, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
-    found = F.broadcast(found) if rows <= BROADCAST_DOCS and spans <= BROADCAST_SPANS else found
-    joined = docs.join(found, (F.col(doc_id) == F.col("__id")) & (row_key(text) == F.col("__row")), "left").drop("__id", "__row")
+    joined = docs.join(broadcast_if_small(found), (F.col(doc_id) == F.col("__id")) & (row_key(text) == F.col("__row")), "left").drop("__id", "__row")
     names = joined.columns
     at, text_at = names.index("__spans"), names.index(text)
 

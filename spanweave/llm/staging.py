@@ -4,6 +4,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of rows up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,5 +46,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for a broadcast if its rows take at most ``most`` bytes (16 a row, and its values as strings).  It is read for that, so it should be staged."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]))), F.lit(0))).first()
+    return F.broadcast(df) if 16 * rows + size <= most else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

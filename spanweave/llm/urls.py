@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .licenses import LOWER, UPPER
-from .staging import staged
+from .staging import broadcast_if_small, staged
 
 #: Rules of the check: (host, path, verdict) (fixed values).
 RULES = [
@@ -22,7 +22,7 @@ RULES = [
     ("org", "/fr/", "allow"),
 ]
 #: Rules up to which they are held in the expression; more are joined by host.
-INLINE_RULES, BROADCAST_HOSTS = 200, 100_000
+INLINE_RULES = 200
 HOST, PATH = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)"
 #: Start of the names of query parameters that don't tell pages apart.
 TRACKING = "utm_"
@@ -113,8 +113,7 @@ def ruled(pages: DataFrame, rules: DataFrame) -> DataFrame:
     parts = F.split("host", r"\.")
     parents = hosts.select(F.col("host").alias("page_host"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("host"))
     by_host = staged(parents.join(named, "host").groupBy("page_host").agg(F.collect_list(F.struct("host", "path", "verdict")).alias("rules")))
-    by_host = F.broadcast(by_host) if by_host.count() <= BROADCAST_HOSTS else by_host
-    joined = pages.join(by_host, F.col("host") == F.col("page_host"), "left").drop("page_host")
+    joined = pages.join(broadcast_if_small(by_host), F.col("host") == F.col("page_host"), "left").drop("page_host")
     return joined.withColumn("best", F.when(F.col("rules").isNotNull(), fitting(F.col("rules"), F.col("host"), F.col("path")))).drop("rules")
 
 
@@ -139,6 +138,6 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = N
     joined = facts.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
     stopped = joined.groupBy("component").agg(F.bool_or("blocked").alias("b"), F.bool_or("allowed").alias("a"), F.bool_or("open").alias("o")).where("b and o and not a")
     spread = staged(joined.where("open").join(stopped.select("component"), "component", "left_semi").select("node", F.lit(True).alias("spread")))
-    done = placed.join(F.broadcast(spread) if spread.count() <= BROADCAST_HOSTS else spread, "node", "left")
+    done = placed.join(broadcast_if_small(spread), "node", "left")
     verdict = F.coalesce(F.col("best.verdict"), F.when(F.col("spread"), "block").otherwise("allow"))
     return done.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))

@@ -250,3 +250,13 @@ def test_other_endings(spark):
     assert got[0].rejected == "<|im_start|>assistant\nc<|im_end|>\n" and got[0].chosen.endswith("user\nbye<|im_end|>\n")
     assert got[4].rejected == "<|im_start|>assistant\n<|im_end|>\n"
     assert preference_pairs(*other_endings(turns.where("false"))).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["date", "decimal(12,0)", "string"])
+def test_near_groups_by_other_ids(spark, kind):
+    words = [f"w{i}" for i in range(60)]
+    docs = [" ".join(words), " ".join([*words, "x"]), "other words altogether here now", " ".join(["y", *words[2:]])]
+    ids = spark.createDataFrame([(20200101 + i, t) for i, t in enumerate(docs)], "i long, text string").select(F.expr("to_date(cast(i as string), 'yyyyMMdd')" if kind == "date" else f"cast(i as {kind})").alias("doc_id"), "text")
+    rows = sorted(near_groups(ids).collect(), key=lambda r: str(r.doc_id))
+    first = rows[0].doc_id
+    assert [r.component_id == first for r in rows] == [True, True, False, True] and [r.kept for r in rows] == [True, False, True, False]
