@@ -1,10 +1,10 @@
 """Islands of overlapping intervals, and what is built on them."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SPEC, Spec, framed, ungrouped
-from ..plans.prefix import Stretches
+from ..model import SPEC, Spec, carrying, framed, ungrouped
+from ..plans.prefix import Stretches, before_groups
 
 
 def islands(rows: DataFrame, slack: int = 0) -> DataFrame:
@@ -26,23 +26,22 @@ def merged(rows: DataFrame, slack: int = 0) -> DataFrame:
     )
 
 
+@carrying
 def merge(df: DataFrame, spec: Spec = SPEC, slack: int = 0) -> DataFrame:
     """Islands as ``idx``, ``start``, ``end`` and ``count``; touching intervals stay apart at slack 0, and gaps below ``slack`` close."""
     return merged(framed(df, spec), slack).select(F.col("i").alias("idx"), F.col("s").alias("start"), F.col("e").alias("end"), "count")
 
 
+@carrying
 def cluster(df: DataFrame, spec: Spec = SPEC, slack: int = 0) -> DataFrame:
     """``cluster_id`` and ``idx``: islands numbered over the ordered groups from 0, one number left out at each change of group."""
     found = islands(framed(df, spec), slack)
     # One row per group: its islands and the gap before it.
-    base = found.groupBy("g").agg(F.max("island").alias("n")).select("g", (F.coalesce(F.sum("n").over(_before("g")), F.lit(0)) + F.coalesce(F.count("*").over(_before("g")), F.lit(0))).alias("base"))
+    base = before_groups(found.groupBy("g").agg(F.max("island").alias("n")), base=F.col("n") + 1).drop("n")
     return found.join(base, "g").select((F.col("base") + F.col("island") - 1).alias("cluster_id"), F.col("i").alias("idx"))
 
 
-def _before(order: str):
-    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
+@carrying
 def boundary(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """Per group ``idx`` (of the greatest (end, id)), ``start``, ``end`` and ``count``."""
     rows = framed(df, spec)
@@ -58,10 +57,11 @@ def complement(df: DataFrame, lengths: DataFrame | None = None, spec: Spec = SPE
     """
     rows = framed(df, spec)
     joined = merged(rows, slack)
-    laid = Stretches(joined, "s")
+    laid = Stretches(joined, "s", like=rows)
     after = laid.running(laid.df, [F.col("s")], "min", F.col("s"), "next", after=True)
     first = rows.groupBy("g").agg(F.min_by("i", F.struct("s", "i")).alias("i"), F.min("s").alias("low"))
-    named = first.withColumn("idx", F.when(F.row_number().over(Window.orderBy("g")) == 1, F.lit(0).cast(rows.schema["i"].dataType)).otherwise(F.col("i"))).select("g", "idx", "low")
+    least = rows.agg(F.min("g").alias("__least"))
+    named = first.crossJoin(F.broadcast(least)).select("g", F.when(F.col("g") == F.col("__least"), F.lit(0).cast(rows.schema["i"].dataType)).otherwise(F.col("i")).alias("idx"), "low")
     if lengths is not None:
         ends = lengths.select(spec.group().alias("g"), F.col(length).cast("long").alias("length")).groupBy("g").agg(F.max("length").alias("length"))
         after = after.join(ends, "g", "left")

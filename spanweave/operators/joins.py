@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contained_either_way, overlap
-from ..model import SPEC, Spec, framed, same_groups
+from ..model import SPEC, Spec, carrying, framed, same_groups
 from ..plans.binning import range_join
 from ..plans.prefix import Stretches
 
@@ -17,14 +17,15 @@ def _sides(a: DataFrame, b: DataFrame, spec: Spec, other: Spec) -> tuple[DataFra
     return framed(a, spec), framed(b, other).withColumnsRenamed({"i": "i2", "s": "s2", "e": "e2"})
 
 
-def _chosen(pairs: DataFrame, multiple: str) -> DataFrame:
-    """All pairs, or for each left row that with the least or greatest (start, id)."""
+def _chosen(pairs: DataFrame, multiple: str, sort_output: bool) -> DataFrame:
+    """All pairs, or for each left row that with the least or greatest (start, id); ordered by both ids if asked for."""
     if multiple not in MULTIPLE:
         raise ValueError(f"multiple is one of {MULTIPLE}")
     if multiple != "all":
         pick = F.min if multiple == "first" else F.max
         pairs = pairs.groupBy("i").agg(pick(F.struct("s2", "i2")).alias("p")).select("i", F.col("p.i2").alias("i2"))
-    return pairs.select(F.col("i").alias("idx"), F.col("i2").alias("idx2"))
+    out = pairs.select(F.col("i").alias("idx"), F.col("i2").alias("idx2"))
+    return out.orderBy("idx", "idx2") if sort_output else out
 
 
 def _pairs(a: DataFrame, b: DataFrame, slack: int, contained: bool, bin_width: int | None) -> DataFrame:
@@ -39,36 +40,41 @@ def _pairs(a: DataFrame, b: DataFrame, slack: int, contained: bool, bin_width: i
     return range_join(wide, b, ("from", "to"), ("s2", "e2"), condition, bin_width)
 
 
-def overlaps(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, multiple: str = "all", contained: bool = False, slack: int = 0, bin_width: int | None = None) -> DataFrame:
+@carrying
+def overlaps(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, multiple: str = "all", contained: bool = False, slack: int = 0, bin_width: int | None = None, sort_output: bool = False) -> DataFrame:
     """Pairs (``idx``, ``idx2``) of overlapping intervals of the same group.
 
     ``slack`` also takes gaps below it.  ``contained`` takes the pairs whose left interval, wider by
     ``slack`` on both sides, lies in the right one.  ``multiple``: all pairs, or per left row the first or
-    last right one by (start, id).
+    last right one by (start, id).  ``sort_output`` orders the rows by both ids.
     """
     x, y = _sides(a, b, spec, other)
-    return _chosen(_pairs(x, y, slack, contained, bin_width), multiple)
+    return _chosen(_pairs(x, y, slack, contained, bin_width), multiple, sort_output)
 
 
-def overlaps_simple(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, multiple: str = "all", contained: bool = False, slack: int = 0, bin_width: int | None = None) -> DataFrame:
+@carrying
+def overlaps_simple(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, multiple: str = "all", contained: bool = False, slack: int = 0, bin_width: int | None = None, sort_output: bool = False) -> DataFrame:
     """As ``overlaps``, with starts that slack may move below 0, and with ``contained`` for containment either way, which slack relaxes."""
     x, y = _sides(a, b, spec, other)
     columns = [F.col(c) for c in ("s", "e", "s2", "e2")]
     condition = (contained_either_way if contained else overlap)(*columns, slack)
     wide = x.withColumns({"from": F.col("s") - slack, "to": F.col("e") + slack})
-    return _chosen(range_join(wide, y, ("from", "to"), ("s2", "e2"), condition, bin_width), multiple)
+    return _chosen(range_join(wide, y, ("from", "to"), ("s2", "e2"), condition, bin_width), multiple, sort_output)
 
 
+@carrying
 def semi_overlaps(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, slack: int = 0) -> DataFrame:
     """``idx`` of the left rows that overlap some right row."""
     return _counted(a, b, spec, other, slack, clamp=False).where("count > 0").select("idx")
 
 
+@carrying
 def complement_overlaps(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, slack: int = 0) -> DataFrame:
     """``idx`` of the left rows that overlap no right row; all of them where the right side is empty."""
     return _counted(a, b, spec, other, slack, clamp=False).where("count = 0").select("idx")
 
 
+@carrying
 def count_overlaps(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, slack: int = 0) -> DataFrame:
     """``idx`` and ``count``, the number of right rows that each left row overlaps, 0 included."""
     return _counted(a, b, spec, other, slack, clamp=True)

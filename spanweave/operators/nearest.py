@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import SPEC, Spec, framed, same_groups
+from ..model import SPEC, Spec, carrying, framed, same_groups
 from ..plans.binning import extent, range_join
 from ..plans.prefix import Stretches
 from .joins import OTHER
@@ -11,6 +11,7 @@ from .joins import OTHER
 DIRECTIONS = ("any", "forward", "backward")
 
 
+@carrying
 def nearest(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER, k: int = 1, slack: int = 0, include_overlaps: bool = True, direction: str = "any") -> DataFrame:
     """``idx``, ``idx2`` and ``distance`` of the right intervals at the ``k`` least distances from each left one, ties included.
 
@@ -27,13 +28,11 @@ def nearest(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER,
     x = framed(a, spec).select("g", "i", (F.col("s") - slack).alias("s"), (F.col("e") - slack).alias("e"))
     y = framed(b, other).select("g", F.col("i").alias("i2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     extents = extent(x, "s", "e"), extent(y, "s2", "e2")
-    lows, highs = ([v for r in extents if (v := r[k]) is not None] for k in ("low", "high"))
-    bounds = sum(r.n for r in extents), min(lows, default=0), max(highs, default=0)
     found = []
     if direction != "forward":
-        found.append(_ranked(x, y, "s", "e2", k, bounds, before=True).select("i", "i2", (F.col("at") - F.col("p") + 1).alias("distance")))
+        found.append(_ranked(x, y, "s", "e2", k, before=True).select("i", "i2", (F.col("at") - F.col("p") + 1).alias("distance")))
     if direction != "backward":
-        found.append(_ranked(x, y, "e", "s2", k, bounds, before=False).select("i", "i2", (F.col("p") - F.col("at") + 1).alias("distance")))
+        found.append(_ranked(x, y, "e", "s2", k, before=False).select("i", "i2", (F.col("p") - F.col("at") + 1).alias("distance")))
     if include_overlaps:
         met = range_join(x, y, ("s", "e"), ("s2", "e2"), (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")), extents=extents)
         found.append(met.select("i", "i2", F.lit(0).cast("long").alias("distance")))
@@ -44,14 +43,14 @@ def nearest(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER,
     return both.withColumn("__place", place).where(F.col("__place") <= k).select(F.col("i").alias("idx"), F.col("i2").alias("idx2"), "distance")
 
 
-def _ranked(x: DataFrame, y: DataFrame, at: str, end: str, k: int, bounds: tuple, before: bool) -> DataFrame:
+def _ranked(x: DataFrame, y: DataFrame, at: str, end: str, k: int, before: bool) -> DataFrame:
     """Left rows with the right rows at the ``k`` nearest distinct positions ``end`` up to (or from) ``at``: ``i``, ``at``, ``i2``, ``p``."""
     none = F.lit(None).cast(x.schema["i"].dataType)
     told = y.select("g", F.col(end).alias("p"), none.alias("i"), F.lit(1).alias("new")).distinct()
     asked = x.select("g", F.col(at).alias("p"), "i", F.lit(0).alias("new"))
     # Positions equal to the question's count as before it on the left, and not on the right.
     order: list[Column] = [F.col("p"), F.col("new").desc() if before else F.col("new"), F.col("i")]
-    laid = Stretches(told.unionByName(asked), "p", bounds)
+    laid = Stretches(told.unionByName(asked), "p")
     ranked = laid.running(laid.df, order, "sum", F.col("new"), "r", inclusive=True)
     low, high = (F.greatest(F.col("r") - k + 1, F.lit(1).cast("long")), F.col("r")) if before else (F.col("r") + 1, F.col("r") + k)
     wanted = ranked.where("new = 0").where(F.col("r") >= (1 if before else 0)).select("g", "i", F.col("p").alias("at"), F.explode(F.sequence(low, high)).alias("r"))

@@ -4,13 +4,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import SPEC, Spec, framed, same_groups
+from ..model import SPEC, Spec, carrying, framed, same_groups
 from ..plans.binning import range_join
 from ..plans.prefix import Stretches
 from .islands import islands, merged
 from .joins import OTHER
 
 
+@carrying
 def subtract(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER) -> DataFrame:
     """The maximal pieces of each left interval that no right interval of its group covers: ``idx``, ``start``, ``end``.
 
@@ -27,6 +28,7 @@ def subtract(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER)
     return marks.select(F.col("i").alias("idx"), start.alias("start"), F.col("s2").alias("end")).where("start < end")
 
 
+@carrying
 def split(df: DataFrame, spec: Spec = SPEC, slack: int = 0, between: bool = False) -> DataFrame:
     """Segments between neighbouring starts and ends of a group that some interval covers, or with ``between`` all of them.
 
@@ -51,6 +53,7 @@ def split(df: DataFrame, spec: Spec = SPEC, slack: int = 0, between: bool = Fals
     return done.select(F.col("first.i").alias("idx"), F.col("p").alias("start"), F.col("next").alias("end"))
 
 
+@carrying
 def max_disjoint(df: DataFrame, spec: Spec = SPEC, slack: int = 0) -> DataFrame:
     """``idx`` of the intervals that are taken greedily in the order (start, end, id): each that starts more than ``3 * slack`` past the last one taken.
 

@@ -3,21 +3,23 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SPEC, Spec, floor_div, framed
+from ..model import SPEC, Spec, carrying, floor_div, framed
 from ..plans.prefix import Stretches
 
 
+@carrying
 def tile(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     """Tiles of a global grid that each interval meets, not clipped: ``idx``, ``start``, ``end`` and ``fraction``, the covered share of the tile."""
     if size <= 0:
         raise ValueError("size is above 0")
-    rows = df.select(F.col(spec.idx).alias("i"), F.col(spec.start).cast("long").alias("s"), F.col(spec.end).cast("long").alias("e")).where("s < e")
+    rows = df.select(spec.id().alias("i"), F.col(spec.start).cast("long").alias("s"), F.col(spec.end).cast("long").alias("e")).where("s < e")
     each = rows.withColumn("j", F.explode(F.sequence(floor_div(F.col("s"), size), floor_div(F.col("e") - 1, size)))).withColumn("start", F.col("j") * size)
     end = F.col("start") + size
     shared = F.least(end, F.col("e")) - F.greatest("start", "s")
     return each.select(F.col("i").alias("idx"), "start", end.alias("end"), (shared / F.lit(float(size))).alias("fraction"))
 
 
+@carrying
 def window(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     """Pieces of each interval cut at multiples of ``size`` along the joined lengths of its run: ``idx``, ``start``, ``end``.
 
@@ -28,7 +30,7 @@ def window(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     if size <= 0:
         raise ValueError("size is above 0")
     strand = F.coalesce(F.col(spec.strand), F.lit(False)) if spec.strand else F.lit(False)
-    rows = framed(df, spec, neg=strand).withColumn("n", F.col("i").cast("long"))
+    rows = framed(df, spec, neg=strand, n=F.col(spec.idx).cast("long"))
     if spec.by:
         line = Stretches(rows.select(F.lit(0).alias("g"), F.col("g").alias("own"), "i", "s", "e", "neg", "n"), "n")
         before = line.running(line.df, [F.col("n")], "max", F.struct("n", "own"), "last")
@@ -51,6 +53,7 @@ def window(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     )
 
 
+@carrying
 def extend(df: DataFrame, ext_3: int = 0, ext_5: int = 0, spec: Spec = SPEC) -> DataFrame:
     """All rows as ``idx``, ``start``, ``end``, with each group's least start and greatest end moved out.
 
@@ -72,13 +75,14 @@ def extend(df: DataFrame, ext_3: int = 0, ext_5: int = 0, spec: Spec = SPEC) ->
     )
 
 
+@carrying
 def genome_bounds(df: DataFrame, length: str, clip: bool = False, only_right: bool = False, spec: Spec = SPEC) -> DataFrame:
     """``idx``, ``start``, ``end`` of the rows within ``[0, length)`` (a column), or with ``clip`` their parts within it.
 
     ``only_right`` looks at the right bound alone.
     """
     s, e, n = (F.col(c).cast("long") for c in (spec.start, spec.end, length))
-    rows = df.select(F.col(spec.idx).alias("idx"), s.alias("start"), e.alias("end"), n.alias("n"))
+    rows = df.select(spec.id().alias("idx"), s.alias("start"), e.alias("end"), n.alias("n"))
     if not clip:
         return rows.where("end <= n" if only_right else "end <= n and start >= 0").drop("n")
     inside = rows.where("start < n" if only_right else "start < n and end > 0")

@@ -4,27 +4,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signed
-from ..model import SPEC, Spec, framed
+from ..model import SPEC, Spec, carrying, framed
 from ..plans.binning import range_join
 from ..plans.prefix import Stretches
 
-#: Shift that puts minus rows before plus rows in one long order; coordinates stay far below it.
-FAR = 1 << 61
-
-
-def group_cumsum(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
+@carrying
+def group_cumsum(df: DataFrame, spec: Spec = SPEC, sort: bool | None = None) -> DataFrame:
     """``idx`` with the lengths of its group before (``start``) and with it (``end``).
 
     Rows with a true ``spec.strand`` (all, without one) are walked by ascending start, others by descending start.
+    ``sort`` orders the result by id, false by group in walking order, and by default it has no order.
     """
     up = F.coalesce(F.col(spec.strand), F.lit(True)) if spec.strand else F.lit(True)
     rows = framed(df, spec, degenerate=True, up=up).withColumn("key", signed(F.col("up"), F.col("s")))
     laid = Stretches(rows, "key")
     length = F.abs(F.col("e") - F.col("s"))
     done = laid.running(laid.df, [F.col("key"), F.col("i")], "sum", length, "end", inclusive=True)
-    return done.select(F.col("i").alias("idx"), (F.col("end") - length).alias("start"), "end")
+    out = done if sort is None else done.orderBy("i") if sort else done.orderBy("g", "key", "i")
+    return out.select(F.col("i").alias("idx"), (F.col("end") - length).alias("start"), "end")
 
 
+@carrying
 def spliced_subsequence(df: DataFrame, start: int | str = 0, end: int | str | None = None, force_plus: bool = False, spec: Spec = SPEC) -> DataFrame:
     """What is left of each interval within ``[start, end)`` along the joined intervals of its group: ``idx``, ``start``, ``end``.
 
@@ -35,13 +35,18 @@ def spliced_subsequence(df: DataFrame, start: int | str = 0, end: int | str | No
     up = F.coalesce(F.col(spec.strand), F.lit(True)) if spec.strand else F.lit(True)
     value = lambda x: F.col(x).cast("long") if isinstance(x, str) else F.lit(x).cast("long")
     rows = framed(df, spec, up=up, low=value(start), high=value(end))
-    rows = rows.withColumn("pos", signed(F.col("up"), F.col("s")) + F.when(F.col("up"), FAR).otherwise(-FAR)).withColumn("key_e", signed(F.col("up"), F.col("e")))
+    rows = rows.withColumn("pos", signed(F.col("up"), F.col("s"))).withColumn("key_e", signed(F.col("up"), F.col("e")))
     order: list[Column] = [F.col("pos"), F.col("key_e"), F.col("i")]
     length = F.col("e") - F.col("s")
-    laid = Stretches(rows, "pos")
-    placed = laid.running(laid.df, order, "sum", length, "upto", inclusive=True)
-    whole = rows.groupBy("g").agg(F.sum(length).alias("total"), F.min_by(F.struct("low", "high"), F.struct("pos", "key_e", "i")).alias("slice"))
-    joined = placed.drop("low", "high").join(whole, "g")
+    # Each strand of a group is walked for itself; what the minus rows have comes before the plus rows.
+    laid = Stretches(rows.withColumn("g", F.struct(F.col("g").alias("own"), "up")), "pos")
+    placed = laid.running(laid.df, order, "sum", length, "part", inclusive=True).withColumn("g", F.col("g.own"))
+    whole = rows.groupBy("g").agg(
+        F.sum(length).alias("total"),
+        F.coalesce(F.sum(F.when(~F.col("up"), length)), F.lit(0)).alias("minus"),
+        F.min_by(F.struct("low", "high"), F.struct("up", "pos", "key_e", "i")).alias("slice"),
+    )
+    joined = placed.drop("low", "high").join(whole, "g").withColumn("upto", F.col("part") + F.when(F.col("up"), F.col("minus")).otherwise(0))
     bound = lambda x: F.when(x < 0, F.col("total") + x).otherwise(x)
     left = F.greatest(bound(F.col("slice.low")) - (F.col("upto") - length), F.lit(0).cast("long"))
     right = F.greatest(F.col("upto") - F.coalesce(bound(F.col("slice.high")), F.col("total")), F.lit(0).cast("long"))

@@ -1,34 +1,59 @@
 """Running values per group that survive a group with most of the rows.
 
-A plain window sends a whole group to one task.  Here the rows of a group are
-dealt into stretches of the leading order column; each stretch is one window
-partition, and what lies before (or after) it comes from a second, small window over one
-row per stretch.  Inputs below ``STRETCH_ROWS`` are one stretch and plan as a plain window.
+A plain window sends a whole group to one task.  Here the rows of each group of more than
+``STRETCH_ROWS`` are dealt into stretches of the leading order column, cut at its quantiles in that group; each
+stretch is one window partition, and what lies before (or after) it comes from a second, small
+window over one row per stretch.  Without such a group the plan is a plain window.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..model import floor_div
 
-#: Rows that a stretch should have.
-STRETCH_ROWS = 2_000_000
+#: Rows that a stretch should have, quantile cuts of a group (stretches beyond that divide the ranges between them evenly), and cuts in all.
+STRETCH_ROWS, CUTS, ALL_CUTS = 2_000_000, 64, 1_000_000
+#: Groups whose rows (one each) one window takes; beyond that they are dealt into blocks by sampled groups.
+WINDOW_GROUPS, BLOCKS = 1_000_000, 1024
 
 
 class Stretches:
-    """``df`` with ``__b``, the stretch of each row by the long column ``pos``."""
+    """``df`` with ``__b``, the stretch of each row by the long column ``pos``.
 
-    def __init__(self, df: DataFrame, pos: str, bounds: tuple[int, int | None, int | None] | None = None):
-        """``bounds``: the number of rows and the least and greatest ``pos``, where they are known."""
-        n, low, high = bounds or df.agg(F.count("*"), F.min(pos), F.max(pos)).first()
-        parts = -(-n // STRETCH_ROWS) if n else 1
+    ``like`` has the groups and positions by which stretches are cut, where ``df`` itself is dear to compute.
+    The large groups are counted in one job, their quantiles in another; the cuts, 8 bytes for each
+    ``STRETCH_ROWS`` rows and at most ``ALL_CUTS``, come to the driver so that all uses of a row agree.
+    """
+
+    def __init__(self, df: DataFrame, pos: str, like: DataFrame | None = None):
+        like = df if like is None else like
         self.pos = pos
-        self.width = max(1, (high - low) // parts + 1) if n else 1
-        self.single = parts <= 1
-        self.df = self.mark(df)
+        counts = like.groupBy("g").agg(F.count("*").alias("__n"))
+        large = counts.where(F.col("__n") > STRETCH_ROWS).agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
+        self.single = not large[0]
+        if self.single:
+            self.df = df
+            return
+        rows = max(STRETCH_ROWS, -(-large[1] // ALL_CUTS))
+        many = counts.where(F.col("__n") > rows)
+        wanted = like.select("g", pos).join(F.broadcast(many) if large[0] <= 10_000 else many, "g")
+        marks = F.percentile_approx(pos, F.lit([k / CUTS for k in range(CUTS + 1)]), F.lit(10_000))
+        kind = StructType([StructField("g", df.schema["g"].dataType), StructField("__cuts", ArrayType(LongType())), StructField("__sub", LongType())])
+        found = []
+        for g, n, cuts in wanted.groupBy("g").agg(F.first("__n"), marks).collect():
+            parts = -(-n // rows)
+            step = max(1, CUTS // parts)
+            found.append((g, sorted(set(cuts[step::step])), max(1, -(-parts // CUTS))))
+        self.df = self.mark(df, df.sparkSession.createDataFrame(found, kind))
 
-    def mark(self, df: DataFrame) -> DataFrame:
-        return df if self.single else df.withColumn("__b", floor_div(F.col(self.pos), self.width))
+    def mark(self, df: DataFrame, cuts: DataFrame) -> DataFrame:
+        """Stretch: the number of cuts up to the position, and within the range between two cuts an even share of it."""
+        joined = df.join(F.broadcast(cuts), "g", "left")
+        cell = F.coalesce(F.size(F.filter("__cuts", lambda x: x <= F.col(self.pos))), F.lit(0))
+        low, high = F.get("__cuts", cell - 1), F.get("__cuts", cell)
+        inner = F.when((F.col("__sub") > 1) & low.isNotNull() & high.isNotNull(), floor_div((F.col(self.pos) - low) * F.col("__sub"), high - low)).otherwise(0)
+        return joined.withColumn("__b", cell * F.coalesce("__sub", F.lit(1).cast("long")) + inner).drop("__cuts", "__sub")
 
     def keys(self) -> list[str]:
         return ["g"] if self.single else ["g", "__b"]
@@ -54,3 +79,28 @@ class Stretches:
         else:
             total = (F.greatest if kind == "max" else F.least)("__own", "__carry")
         return both.withColumn(name, total).drop("__own", "__carry")
+
+
+def before_groups(groups: DataFrame, **values: Column) -> DataFrame:
+    """``groups`` (one row per ``g``) with the sums of ``values`` over all groups in front of each, 0 for the first.
+
+    Many groups are dealt into blocks between groups that a hash picks, so that no window has more than a few of them.
+    """
+    n = groups.count()
+    rows = groups.withColumns({f"__v{k}": v.cast("long") for k, v in enumerate(values.values())})
+    names = [f"__v{k}" for k in range(len(values))]
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if n <= WINDOW_GROUPS:
+        own = upto(Window.orderBy("g"))
+        done = rows.withColumns({k: zero(F.sum(v).over(own)) for k, v in zip(values, names, strict=True)})
+        return done.drop(*names)
+    cuts = groups.where(F.pmod(F.xxhash64("g"), F.lit(max(1, n // BLOCKS))) == 0).agg(F.sort_array(F.collect_list("g")).alias("__cuts"))
+    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("__block", F.size(F.filter("__cuts", lambda x: x <= F.col("g")))).drop("__cuts")
+    inside = upto(Window.partitionBy("__block").orderBy("g"))
+    own = dealt.withColumns({f"__own{k}": zero(F.sum(v).over(inside)) for k, v in enumerate(names)})
+    blocks = dealt.groupBy("__block").agg(*[F.sum(v).alias(f"__sum{k}") for k, v in enumerate(names)])
+    front = upto(Window.orderBy("__block"))
+    base = blocks.select("__block", *[zero(F.sum(f"__sum{k}").over(front)).alias(f"__base{k}") for k in range(len(names))])
+    done = own.join(F.broadcast(base), "__block").withColumns({n: F.col(f"__own{k}") + F.col(f"__base{k}") for k, n in enumerate(values)})
+    return done.select(*groups.columns, *values)
