@@ -4,6 +4,8 @@ Orders are intervals in days by customer, events intervals in seconds by user; t
 join are split by order status or event type.
 """
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,18 @@ def spliced(spark: SparkSession, folder: str) -> DataFrame:
     return ops.spliced_subsequence(order_intervals(spark, folder).withColumn("fwd", F.col("grp") % 2 == 0), 20, -30, spec=FORWARD)
 
 
+def spliced_slices(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """Both strands in a group, and a slice from columns."""
+    rows = order_intervals(spark, folder).withColumns({"fwd": ~F.col("neg"), "low": F.col("idx") % 30, "high": F.when(F.col("idx") % 4 != 0, -(F.col("idx") % 20) - 1)})
+    return ops.spliced_subsequence(rows, "low", "high", spec=FORWARD, **options)
+
+
+def overlaps_carry(spark: SparkSession, folder: str) -> DataFrame:
+    left, right = order_sides(spark, folder)
+    right = right.withColumnsRenamed({"o_orderpriority": "priority2"})
+    return ops.overlaps(left, right, SPEC.with_carry("o_orderpriority", "neg"), replace(OTHER, carry=("priority2",)), sort_output=True)
+
+
 def genome_bounds(spark: SparkSession, folder: str, **options) -> DataFrame:
     return ops.genome_bounds(order_intervals(spark, folder).withColumn("length", F.lit(2400) + F.col("grp") % 100), "length", **options)
 
@@ -79,8 +93,9 @@ QUERIES = {
     "complement_overlaps": of_order_sides(ops.complement_overlaps),
     "semi_overlaps": of_order_sides(ops.semi_overlaps),
     "count_overlaps": of_order_sides(ops.count_overlaps),
-    "sort_intervals": of_orders(ops.sort_positions, STRANDED),
-    "sort_groups": of_orders(ops.sort_positions, groups_only=True),
+    "sort_intervals": of_orders(ops.sort_intervals, STRANDED),
+    "sort_groups": of_orders(ops.sort_groups),
+    "sort_positions": of_orders(ops.sort_positions),
     "cluster": of_orders(ops.cluster),
     "merge": of_orders(ops.merge, slack=5),
     "max_disjoint": of_orders(ops.max_disjoint, slack=1),
@@ -96,11 +111,24 @@ QUERIES = {
     "genome_bounds": genome_bounds,
     "genome_bounds_clip": lambda spark, folder: genome_bounds(spark, folder, clip=True),
     "map_to_global": map_to_global,
+    "overlaps_contained_slack": of_order_sides(ops.overlaps, contained=True, slack=3),
+    "overlaps_carry": overlaps_carry,
+    "nearest_carry": lambda spark, folder: ops.nearest(*order_sides(spark, folder), SPEC.with_carry("neg")),
+    "merge_carry": of_orders(ops.merge, SPEC.with_carry("o_orderpriority"), slack=5),
+    "max_disjoint_carry": of_orders(ops.max_disjoint, SPEC.with_carry("o_orderstatus", "neg")),
+    "cluster_slack": of_orders(ops.cluster, slack=7),
+    "complement_slack": of_orders(ops.complement, slack=2),
+    "window_rows": of_orders(ops.window, 40, Spec(by=(), strand="neg")),
+    "spliced_slices": spliced_slices,
+    "spliced_force_plus": lambda spark, folder: spliced_slices(spark, folder, force_plus=True),
+    "group_cumsum_walk": of_orders(ops.group_cumsum, sort=False),
+    "genome_bounds_right": lambda spark, folder: genome_bounds(spark, folder, only_right=True),
+    "genome_bounds_clip_right": lambda spark, folder: genome_bounds(spark, folder, clip=True, only_right=True),
 }
 
 ORDERS = """o as (select o_orderkey as idx, o_custkey as grp, date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) as s,
   date_diff('day', timestamp '1995-01-01 00:00:00', o_orderdate) + 1 + cast(floor(o_totalprice / 2000) as bigint) as e,
-  o_orderkey % 2 = 1 as neg, o_orderstatus as st from orders)"""
+  o_orderkey % 2 = 1 as neg, o_orderstatus as st, o_orderpriority as pr from orders)"""
 EVENTS = """v as (select event_id as idx, user_id as grp, date_diff('second', timestamp '2024-01-01 00:00:00', ts) as s,
   date_diff('second', timestamp '2024-01-01 00:00:00', ts) + 1 + cast(floor(value * 60) as bigint) as e, event_type from events)"""
 SIDES = f"{ORDERS}, a as (select * from o where st = 'F'), b as (select idx as idx2, grp, s as s2, e as e2 from o where st <> 'F')"
@@ -128,6 +156,29 @@ def split_sql(slack: int, keep: str) -> str:
   select idx, p as start, nx as "end" from c where nx is not null and {keep}"""
 
 
+def spliced_sql(force_plus: bool) -> str:
+    plain = "true" if force_plus else "fwd"
+    walk = "(partition by grp order by fwd, case when fwd then s else -s end, case when fwd then e else -e end, idx"
+    return f"""with {ORDERS}, k as (select *, not neg as fwd, idx % 30 as a, case when idx % 4 <> 0 then -(idx % 20) - 1 end as b from o),
+  w as (select *, sum(e - s) over {walk} rows unbounded preceding) as upto, sum(e - s) over (partition by grp) as total, first_value(a) over {walk}) as a1, first_value(b) over {walk}) as b1 from k),
+  t as (select *, greatest(a1 - (upto - (e - s)), 0) as l, greatest(upto - coalesce(case when b1 < 0 then total + b1 else b1 end, total), 0) as r from w),
+  c as (select idx, cast(s + case when {plain} then l else r end as bigint) as start, cast(e - case when {plain} then r else l end as bigint) as "end" from t)
+  select * from c where start < "end" """
+
+
+def cluster_sql(slack: int) -> str:
+    return f"""with {ORDERS}, {islands(slack)}, n as (select grp, max(island) as n from isl group by grp),
+  base as (select grp, coalesce(sum(n) over (order by grp rows between unbounded preceding and 1 preceding), 0) + row_number() over (order by grp) - 1 as base from n)
+  select cast(base + island - 1 as bigint) as cluster_id, idx from isl join base using (grp)"""
+
+
+def max_disjoint_sql(slack: int, columns: str = "idx") -> str:
+    return f"""with recursive {ORDERS}, q as (select *, row_number() over (partition by grp order by s, e, idx) as n from o),
+  t(grp, n, idx, taken, last) as (select grp, n, idx, true, e from q where n = 1
+    union all select q.grp, q.n, q.idx, q.s > t.last + {3 * slack}, case when q.s > t.last + {3 * slack} then q.e else t.last end from t join q on q.grp = t.grp and q.n = t.n + 1)
+  select {columns} from t join o using (idx) where taken"""
+
+
 MEETS = "greatest(s - {k}, 0) < e2 and s2 < e + {k}"
 ORACLES = {
     "overlaps": f"""with {EVENTS}, a as (select * from v where event_type = 'purchase'), b as (select idx as idx2, grp, s as s2, e as e2 from v where event_type <> 'purchase')
@@ -150,14 +201,9 @@ ORACLES = {
     "count_overlaps": f"with {SIDES} select a.idx, count(b.idx2) as count from a left join b on a.grp = b.grp and {MEETS.format(k=0)} group by a.idx",
     "sort_intervals": f"with {ORDERS} select row_number() over (order by grp, case when neg then -s else s end, case when neg then -e else e end, idx) - 1 as pos, idx from o",
     "sort_groups": f"with {ORDERS} select row_number() over (order by grp, idx) - 1 as pos, idx from o",
-    "cluster": f"""with {ORDERS}, {islands(0)}, n as (select grp, max(island) as n from isl group by grp),
-  base as (select grp, coalesce(sum(n) over (order by grp rows between unbounded preceding and 1 preceding), 0) + row_number() over (order by grp) - 1 as base from n)
-  select cast(base + island - 1 as bigint) as cluster_id, idx from isl join base using (grp)""",
+    "cluster": cluster_sql(0),
     "merge": f'with {ORDERS}, {islands(5)}, {MERGED} select idx, s as start, e as "end", n as count from m',
-    "max_disjoint": f"""with recursive {ORDERS}, q as (select *, row_number() over (partition by grp order by s, e, idx) as n from o),
-  t(grp, n, idx, taken, last) as (select grp, n, idx, true, e from q where n = 1
-    union all select q.grp, q.n, q.idx, q.s > t.last + 3, case when q.s > t.last + 3 then q.e else t.last end from t join q on q.grp = t.grp and q.n = t.n + 1)
-  select idx from t where taken""",
+    "max_disjoint": max_disjoint_sql(1),
     "complement": f"""with {ORDERS}, {islands(0)}, {MERGED}, l as (select grp, max(e) + grp % 3 as length from o group by grp),
   f as (select grp, min(s) as s, case when row_number() over (order by grp) = 1 then 0 else min_by(idx, row(s, idx)) end as idx from o group by grp),
   g as (select grp, e as start, coalesce(lead(s) over (partition by grp order by s), length) as "end" from m join l using (grp) union all select grp, 0, s from f where s > 0)
@@ -188,4 +234,23 @@ ORACLES = {
   x as (select grp, cast(le - (e - s) as bigint) as ls, cast(le as bigint) as le, s as gs, e as ge, grp % 2 = 0 as xf from w), q as (select idx, grp, s % 300 as qs, s % 300 + e - s as qe, idx % 3 = 0 as qf from v),
   j as (select *, greatest(qs, ls) - ls as o1, least(qe, le) - ls as o2 from q join x using (grp) where ls < qe and qs < le)
   select idx, case when xf then gs + o1 else ge - o2 end as start, case when xf then gs + o2 else ge - o1 end as "end", qf = xf as strand from j""",
+    "sort_positions": f"with {ORDERS} select row_number() over (order by grp, s, e, idx) - 1 as pos, idx from o",
+    "overlaps_contained_slack": f"with {SIDES} select idx, idx2 from a join b using (grp) where s - 3 >= s2 and e + 3 <= e2",
+    "overlaps_carry": f"""with {ORDERS} select a.idx, a.pr as o_orderpriority, a.neg, b.idx as idx2, b.pr as priority2 from o a join o b on a.grp = b.grp and greatest(a.s, 0) < b.e and b.s < a.e
+  where a.st = 'F' and b.st <> 'F'""",
+    "nearest_carry": f"with {SIDES} select idx, neg, idx2, distance from (" + NEAREST.format(k=1, candidates=" union all ".join(x.format(k=0) for x in (LEFT, RIGHT, MEET))) + ") n join (select idx, neg from a) using (idx)",
+    "merge_carry": f'with {ORDERS}, {islands(5)}, {MERGED} select m.idx, o.pr as o_orderpriority, m.s as start, m.e as "end", n as count from m join o using (idx)',
+    "max_disjoint_carry": max_disjoint_sql(0, "idx, st as o_orderstatus, neg"),
+    "cluster_slack": cluster_sql(7),
+    "complement_slack": f"""with {ORDERS}, {islands(2)}, {MERGED}, f as (select grp, case when row_number() over (order by grp) = 1 then 0 else min_by(idx, row(s, idx)) end as idx from o group by grp),
+  g as (select grp, e + 2 as start, lead(s) over (partition by grp order by s) as "end" from m)
+  select grp, start, "end", idx from g join f using (grp) where start < "end" """,
+    "window_rows": f"""with {ORDERS}, p as (select idx, s, e, cast(case when neg then -((e - s) % 40) else 0 end as bigint) as p0 from o),
+  j as (select *, unnest(generate_series(cast(floor(p0 / 40.0) as bigint), cast(floor((p0 + e - s - 1) / 40.0) as bigint))) as j from p)
+  select idx, greatest(p0, j * 40) - p0 + s as start, least(p0 + e - s, (j + 1) * 40) - p0 + s as "end" from j""",
+    "spliced_slices": spliced_sql(False),
+    "spliced_force_plus": spliced_sql(True),
+    "group_cumsum_walk": f"""with {ORDERS}, w as (select idx, e - s as n, sum(e - s) over (partition by grp order by s, idx rows unbounded preceding) as c from o) select idx, cast(c - n as bigint) as start, cast(c as bigint) as "end" from w""",
+    "genome_bounds_right": f'with {ORDERS} select idx, s as start, e as "end" from o where e <= 2400 + grp % 100',
+    "genome_bounds_clip_right": f'with {ORDERS} select idx, s as start, least(e, 2400 + grp % 100) as "end" from o where s < 2400 + grp % 100',
 }

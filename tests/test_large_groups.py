@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import spanweave as sw
 from helpers import rows_of
@@ -25,6 +26,40 @@ def sides(spark):
     return df.where("idx < 350"), df.where("idx >= 350").withColumnsRenamed({"idx": "idx2", "s": "s2", "e": "e2"})
 
 
+def test_stretches_of_a_skewed_group_are_even(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "STRETCH_ROWS", 500)
+    draw = random.Random(1)
+    rows = [("hot", int(draw.paretovariate(0.5))) for _ in range(9000)] + [("hot", 10**15), ("hot", -(10**15))] + [(draw.choice("abc"), draw.randint(0, 99)) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "g string, p long").withColumn("p", F.col("p") * 1000 + F.monotonically_increasing_id() % 1000)
+    laid = prefix.Stretches(df, "p")
+    sizes = [r["count"] for r in laid.df.where("g = 'hot'").groupBy("__b").count().collect()]
+    assert sum(sizes) == 9002 and max(sizes) < 2 * 9002 / len(sizes) and len(sizes) >= 16
+    assert laid.df.where("g <> 'hot'").select("__b").distinct().count() == 1
+    bounds = laid.df.where("g = 'hot'").groupBy("__b").agg(F.min("p").alias("a"), F.max("p").alias("z")).orderBy("__b").collect()
+    assert all(x.z < y.a for x, y in zip(bounds, bounds[1:]))
+
+
+def test_strands_of_a_large_group_are_cut_apart(spark, monkeypatch):
+    rows = [(i, "hot", 10 * i, 10 * i + 5, i % 2 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "idx long, grp string, s long, e long, neg boolean")
+    plain = rows_of(sw.spliced_subsequence(df, 100, -100, spec=STRANDED))
+    monkeypatch.setattr(prefix, "STRETCH_ROWS", 60)
+    assert rows_of(sw.spliced_subsequence(df, 100, -100, spec=STRANDED)) == plain
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_groups_before_many_groups(spark, monkeypatch, kind):
+    monkeypatch.setattr(prefix, "WINDOW_GROUPS", 100)
+    monkeypatch.setattr(prefix, "BLOCKS", 16)
+    rows = spark.range(2000).select((F.col("id") * 7919 % 100_003).cast(kind).alias("g"), (F.col("id") % 5).alias("n"))
+    want, upto = {}, 0
+    for r in sorted(rows.collect()):
+        want[r.g] = (upto, len(want))
+        upto += r.n
+    got = {r.g: (r.a, r.b) for r in prefix.before_groups(rows, a=F.col("n"), b=F.lit(1)).collect()}
+    assert got == want
+
+
 UNARY = {
     "merge": lambda x: sw.merge(x, slack=1),
     "cluster": sw.cluster,
@@ -33,6 +68,9 @@ UNARY = {
     "max_disjoint": sw.max_disjoint,
     "window": lambda x: sw.window(x, 700, STRANDED),
     "group_cumsum": lambda x: sw.group_cumsum(x, STRANDED),
+    "sort_intervals": lambda x: sw.sort_intervals(x, STRANDED),
+    "sort_groups": sw.sort_groups,
+    "carried": lambda x: sw.cluster(x, sw.Spec(strand="neg", carry=("neg", "grp"))),
     "spliced": lambda x: sw.spliced_subsequence(x, 10, -10, spec=STRANDED),
 }
 BINARY = {
