@@ -14,6 +14,7 @@ import gc
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -28,6 +29,9 @@ from .text import arrow_map, as_bytes, cut_at_spaces, with_columns
 PAIR = 1 << 32
 #: Words whose tokens one worker keeps between batches, bytes of text it encodes together, and tokens it decodes together.
 KEPT_WORDS, BATCH_BYTES, DECODED = 100_000, 1 << 20, 1 << 17
+#: Split patterns by which runs of letters and of signs are pieces, and words of ASCII letters and signs then (no apostrophe, no start of a special string).
+USUAL_SPLIT = re.compile(r"('\w+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\|\[\^\\s\\p\{L\}\\p\{N\}\]\+")
+USUAL_WORD = re.compile(rb"([A-Za-z]*)([!-&(-/:;=-@\[-`{-~]*)")
 
 
 @dataclass
@@ -209,6 +213,7 @@ class Encoder:
         self.model = model
         self.ids: dict[bytes, bytes] = {}
         self.decoder = Decoder(model.tokens)
+        self.usual = USUAL_SPLIT.fullmatch(model.pattern) and all(x.startswith("<") for x in model.special)
 
     def learn(self, texts: list[bytes]) -> None:
         """Encodes all words of the texts that aren't known yet, together."""
@@ -220,7 +225,15 @@ class Encoder:
         # Words that are one piece each, and the parts of the others; bytes are pieces, numbers are special tokens.
         single: list[tuple[bytes, bytes]] = []
         several: list[tuple[bytes, list]] = []
+        usual = USUAL_WORD.fullmatch if self.usual else lambda word: None
         for word in words:
+            if met := usual(word):
+                letters, signs = met.groups()
+                if letters and signs:
+                    several.append((word, [letters.lower(), signs]))
+                else:
+                    single.append((word, letters.lower() or signs))
+                continue
             raw = word.decode("utf-8", "replace")
             if cut and "<" in raw and cut.search(raw):
                 row: list = []
