@@ -28,7 +28,7 @@ from .text import arrow_map, as_bytes, cut_at_spaces, with_columns
 #: Key of a pair: left id * PAIR + right id.
 PAIR = 1 << 32
 #: Words whose tokens one worker keeps between batches, bytes of text it encodes together, and tokens it decodes together.
-KEPT_WORDS, BATCH_BYTES, DECODED = 100_000, 1 << 20, 1 << 17
+KEPT_WORDS, BATCH_BYTES, DECODED = 100_000, 5 << 19, 1 << 17
 #: Split patterns by which runs of letters and of signs are pieces, and words of ASCII letters and signs then (no apostrophe, no start of a special string).
 USUAL_SPLIT = re.compile(r"('\w+\|)*\[\\p\{L\}\]\+\|\[\\p\{N\}\]\|\[\^\\s\\p\{L\}\\p\{N\}\]\+")
 USUAL_WORD = re.compile(rb"([A-Za-z]*)([!-&(-/:;=-@\[-`{-~]*)")
@@ -91,11 +91,11 @@ class WordBpe:
             tokens[x["id"]] = x["content"]
         return cls(
             tokens,
-            np.array([ids[c] for c in names], np.int64),
-            np.array([ids[c + suffix] for c in names], np.int64),
+            np.array([ids[c] for c in names], np.int32),
+            np.array([ids[c + suffix] for c in names], np.int32),
             keys[order],
-            order.astype(np.int64),
-            made,
+            order.astype(np.int32),
+            made.astype(np.int32),
             {x["content"]: x["id"] for x in added},
             split["pattern"]["Regex"],
         )
@@ -106,8 +106,9 @@ class WordBpe:
             self._compiled = regex.compile(self.pattern), regex.compile(f"({special})") if special else None
         return self._compiled
 
-    def ranks(self, keys: np.ndarray) -> np.ndarray:
-        """Rank of each pair key, -1 where the pair never merges."""
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 where it never merges."""
+        keys = left.astype(np.int64) * PAIR + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -120,14 +121,14 @@ class WordBpe:
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         symbols = self.first_ids[raw]
         symbols[stops - 1] = self.last_ids[raw[stops - 1]]
-        after = np.arange(1, len(raw) + 1)
+        after = np.arange(1, len(raw) + 1, dtype=np.int32)
         after[stops - 1] = -1
-        before = np.arange(-1, len(raw) - 1)
+        before = np.arange(-1, len(raw) - 1, dtype=np.int32)
         before[stops - lengths] = -1
         alive = np.ones(len(raw), bool)
-        rank_at = np.full(len(raw), -1, np.int64)
-        inner = np.flatnonzero(after >= 0)
-        rank_at[inner] = self.ranks(symbols[inner] * PAIR + symbols[inner + 1])
+        rank_at = np.full(len(raw), -1, np.int32)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
+        rank_at[inner] = self.ranks(symbols[inner], symbols[inner + 1])
 
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
@@ -174,7 +175,7 @@ class WordBpe:
             changed = np.concatenate([at[has_next], left])
             if len(changed):
                 changed = np.unique(changed)
-                rank_at[changed] = self.ranks(symbols[changed] * PAIR + symbols[after[changed]])
+                rank_at[changed] = self.ranks(symbols[changed], symbols[after[changed]])
                 note(changed)
         return symbols[alive].astype("<u4"), np.cumsum(alive)[stops - 1]
 
