@@ -4,6 +4,8 @@ Orders are intervals in days by customer, events intervals in seconds by user; t
 join are split by order status or event type.
 """
 
+import tempfile
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ from . import operators as ops
 from .model import SPEC, Spec
 from .operators.joins import OTHER
 from .sources import event_intervals, order_intervals
+from .streaming import drained, overlaps_with_static, stream_tiles
 
 STRANDED = SPEC.with_strand("neg")
 FORWARD = SPEC.with_strand("fwd")
@@ -78,7 +81,30 @@ def map_to_global(spark: SparkSession, folder: str) -> DataFrame:
     return ops.map_to_global(exons, queries)
 
 
+def shared_place(spark: SparkSession) -> str:
+    """A new name in ``spark.checkpoint.dir``; a local session without that setting (as in tests) gets a temporary folder."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if known is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="streams-")
+    return f"{known}/stream-{uuid.uuid4().hex}"
+
+
+def streamed_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return drained(stream_tiles(order_intervals(spark, folder, stream=True), 50), shared_place(spark))
+
+
+def streamed_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The stream of one side of the orders against the other side as it stands."""
+    left, _ = sides(order_intervals(spark, folder, stream=True), "o_orderstatus = 'F'", "false")
+    _, right = order_sides(spark, folder)
+    return drained(overlaps_with_static(left, right, 60), shared_place(spark))
+
+
 QUERIES = {
+    "stream_tiles": streamed_tiles,
+    "overlaps_with_static": streamed_overlaps,
     "overlaps": lambda spark, folder: ops.overlaps(*event_sides(spark, folder)),
     "overlaps_orders_slack": of_order_sides(ops.overlaps, slack=10),
     "overlaps_contained": of_order_sides(ops.overlaps, contained=True),
@@ -254,3 +280,5 @@ ORACLES = {
     "genome_bounds_right": f'with {ORDERS} select idx, s as start, e as "end" from o where e <= 2400 + grp % 100',
     "genome_bounds_clip_right": f'with {ORDERS} select idx, s as start, least(e, 2400 + grp % 100) as "end" from o where s < 2400 + grp % 100',
 }
+ORACLES["stream_tiles"] = ORACLES["tile"]
+ORACLES["overlaps_with_static"] = f"with {SIDES} select idx, idx2 from a join b using (grp) where s < e2 and s2 < e"

@@ -4,8 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, stream: bool = False) -> DataFrame:
+    """A table of a folder; as a stream of its files, if asked for."""
+    found = spark.read.parquet(path := f"{folder}/{name}.parquet")
+    # A pattern, since a stream takes a folder of files or a pattern of them, and the table may be one file.
+    return spark.readStream.schema(found.schema).parquet(f"{path}*") if stream else found
 
 
 def as_intervals(df: DataFrame, idx: str, start: str, end: str, by: tuple[str, ...] = (), strand: str | None = None) -> DataFrame:
@@ -21,7 +24,7 @@ def event_intervals(spark: SparkSession, folder: str) -> DataFrame:
     return as_intervals(table(spark, folder, "events"), "event_id", start, f"{start} + 1 + cast(floor(value * 60) as bigint)", ("user_id",), "event_id % 2 = 1")
 
 
-def order_intervals(spark: SparkSession, folder: str) -> DataFrame:
+def order_intervals(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
     """Orders as intervals in days, by customer."""
     start = "cast(datediff(o_orderdate, timestamp_ntz'1995-01-01 00:00:00') as bigint)"
-    return as_intervals(table(spark, folder, "orders"), "o_orderkey", start, f"{start} + 1 + cast(floor(o_totalprice / 2000) as bigint)", ("o_custkey",), "o_orderkey % 2 = 1")
+    return as_intervals(table(spark, folder, "orders", stream), "o_orderkey", start, f"{start} + 1 + cast(floor(o_totalprice / 2000) as bigint)", ("o_custkey",), "o_orderkey % 2 = 1")

@@ -1,3 +1,3 @@
-from .static_side import overlaps_with_static, stream_tiles
+from .static_side import drained, overlaps_with_static, stream_tiles
 
-__all__ = ["overlaps_with_static", "stream_tiles"]
+__all__ = ["drained", "overlaps_with_static", "stream_tiles"]

@@ -22,3 +22,10 @@ def overlaps_with_static(stream: DataFrame, static: DataFrame, bin_width: int, s
     met = x.join(y, ["g", "__bin"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
     first = F.col("__bin") == F.greatest(floor_div(F.col("s"), bin_width), floor_div(F.col("s2"), bin_width))
     return met.where(first).select(F.col("i").alias("idx"), F.col("i2").alias("idx2"))
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All rows that a stream has now, written to ``folder`` (which driver and executors share) and read from there."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
