@@ -110,7 +110,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     named = measured.withColumns({"__lang": F.coalesce("lang", F.lit("")), "__source": F.coalesce("source", F.lit(""))})
     sketch = staged(sketches(named, ("__lang", "__source"))).withColumn("__all", F.lit(0))
     own, lang, all_ = (fences(sketch, by, s) for by, s in ((["__lang", "__source"], "_own"), (["__lang"], "_lang"), (["__all"], "_all")))
-    joined = own.join(lang, "__lang").withColumn("__all", F.lit(0)).join(F.broadcast(all_), "__all")  # all_ is one row
+    joined = own.join(lang, "__lang").crossJoin(F.broadcast(all_.drop("__all")))  # one row
     return staged(joined.select("__lang", "__source", *[F.coalesce(f"{k}_own", f"{k}_lang", f"{k}_all").alias(f"{k}_fence") for k in FLOORS]))
 
 
