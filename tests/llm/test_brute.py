@@ -252,6 +252,19 @@ def test_scores_by_definition(spark, monkeypatch, words, levels, head):
     assert all(abs(got[i] - want[i]) < 2e-3 * abs(want[i]) for i in want)
 
 
+@pytest.mark.parametrize("words", [15, 200])
+def test_every_round_of_the_query_learns_from_all_training_rows(spark, tmp_path, words):
+    draw = random.Random(words)
+    vocabulary = [f"w{k}" for k in range(words)]
+    texts = [" ".join(draw.choice(vocabulary[: 1 + int(words * draw.random() ** 2)]) for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.salt % (1 << 64), True) for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id) as salt").collect()]
+    want = plain_scores(rows, {i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 != 2})
+    got = {r.doc_id: r.score for r in QUERIES["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-3 * abs(want[i]) for i in want)
+
+
 def test_scores_sum_to_one(spark):
     known = ["a b c d e f g"] * 5 + ["a c"] * 3
     rows = [(k, x, True) for k, x in enumerate(known)] + [(100 + k, f"a {x}", False) for k, x in enumerate("abcdefg")]
