@@ -133,6 +133,15 @@ g as (select c, r, cut, coalesce(string_agg(shown, '' order by n) filter (side =
   coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 0 and n > cut and role = 'assistant'), '') as chosen_spans,
   coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 1 and n > cut and role = 'assistant'), '') as rejected_spans from w group by c, r, cut)
 select c as chosen_id, r as rejected_id, cut as n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans, chosen_spans <> '' and rejected_spans <> '' as usable from g"""
+
+MIDDLE = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || cast(doc_id as varchar)) as h from documents),
+h as (select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[25:32] as bigint) as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+x as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(p) end as bigint) as prefix_chars, cast(case when form <> 'plain' then length(m) end as bigint) as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from x"""
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op2_chat_formatting": CHAT,
@@ -140,4 +149,5 @@ ORACLES = {
     "op4_url_filters": url_sql(),
     "op6_quality_rules": quality_sql(),
     "op8_near_dedup": NEAR,
+    "op12_fill_in_middle": MIDDLE,
 }

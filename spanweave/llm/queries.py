@@ -9,6 +9,7 @@ from .chat import adjacent_pairs, other_endings, preference_pairs
 from .decontaminate import benchmark_hits, hit_digest
 from .licenses import license_scan
 from .maxent import lm_scores
+from .middle import fill_in_middle, middle_digest
 from .near import near_groups
 from .oracles import ORACLES
 from .quality import quality_verdicts
@@ -67,6 +68,10 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores(table(spark, folder, "documents"), share=1)
 
 
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return middle_digest(fill_in_middle(table(spark, folder, "documents")))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
