@@ -142,6 +142,15 @@ c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h
 x as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
 select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(p) end as bigint) as prefix_chars, cast(case when form <> 'plain' then length(m) end as bigint) as middle_chars,
   sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from x"""
+
+NEGATIVES = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor, b.vec_id as other, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor order by score desc, other) <= 5),
+n as (select anchor, positive_id, positive_score, other, score, row_number() over (partition by anchor, positive_id order by score desc, other) as rank from p join s using (anchor)
+  where not same and 80 * positive_score <= 100 * score and score <= positive_score)
+select anchor as anchor_id, positive_id, cast(rank as integer) as rank, other as negative_id, positive_score, score as negative_score from n where rank <= 5"""
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op2_chat_formatting": CHAT,
@@ -150,4 +159,5 @@ ORACLES = {
     "op6_quality_rules": quality_sql(),
     "op8_near_dedup": NEAR,
     "op12_fill_in_middle": MIDDLE,
+    "op13_hard_negatives": NEGATIVES,
 }

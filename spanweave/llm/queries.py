@@ -11,6 +11,7 @@ from .licenses import license_scan
 from .maxent import lm_scores
 from .middle import fill_in_middle, middle_digest
 from .near import near_groups
+from .negatives import hard_negatives
 from .oracles import ORACLES
 from .quality import quality_verdicts
 from .spans import span_report
@@ -72,6 +73,13 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle_digest(fill_in_middle(table(spark, folder, "documents")))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    # Every seventh vector gets another label, the next of ten.
+    mixed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", mixed), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
@@ -84,6 +92,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_lm_scoring": op10_lm_scoring,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
