@@ -134,6 +134,15 @@ g as (select c, r, cut, coalesce(string_agg(shown, '' order by n) filter (side =
   coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 1 and n > cut and role = 'assistant'), '') as rejected_spans from w group by c, r, cut)
 select c as chosen_id, r as rejected_id, cut as n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans, chosen_spans <> '' and rejected_spans <> '' as usable from g"""
 
+JACCARD = f"""
+with recursive d as (select doc_id, regexp_extract_all({lower("coalesce(text, '')")}, {SPACED}) as w from documents),
+s as (select distinct doc_id, array_to_string(w[p : p + 3], ' ') as g from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as m from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+e as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * m >= 85 * (na.n + nb.n - m)),
+t as (select doc_id as a, doc_id as b from d union select t.a, e.b from t join e on t.b = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(t.b) as component_id from d join t on t.a = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n"""
+
 MIDDLE = r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || cast(doc_id as varchar)) as h from documents),
 h as (select *, len(u) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[25:32] as bigint) as h4 from d),
@@ -158,6 +167,7 @@ ORACLES = {
     "op4_url_filters": url_sql(),
     "op6_quality_rules": quality_sql(),
     "op8_near_dedup": NEAR,
+    "op11_jaccard_join": JACCARD,
     "op12_fill_in_middle": MIDDLE,
     "op13_hard_negatives": NEGATIVES,
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .chat import adjacent_pairs, other_endings, preference_pairs
 from .decontaminate import benchmark_hits, hit_digest
+from .jaccard import jaccard_groups
 from .licenses import license_scan
 from .maxent import lm_scores
 from .middle import fill_in_middle, middle_digest
@@ -69,6 +70,10 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores(table(spark, folder, "documents"), share=1)
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_groups(table(spark, folder, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle_digest(fill_in_middle(table(spark, folder, "documents")))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_bpe": op9_bpe,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_hard_negatives": op13_hard_negatives,
 }

@@ -12,4 +12,4 @@ def test_query(spark, duck, folder, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(x[2:].split("_")[0]) for x in QUERIES) == list(range(1, 14))
