@@ -7,19 +7,18 @@ from ..model import SPEC, Spec, carrying, framed, ungrouped
 from ..plans.prefix import Stretches, before_groups
 
 
-def islands(rows: DataFrame, slack: int = 0) -> DataFrame:
-    """``rows`` (i, g, s, e) with ``island``, numbered from 1 in each group; one begins where a start is at or past the running end plus ``slack``."""
-    laid = Stretches(rows, "s")
-    order = [F.col(c) for c in ("s", "e", "i")]
-    reach = laid.running(laid.df, order, "max", F.col("e"), "reach")
+def islands(rows: DataFrame, slack: int = 0) -> tuple[DataFrame, Stretches]:
+    """``rows`` (i, g, s, e) with ``island``, numbered from 1 in each group, and how they were laid; an island begins where a start is at or past the running end plus ``slack``."""
+    laid = Stretches(rows, "s", "e", "i")
+    reach = laid.running(laid.df, "max", F.col("e"), "reach")
     opens = F.when(F.col("reach").isNull() | (F.col("s") >= F.col("reach") + slack), 1).otherwise(0)
-    return laid.running(reach.withColumn("opens", opens), order, "sum", F.col("opens"), "island", inclusive=True).select("i", "g", "s", "e", "island")
+    return laid.running(reach.withColumn("opens", opens), "sum", F.col("opens"), "island", inclusive=True).select("i", "g", "s", "e", "island"), laid
 
 
 def merged(rows: DataFrame, slack: int = 0) -> DataFrame:
     """One row per island: ``g``, ``i`` (of the greatest (end, id)), ``s``, ``e``, ``count``."""
     return (
-        islands(rows, slack)
+        islands(rows, slack)[0]
         .groupBy("g", "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("count"), F.max_by("i", F.struct("e", "i")).alias("i"))
         .select("g", "i", "s", "e", "count")
@@ -35,9 +34,9 @@ def merge(df: DataFrame, spec: Spec = SPEC, slack: int = 0) -> DataFrame:
 @carrying
 def cluster(df: DataFrame, spec: Spec = SPEC, slack: int = 0) -> DataFrame:
     """``cluster_id`` and ``idx``: islands numbered over the ordered groups from 0, one number left out at each change of group."""
-    found = islands(framed(df, spec), slack)
+    found, laid = islands(framed(df, spec), slack)
     # One row per group: its islands and the gap before it.
-    base = before_groups(found.groupBy("g").agg(F.max("island").alias("n")), base=F.col("n") + 1).drop("n")
+    base = before_groups(found.groupBy("g").agg(F.max("island").alias("n")), laid.groups, base=F.col("n") + 1).drop("n")
     return found.join(base, "g").select((F.col("base") + F.col("island") - 1).alias("cluster_id"), F.col("i").alias("idx"))
 
 
@@ -58,7 +57,7 @@ def complement(df: DataFrame, lengths: DataFrame | None = None, spec: Spec = SPE
     rows = framed(df, spec)
     joined = merged(rows, slack)
     laid = Stretches(joined, "s", like=rows)
-    after = laid.running(laid.df, [F.col("s")], "min", F.col("s"), "next", after=True)
+    after = laid.running(laid.df, "min", F.col("s"), "next", after=True)
     first = rows.groupBy("g").agg(F.min_by("i", F.struct("s", "i")).alias("i"), F.min("s").alias("low"))
     least = rows.agg(F.min("g").alias("__least"))
     named = first.crossJoin(F.broadcast(least)).select("g", F.when(F.col("g") == F.col("__least"), F.lit(0).cast(rows.schema["i"].dataType)).otherwise(F.col("i")).alias("idx"), "low")

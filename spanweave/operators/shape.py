@@ -1,5 +1,7 @@
 """Operators that cut, move or bound single intervals."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def tile(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     """Tiles of a global grid that each interval meets, not clipped: ``idx``, ``start``, ``end`` and ``fraction``, the covered share of the tile."""
     if size <= 0:
         raise ValueError("size is above 0")
-    rows = df.select(spec.id().alias("i"), F.col(spec.start).cast("long").alias("s"), F.col(spec.end).cast("long").alias("e")).where("s < e")
+    rows = framed(df, _present(df, spec))
     each = rows.withColumn("j", F.explode(F.sequence(floor_div(F.col("s"), size), floor_div(F.col("e") - 1, size)))).withColumn("start", F.col("j") * size)
     end = F.col("start") + size
     shared = F.least(end, F.col("e")) - F.greatest("start", "s")
@@ -33,14 +35,14 @@ def window(df: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     rows = framed(df, spec, neg=strand, n=F.col(spec.idx).cast("long"))
     if spec.by:
         line = Stretches(rows.select(F.lit(0).alias("g"), F.col("g").alias("own"), "i", "s", "e", "neg", "n"), "n")
-        before = line.running(line.df, [F.col("n")], "max", F.struct("n", "own"), "last")
+        before = line.running(line.df, "max", F.struct("n", "own"), "last")
         change = F.when(F.col("last").isNull() | (F.col("last.own") != F.col("own")), 1).otherwise(0)
-        runs = line.running(before.withColumn("change", change), [F.col("n")], "sum", F.col("change"), "run", inclusive=True)
+        runs = line.running(before.withColumn("change", change), "sum", F.col("change"), "run", inclusive=True)
     else:
         runs = rows.withColumn("run", F.col("n"))
     laid = Stretches(runs.select(F.struct("run", "neg").alias("g"), "i", "s", "e", "neg", "n"), "n")
     length = F.col("e") - F.col("s")
-    placed = laid.running(laid.df, [F.col("n")], "sum", length, "c0")
+    placed = laid.running(laid.df, "sum", length, "c0")
     totals = runs.groupBy(F.struct("run", "neg").alias("g")).agg(F.sum(length).alias("total"))
     joined = placed.join(totals, "g").withColumn("p0", F.coalesce("c0", F.lit(0)) - F.when(F.col("neg"), F.col("total") % size).otherwise(0))
     p1 = F.col("p0") + length
@@ -79,12 +81,16 @@ def extend(df: DataFrame, ext_3: int = 0, ext_5: int = 0, spec: Spec = SPEC) ->
 def genome_bounds(df: DataFrame, length: str, clip: bool = False, only_right: bool = False, spec: Spec = SPEC) -> DataFrame:
     """``idx``, ``start``, ``end`` of the rows within ``[0, length)`` (a column), or with ``clip`` their parts within it.
 
-    ``only_right`` looks at the right bound alone.
+    ``only_right`` looks at the right bound alone.  Rows with a null length, and parts that are empty, are left out.
     """
-    s, e, n = (F.col(c).cast("long") for c in (spec.start, spec.end, length))
-    rows = df.select(spec.id().alias("idx"), s.alias("start"), e.alias("end"), n.alias("n"))
+    rows = framed(df, _present(df, spec), n=F.col(length).cast("long")).select(F.col("i").alias("idx"), F.col("s").alias("start"), F.col("e").alias("end"), "n")
     if not clip:
         return rows.where("end <= n" if only_right else "end <= n and start >= 0").drop("n")
     inside = rows.where("start < n" if only_right else "start < n and end > 0")
     low = F.col("start") if only_right else F.greatest("start", F.lit(0).cast("long"))
-    return inside.select("idx", low.alias("start"), F.least("end", "n").alias("end"))
+    return inside.select("idx", low.alias("start"), F.least("end", "n").alias("end")).where("start < end")
+
+
+def _present(df: DataFrame, spec: Spec) -> Spec:
+    """``spec`` with the group columns that ``df`` has, for operators that need no groups but leave out rows without one."""
+    return replace(spec, by=tuple(c for c in spec.by if c in df.columns))

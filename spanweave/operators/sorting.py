@@ -5,38 +5,30 @@ from pyspark.sql import functions as F
 
 from ..functions import signed
 from ..model import SPEC, Spec, carrying, framed
-from ..plans.prefix import Stretches, before_groups
+from ..plans.prefix import placed
 
 
 @carrying
 def sort_intervals(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """``idx`` and ``pos``, its place from 0 by group, start, end and id, in that order; rows with a true ``spec.strand`` by descending start and end."""
-    return _places(df, spec, False).orderBy("pos")
+    return _places(df, spec, False)
 
 
 @carrying
 def sort_groups(df: DataFrame, spec: Spec = SPEC) -> DataFrame:
     """``idx`` and ``pos``, its place from 0 by group, equal groups by id, in that order."""
-    return _places(df, spec, True).orderBy("pos")
+    return _places(df, spec, True)
 
 
 @carrying
 def sort_positions(df: DataFrame, spec: Spec = SPEC, groups_only: bool = False) -> DataFrame:
-    """The rows of ``sort_intervals`` (or ``sort_groups``) in no order: without the sort of the result."""
+    """The rows of ``sort_intervals`` (or ``sort_groups``), for those that need no order of the result."""
     return _places(df, spec, groups_only)
 
 
 def _places(df: DataFrame, spec: Spec, groups_only: bool) -> DataFrame:
-    """A running count within the group, by stretches of a large one, and the rows of the groups before it."""
+    """One sort of all rows by the whole key, of any types: neither a large group nor many rows at one position are one task."""
     up = ~F.coalesce(F.col(spec.strand), F.lit(False)) if spec.strand else F.lit(True)
     rows = framed(df, spec, degenerate=True, up=up)
-    rows = rows.withColumn("key", F.xxhash64("i") if groups_only else signed(F.col("up"), F.col("s")))
-    whole = spec.carry == () and dict(rows.dtypes)["i"] in ("bigint", "int", "smallint", "tinyint")
-    # Ids that aren't numbers have no cuts: equal groups are then one window each.
-    if groups_only and whole:
-        rows = rows.withColumn("key", F.col("i").cast("long"))
-    order = [F.col("i")] if groups_only else [F.col("key"), signed(F.col("up"), F.col("e")), F.col("i")]
-    laid = Stretches(rows, "key", like=None if whole or not groups_only else rows.limit(0))
-    own = laid.running(laid.df, order, "sum", F.lit(1), "own", inclusive=True)
-    base = before_groups(rows.groupBy("g").agg(F.count("*").alias("n")), base=F.col("n")).drop("n")
-    return own.join(base, "g").select(F.col("i").alias("idx"), (F.col("base") + F.col("own") - 1).alias("pos"))
+    order = ["i"] if groups_only else [signed(F.col("up"), F.col("s")), signed(F.col("up"), F.col("e")), "i"]
+    return placed(rows, "g", *order).select(F.col("i").alias("idx"), "pos")

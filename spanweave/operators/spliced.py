@@ -1,6 +1,6 @@
 """Coordinates along the joined intervals of a group."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signed
@@ -17,9 +17,9 @@ def group_cumsum(df: DataFrame, spec: Spec = SPEC, sort: bool | None = None) ->
     """
     up = F.coalesce(F.col(spec.strand), F.lit(True)) if spec.strand else F.lit(True)
     rows = framed(df, spec, degenerate=True, up=up).withColumn("key", signed(F.col("up"), F.col("s")))
-    laid = Stretches(rows, "key")
+    laid = Stretches(rows, "key", "i")
     length = F.abs(F.col("e") - F.col("s"))
-    done = laid.running(laid.df, [F.col("key"), F.col("i")], "sum", length, "end", inclusive=True)
+    done = laid.running(laid.df, "sum", length, "end", inclusive=True)
     out = done if sort is None else done.orderBy("i") if sort else done.orderBy("g", "key", "i")
     return out.select(F.col("i").alias("idx"), (F.col("end") - length).alias("start"), "end")
 
@@ -36,11 +36,10 @@ def spliced_subsequence(df: DataFrame, start: int | str = 0, end: int | str | No
     value = lambda x: F.col(x).cast("long") if isinstance(x, str) else F.lit(x).cast("long")
     rows = framed(df, spec, up=up, low=value(start), high=value(end))
     rows = rows.withColumn("pos", signed(F.col("up"), F.col("s"))).withColumn("key_e", signed(F.col("up"), F.col("e")))
-    order: list[Column] = [F.col("pos"), F.col("key_e"), F.col("i")]
     length = F.col("e") - F.col("s")
     # Each strand of a group is walked for itself; what the minus rows have comes before the plus rows.
-    laid = Stretches(rows.withColumn("g", F.struct(F.col("g").alias("own"), "up")), "pos")
-    placed = laid.running(laid.df, order, "sum", length, "part", inclusive=True).withColumn("g", F.col("g.own"))
+    laid = Stretches(rows.withColumn("g", F.struct(F.col("g").alias("own"), "up")), "pos", "key_e", "i")
+    placed = laid.running(laid.df, "sum", length, "part", inclusive=True).withColumn("g", F.col("g.own"))
     whole = rows.groupBy("g").agg(
         F.sum(length).alias("total"),
         F.coalesce(F.sum(F.when(~F.col("up"), length)), F.lit(0)).alias("minus"),

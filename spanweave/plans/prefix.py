@@ -1,106 +1,99 @@
-"""Running values per group that survive a group with most of the rows.
+"""Running values per group that survive a group with most of the rows, and places in one order of all rows.
 
-A plain window sends a whole group to one task.  Here the rows of each group of more than
-``STRETCH_ROWS`` are dealt into stretches of the leading order column, cut at its quantiles in that group; each
-stretch is one window partition, and what lies before (or after) it comes from a second, small
-window over one row per stretch.  Without such a group the plan is a plain window.
+A plain window sends a whole group to one task.  Where a group has more than ``STRETCH_ROWS``, the rows are dealt by
+ranges of (group, order), with splitters that Spark samples over the whole order, which ends in a unique key: a
+stretch is what a group has in one range, however many rows share a position.  Each stretch is one window partition, and
+what lies before (or after) it comes from a second, small window over one row per stretch.  Without such a group the plan is
+a plain window.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from ..model import floor_div
+from .shared import kept
 
-#: Rows that a stretch should have, quantile cuts of a group (stretches beyond that divide the ranges between them evenly), and cuts in all.
-STRETCH_ROWS, CUTS, ALL_CUTS = 2_000_000, 64, 1_000_000
-#: Groups whose rows (one each) one window takes; beyond that they are dealt into blocks by sampled groups.
-WINDOW_GROUPS, BLOCKS = 1_000_000, 1024
+#: Rows of a group from which all rows are dealt into ranges, and rows of a range.
+STRETCH_ROWS = 2_000_000
+#: Groups (one row each) that one window takes; beyond that they are dealt into ranges of so many.
+WINDOW_GROUPS = 1_000_000
 
 
 class Stretches:
-    """``df`` with ``__b``, the stretch of each row by the long column ``pos``.
+    """``df`` with ``__b``, the range of each row by ``g`` and the columns ``order``, which should tell all rows of a group apart.
 
-    ``like`` has the groups and positions by which stretches are cut, where ``df`` itself is dear to compute.
-    The large groups are counted in one job, their quantiles in another; the cuts, 8 bytes for each
-    ``STRETCH_ROWS`` rows and at most ``ALL_CUTS``, come to the driver so that all uses of a row agree.
+    ``like`` has the groups by whose sizes it is decided whether to deal, where ``df`` itself is dear to compute; ``groups`` is
+    their number and ``largest`` the size of the largest.  The dealt rows are a checkpoint, so that all that is made of them sees the same ranges.
     """
 
-    def __init__(self, df: DataFrame, pos: str, like: DataFrame | None = None):
-        like = df if like is None else like
-        self.pos = pos
-        counts = like.groupBy("g").agg(F.count("*").alias("__n"))
-        large = counts.where(F.col("__n") > STRETCH_ROWS).agg(F.count("*"), F.coalesce(F.sum("__n"), F.lit(0))).first()
-        self.single = not large[0]
-        if self.single:
-            self.df = df
-            return
-        rows = max(STRETCH_ROWS, -(-large[1] // ALL_CUTS))
-        many = counts.where(F.col("__n") > rows)
-        wanted = like.select("g", pos).join(F.broadcast(many) if large[0] <= 10_000 else many, "g")
-        marks = F.percentile_approx(pos, F.lit([k / CUTS for k in range(CUTS + 1)]), F.lit(10_000))
-        kind = StructType([StructField("g", df.schema["g"].dataType), StructField("__cuts", ArrayType(LongType())), StructField("__sub", LongType())])
-        found = []
-        for g, n, cuts in wanted.groupBy("g").agg(F.first("__n"), marks).collect():
-            parts = -(-n // rows)
-            step = max(1, CUTS // parts)
-            found.append((g, sorted(set(cuts[step::step])), max(1, -(-parts // CUTS))))
-        self.df = self.mark(df, df.sparkSession.createDataFrame(found, kind))
-
-    def mark(self, df: DataFrame, cuts: DataFrame) -> DataFrame:
-        """Stretch: the number of cuts up to the position, and within the range between two cuts an even share of it."""
-        joined = df.join(F.broadcast(cuts), "g", "left")
-        cell = F.coalesce(F.size(F.filter("__cuts", lambda x: x <= F.col(self.pos))), F.lit(0))
-        low, high = F.get("__cuts", cell - 1), F.get("__cuts", cell)
-        inner = F.when((F.col("__sub") > 1) & low.isNotNull() & high.isNotNull(), floor_div((F.col(self.pos) - low) * F.col("__sub"), high - low)).otherwise(0)
-        return joined.withColumn("__b", cell * F.coalesce("__sub", F.lit(1).cast("long")) + inner).drop("__cuts", "__sub")
+    def __init__(self, df: DataFrame, *order: Column | str, like: DataFrame | None = None):
+        self.order = [F.col(c) if isinstance(c, str) else c for c in order]
+        counts = (df if like is None else like).groupBy("g").agg(F.count("*").alias("__n"))
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        self.groups, rows, self.largest = counts.agg(F.count("*"), zero(F.sum("__n")), zero(F.max("__n"))).first()
+        self.single = self.largest <= STRETCH_ROWS
+        self.df = df if self.single else kept(df.repartitionByRange(-(-rows // STRETCH_ROWS), "g", *self.order).withColumn("__b", F.spark_partition_id()))
 
     def keys(self) -> list[str]:
         return ["g"] if self.single else ["g", "__b"]
 
-    def running(self, df: DataFrame, order: list[Column], kind: str, value: Column, name: str, after: bool = False, inclusive: bool = False) -> DataFrame:
-        """``df`` with ``name``: the ``kind`` (max, min or sum) of ``value`` over the rows of the group before each row (or after it), null without any.
+    def running(self, df: DataFrame, kind: str, value: Column, name: str, after: bool = False, inclusive: bool = False) -> DataFrame:
+        """``df`` with ``name``: the ``kind`` of ``value`` over the rows of the group before each row (or after it), null without any.
 
-        ``order`` must begin with ``pos`` in the order of the stretches.
+        Kinds: ``max``, ``min``, ``sum``, and ``near``, the nearest value that isn't null.
         """
-        fold = getattr(F, kind)
-        last = 0 if inclusive else -1
-        local = Window.partitionBy(*self.keys()).orderBy(*order)
-        local = local.rowsBetween(-last, Window.unboundedFollowing) if after else local.rowsBetween(Window.unboundedPreceding, last)
-        own = fold(value).over(local)
+        fold = getattr(F, kind) if kind != "near" else lambda x: F.last(x, ignorenulls=True)
+        # What lies after is what lies before in the opposite order: a frame to the end of the partition would be folded anew for each row.
+        turned = (lambda c: c.desc()) if after else (lambda c: c)
+        upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+        own = fold(value).over(upto(Window.partitionBy(*self.keys()).orderBy(*[turned(c) for c in self.order]), 0 if inclusive else -1))
         if self.single:
             return df.withColumn(name, own)
-        side = Window.partitionBy("g").orderBy("__b")
-        side = side.rowsBetween(1, Window.unboundedFollowing) if after else side.rowsBetween(Window.unboundedPreceding, -1)
-        carry = df.groupBy("g", "__b").agg(fold(value).alias("__t")).select("g", "__b", fold("__t").over(side).alias("__carry"))
-        both = df.withColumn("__own", own).join(carry, ["g", "__b"])
+        if kind == "near":
+            # Of the values that aren't null that of the last row (or first).
+            total = (F.min_by if after else F.max_by)(value, F.when(value.isNotNull(), F.struct(*self.order)))
+        else:
+            total = fold(value)
+        side = upto(Window.partitionBy("g").orderBy(turned(F.col("__b"))), -1)
+        # A range has one group at most that begins before it (or ends after it), so the carried rows are no more than ranges.
+        carry = df.groupBy("g", "__b").agg(total.alias("__t")).select("g", "__b", fold(F.col("__t")).over(side).alias("__carry")).where("__carry is not null")
+        both = df.withColumn("__own", own).join(F.broadcast(carry), ["g", "__b"], "left")
         if kind == "sum":
-            total = F.when(F.col("__own").isNull() & F.col("__carry").isNull(), None).otherwise(F.coalesce("__own", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
+            joined = F.when(F.col("__own").isNull() & F.col("__carry").isNull(), None).otherwise(F.coalesce("__own", F.lit(0)) + F.coalesce("__carry", F.lit(0)))
+        elif kind == "near":
+            joined = F.coalesce("__own", "__carry")
         else:
-            total = (F.greatest if kind == "max" else F.least)("__own", "__carry")
-        return both.withColumn(name, total).drop("__own", "__carry")
+            joined = (F.greatest if kind == "max" else F.least)("__own", "__carry")
+        return both.withColumn(name, joined).drop("__own", "__carry")
+
+
+def placed(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` in the order of the columns, which must tell all rows apart, with ``pos``, the place of each row from 0.
+
+    One exchange, by ranges whose splitters Spark samples over all of the order; a row's place is that in its range and
+    the rows of the ranges before, of which there are as many as partitions.
+    """
+    ranged = kept(df.orderBy(*order))
+    sizes = ranged.groupBy(F.spark_partition_id().alias("__b")).agg(F.count("*").alias("n"))
+    upto = F.coalesce(F.sum("n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The number of a row in its partition is in the lower 33 bits.
+    numbered = ranged.withColumns({"__b": F.spark_partition_id(), "__k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    return numbered.join(F.broadcast(sizes.select("__b", upto.alias("__upto"))), "__b").withColumn("pos", F.col("__upto") + F.col("__k")).drop("__b", "__k", "__upto")
 
 
-def before_groups(groups: DataFrame, **values: Column) -> DataFrame:
-    """``groups`` (one row per ``g``) with the sums of ``values`` over all groups in front of each, 0 for the first.
+def before_groups(groups: DataFrame, n: int, **values: Column) -> DataFrame:
+    """``groups`` (some ``n`` rows, one per ``g``) with the sums of ``values`` over all groups in front of each, 0 for the first.
 
-    Many groups are dealt into blocks between groups that a hash picks, so that no window has more than a few of them.
+    Many groups are dealt into ranges, and each range takes the sums of the ranges before.
     """
-    n = groups.count()
-    rows = groups.withColumns({f"__v{k}": v.cast("long") for k, v in enumerate(values.values())})
-    names = [f"__v{k}" for k in range(len(values))]
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     if n <= WINDOW_GROUPS:
         own = upto(Window.orderBy("g"))
-        done = rows.withColumns({k: zero(F.sum(v).over(own)) for k, v in zip(values, names, strict=True)})
-        return done.drop(*names)
-    cuts = groups.where(F.pmod(F.xxhash64("g"), F.lit(max(1, n // BLOCKS))) == 0).agg(F.sort_array(F.collect_list("g")).alias("__cuts"))
-    dealt = rows.crossJoin(F.broadcast(cuts)).withColumn("__block", F.size(F.filter("__cuts", lambda x: x <= F.col("g")))).drop("__cuts")
-    inside = upto(Window.partitionBy("__block").orderBy("g"))
-    own = dealt.withColumns({f"__own{k}": zero(F.sum(v).over(inside)) for k, v in enumerate(names)})
-    blocks = dealt.groupBy("__block").agg(*[F.sum(v).alias(f"__sum{k}") for k, v in enumerate(names)])
-    front = upto(Window.orderBy("__block"))
-    base = blocks.select("__block", *[zero(F.sum(f"__sum{k}").over(front)).alias(f"__base{k}") for k in range(len(names))])
-    done = own.join(F.broadcast(base), "__block").withColumns({n: F.col(f"__own{k}") + F.col(f"__base{k}") for k, n in enumerate(values)})
+        return groups.withColumns({k: zero(F.sum(v.cast("long")).over(own)) for k, v in values.items()})
+    ranged = kept(groups.withColumns({f"__v{k}": v.cast("long") for k, v in values.items()}).repartitionByRange(-(-n // WINDOW_GROUPS), "g").withColumn("__b", F.spark_partition_id()))
+    inside = upto(Window.partitionBy("__b").orderBy("g"))
+    front = upto(Window.orderBy("__b"))
+    sums = ranged.groupBy("__b").agg(*[F.sum(f"__v{k}").alias(f"__sum{k}") for k in values])
+    base = sums.select("__b", *[zero(F.sum(f"__sum{k}").over(front)).alias(f"__base{k}") for k in values])
+    done = ranged.join(F.broadcast(base), "__b").withColumns({k: zero(F.sum(f"__v{k}").over(inside)) + F.col(f"__base{k}") for k in values})
     return done.select(*groups.columns, *values)
