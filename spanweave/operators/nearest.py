@@ -1,10 +1,10 @@
-"""k nearest intervals, by joins on the rank of positions."""
+"""k nearest intervals, by the positions around each interval."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import SPEC, Spec, carrying, framed, same_groups
-from ..plans.binning import extent, range_join
+from ..plans.binning import range_join
 from ..plans.prefix import Stretches
 from .joins import OTHER
 
@@ -19,40 +19,52 @@ def nearest(a: DataFrame, b: DataFrame, spec: Spec = SPEC, other: Spec = OTHER,
     (forward), before it (backward) or both; overlaps count in every direction unless left out.  ``slack`` moves the left
     interval back.
 
-    Among the distinct ends (or starts) of a group, those around a left interval are consecutive ranks: a running
-    count gives its place, and an equi-join on (group, rank) its neighbours, never all pairs of a group.
+    One order of all positions: each left interval takes the last ``k`` distinct ends up to its start and the next ``k`` distinct
+    starts from its end as two short arrays, and from counts whether it overlaps any.  These fix its ``k`` distances, and an
+    equi-join on (group, position) finds the right intervals there, never all pairs of a group.
     """
     if direction not in DIRECTIONS:
         raise ValueError(f"direction is one of {DIRECTIONS}")
     same_groups(spec, other)
     x = framed(a, spec).select("g", "i", (F.col("s") - slack).alias("s"), (F.col("e") - slack).alias("e"))
     y = framed(b, other).select("g", F.col("i").alias("i2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    extents = extent(x, "s", "e"), extent(y, "s2", "e2")
-    found = []
-    if direction != "forward":
-        found.append(_ranked(x, y, "s", "e2", k, before=True).select("i", "i2", (F.col("at") - F.col("p") + 1).alias("distance")))
-    if direction != "backward":
-        found.append(_ranked(x, y, "e", "s2", k, before=False).select("i", "i2", (F.col("p") - F.col("at") + 1).alias("distance")))
+    # Ends come before the questions of their position (0), starts after them (2).
+    edges = y.select("g", "i2", F.inline(F.array(F.struct(F.col("e2").alias("p"), F.lit(0).alias("o")), F.struct(F.col("s2").alias("p"), F.lit(2).alias("o")))))
+    arounds = _around(x, edges, k)
+    back, forth = (F.transform(c, lambda p: F.struct(p.alias("p"), F.lit(o).alias("o"), d(p).alias("distance"))) for c, o, d in (("back", 0, lambda p: F.col("s") - p + 1), ("forth", 2, lambda p: p - F.col("e") + 1)))
+    sides = {"forward": [forth], "backward": [back], "any": [back, forth]}[direction]
+    seen = F.concat(*[F.coalesce(c, F.array().cast("array<struct<p:long,o:int,distance:long>>")) for c in sides])
+    zero = F.when(F.col("met"), F.array(F.lit(0).cast("long"))) if include_overlaps else F.lit(None).cast("array<long>")
+    distances = F.slice(F.array_sort(F.array_distinct(F.concat(F.transform("seen", lambda c: c["distance"]), F.coalesce(zero, F.array().cast("array<long>"))))), 1, k)
+    kept = arounds.withColumn("seen", seen).withColumn("distances", distances)
+    wanted = kept.select("g", "i", F.inline(F.filter("seen", lambda c: F.array_contains("distances", c["distance"]))))
+    found = wanted.join(edges, ["g", "p", "o"]).select("i", "i2", "distance")
     if include_overlaps:
-        met = range_join(x, y, ("s", "e"), ("s2", "e2"), (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")), extents=extents)
-        found.append(met.select("i", "i2", F.lit(0).cast("long").alias("distance")))
-    both = found[0]
-    for f in found[1:]:
-        both = both.unionByName(f)
-    place = F.dense_rank().over(Window.partitionBy("i").orderBy("distance"))
-    return both.withColumn("__place", place).where(F.col("__place") <= k).select(F.col("i").alias("idx"), F.col("i2").alias("idx2"), "distance")
-
-
-def _ranked(x: DataFrame, y: DataFrame, at: str, end: str, k: int, before: bool) -> DataFrame:
-    """Left rows with the right rows at the ``k`` nearest distinct positions ``end`` up to (or from) ``at``: ``i``, ``at``, ``i2``, ``p``."""
-    none = F.lit(None).cast(x.schema["i"].dataType)
-    told = y.select("g", F.col(end).alias("p"), none.alias("i"), F.lit(1).alias("new")).distinct()
-    asked = x.select("g", F.col(at).alias("p"), "i", F.lit(0).alias("new"))
-    # Positions equal to the question's count as before it on the left, and not on the right.
-    order: list[Column] = [F.col("p"), F.col("new").desc() if before else F.col("new"), F.col("i")]
-    laid = Stretches(told.unionByName(asked), "p")
-    ranked = laid.running(laid.df, order, "sum", F.col("new"), "r", inclusive=True)
-    low, high = (F.greatest(F.col("r") - k + 1, F.lit(1).cast("long")), F.col("r")) if before else (F.col("r") + 1, F.col("r") + k)
-    wanted = ranked.where("new = 0").where(F.col("r") >= (1 if before else 0)).select("g", "i", F.col("p").alias("at"), F.explode(F.sequence(low, high)).alias("r"))
-    spots = ranked.where("new = 1").select("g", "p", "r")
-    return wanted.join(spots, ["g", "r"]).join(y.select("g", F.col(end).alias("p"), "i2"), ["g", "p"])
+        met = range_join(x, y, ("s", "e"), ("s2", "e2"), (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
+        found = found.unionByName(met.select("i", "i2", F.lit(0).cast("long").alias("distance")))
+    return found.select(F.col("i").alias("idx"), F.col("i2").alias("idx2"), "distance")
+
+
+def _around(x: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Left rows (g, i, s, e) with the last ``k`` distinct ends up to their start (``back``), the next ``k`` distinct starts from their end (``forth``), nearest first, and whether they meet a right row (``met``)."""
+    none = F.lit(None).cast("long")
+    spots = edges.groupBy("g", "p", "o").agg(F.count("*").alias("n"))
+    lined = Stretches(spots.select(F.struct("g", "o").alias("g"), "p", "n"), "p")
+    # Each spot with those before it among the ends, and those after it among the starts.
+    near = lined.df.withColumn("__0", F.col("p"))
+    for j in range(1, k):
+        near = lined.running(near, "near", F.col(f"__{j - 1}"), "__back")
+        near = lined.running(near, "near", F.col(f"__{j - 1}"), "__forth", after=True)
+        near = near.withColumn(f"__{j}", F.when(F.col("g.o") == 0, F.col("__back")).otherwise(F.col("__forth"))).drop("__back", "__forth")
+    told = near.select(F.col("g.g").alias("g"), "p", F.col("g.o").alias("o"), "n", F.array_compact(F.array(*[f"__{j}" for j in range(k)])).alias("near"))
+    asked = x.select("g", "i", "s", "e", F.inline(F.array(F.struct(F.col("s").alias("p"), F.lit(True).alias("first")), F.struct(F.col("e").alias("p"), F.lit(False).alias("first")))), F.lit(1).alias("o"), F.xxhash64("i").alias("t"))
+    asked = asked.withColumns({"n": none, "near": F.lit(None).cast("array<long>")})
+    told = told.withColumns({"i": F.lit(None).cast(x.schema["i"].dataType), "s": none, "e": none, "first": F.lit(None).cast("boolean"), "t": none})
+    laid = Stretches(asked.unionByName(told), "p", "o", "t", "first")
+    rows = laid.running(laid.df, "near", F.when(F.col("o") == 0, F.col("near")), "back")
+    rows = laid.running(rows, "sum", F.when(F.col("o") == 0, F.col("n")), "ends")
+    rows = laid.running(rows, "sum", F.when(F.col("o") == 2, F.col("n")), "starts")
+    rows = laid.running(rows, "near", F.when(F.col("o") == 2, F.col("near")), "forth", after=True)
+    own = lambda c, first: F.max(F.when(F.col("first") == first, F.col(c)))
+    met = F.coalesce(own("starts", False), F.lit(0)) > F.coalesce(own("ends", True), F.lit(0))
+    return rows.where("o = 1").groupBy("g", "i", "s", "e").agg(own("back", True).alias("back"), own("forth", False).alias("forth"), met.alias("met"))
