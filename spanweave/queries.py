@@ -4,7 +4,6 @@ Orders are intervals in days by customer, events intervals in seconds by user; t
 join are split by order status or event type.
 """
 
-import tempfile
 import uuid
 from dataclasses import replace
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from . import operators as ops
 from .model import SPEC, Spec
 from .operators.joins import OTHER
+from .plans.shared import shared_folder
 from .sources import event_intervals, order_intervals
 from .streaming import drained, overlaps_with_static, stream_tiles
 
@@ -82,13 +82,8 @@ def map_to_global(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shared_place(spark: SparkSession) -> str:
-    """A new name in ``spark.checkpoint.dir``; a local session without that setting (as in tests) gets a temporary folder."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if known is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir is unset: it names the folder that driver and executors share")
-        known = tempfile.mkdtemp(prefix="streams-")
-    return f"{known}/stream-{uuid.uuid4().hex}"
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def streamed_tiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import SPEC, Spec, floor_div, framed, same_groups
+from ..model import SPEC, Spec, framed, same_groups
 from ..operators.joins import OTHER
 from ..operators.shape import tile
+from ..plans.binning import MOST_LENGTH, base_width, binned, extent, level_of, levels_needed, paired
 
 
 def stream_tiles(stream: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
@@ -13,15 +14,22 @@ def stream_tiles(stream: DataFrame, size: int, spec: Spec = SPEC) -> DataFrame:
     return tile(stream, size, spec)
 
 
-def overlaps_with_static(stream: DataFrame, static: DataFrame, bin_width: int, spec: Spec = SPEC, other: Spec = OTHER) -> DataFrame:
-    """Pairs (``idx``, ``idx2``) of a stream's intervals and a static set: a stream-static equi-join on bins of a given width."""
+def overlaps_with_static(stream: DataFrame, static: DataFrame, bin_width: int | None = None, spec: Spec = SPEC, other: Spec = OTHER) -> DataFrame:
+    """Pairs (``idx``, ``idx2``) of a stream's intervals and a static set: a stream-static equi-join on bins.
+
+    Bins have levels by length (see ``plans.binning``): those of the static side are read when the query starts, and a stream's
+    interval may be of any level up to the longest there can be, so that none becomes more than a few bins
+    of each level, and nothing need be known about the stream.  ``bin_width`` is the width of the finest bins (by default the static
+    side's median length).
+    """
     same_groups(spec, other)
-    bins = lambda df: df.withColumn("__bin", F.explode(F.sequence(floor_div(F.col("s"), bin_width), floor_div(F.col("e") - 1, bin_width))))
-    x = bins(framed(stream, spec))
-    y = bins(framed(static, other)).withColumnsRenamed({"i": "i2", "s": "s2", "e": "e2"})
-    met = x.join(y, ["g", "__bin"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")))
-    first = F.col("__bin") == F.greatest(floor_div(F.col("s"), bin_width), floor_div(F.col("s2"), bin_width))
-    return met.where(first).select(F.col("i").alias("idx"), F.col("i2").alias("idx2"))
+    x, y = framed(stream, spec), framed(static, other).withColumnsRenamed({"i": "i2", "s": "s2", "e": "e2"})
+    base = bin_width or base_width(extent(y, "s2", "e2").median)
+    top = levels_needed(MOST_LENGTH, base)
+    used = sorted(r[0] for r in y.select(level_of(F.col("e2") - F.col("s2"), base, top)).distinct().collect())
+    # A pair meets at the coarser of its levels: the stream's own, or one of the static side.
+    own = F.array(level_of(F.col("e") - F.col("s"), base, top), *[F.lit(k) for k in used])
+    return paired(binned(x, "s", "e", base, list(range(top + 1)), "__level_a", own), binned(y, "s2", "e2", base, list(range(top + 1)), "__level_b"), (F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e"))).select(F.col("i").alias("idx"), F.col("i2").alias("idx2"))
 
 
 def drained(stream: DataFrame, folder: str) -> DataFrame:
