@@ -256,7 +256,7 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
     arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
 
     def in_blocks(told: DataFrame, *more: str) -> DataFrame:
-        both = told.join(classes.select("rep", "n_shingles", "bits", "keys"), "rep").select(*COLUMNS, "n_shingles", "bits", "keys", *more)
+        both = told.join(classes.select("rep", "n_shingles", "bits", *(["keys"] if more else [])), "rep").select(*COLUMNS, "n_shingles", "bits", *more)
         return both.repartition(F.col("key"), F.col("block"), F.col("part")).sortWithinPartitions("key", "block", "part")
 
     def likely_rows(batches):
@@ -271,10 +271,12 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
             found = []
             for q, near in across(group, percent):
                 done = set()
-                own = np.frombuffer(group.column(10)[q].as_buffer(), np.uint64)
+                own, keys = np.frombuffer(group.column(10)[q].as_buffer(), np.uint64), np.asarray(group.column(9)[q].values)
                 for m in near:
-                    # One link with a component is enough.
-                    if component[m] not in done and similar(own, np.frombuffer(group.column(10)[m].as_buffer(), np.uint64), percent):
+                    # One link with a component is enough, and a pair is compared at the least key that it shares.
+                    if component[m] in done or group.column(0)[0].as_py() not in np.intersect1d(keys, np.asarray(group.column(9)[m].values))[:1]:
+                        continue
+                    if similar(own, np.frombuffer(group.column(10)[m].as_buffer(), np.uint64), percent):
                         done.add(component[m])
                         found.append((max(rep[q], rep[m]), min(rep[q], rep[m])))
             if found:
@@ -283,12 +285,11 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
     first = in_blocks(as_member.unionByName(as_query).select(*COLUMNS))
     asked = staged(first.mapInArrow(likely_rows, first.select(*COLUMNS).schema))
     sets = staged(sets_of(docs, doc_id, text, shingle, staged(asked.select("rep").distinct())))
-    return in_blocks(asked.join(sets, "rep"), "tokens").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
+    return in_blocks(asked.join(sets, "rep"), "keys", "tokens").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def across(group: pa.Table, percent: int):
-    """For each asking row of a block, the rows of other components that may be linked with it and share no lesser key."""
-    key = group.column(0)[0].as_py()
+    """For each asking row of a block, the rows of other components that may be linked with it."""
     rep, component, query, asks, n, bits = (group.column(i).to_pylist() for i in range(3, 9))
     member = np.array([i for i, x in enumerate(asks) if not x], np.int64)
     if not len(member):
@@ -296,15 +297,13 @@ def across(group: pa.Table, percent: int):
     parities = np.frombuffer(b"".join([bits[i] for i in member]), np.uint64).reshape(len(member), -1)
     sizes, of_query = np.array([n[i] for i in member], np.int64), np.array([query[i] for i in member])
     reps, components = np.array([rep[i] for i in member]), np.array([component[i] for i in member])
-    keys: dict[int, np.ndarray] = {}
-    at = lambda i: keys[i] if i in keys else keys.setdefault(i, np.asarray(group.column(9)[i].values))
     for q in (i for i, x in enumerate(asks) if x):
         # Of two rows that ask each other one is enough.
         fits = np.flatnonzero((components != component[q]) & (~of_query | (reps > rep[q])))
         if not len(fits):
             continue
         differing = np.bitwise_count(parities[fits] ^ np.frombuffer(bits[q], np.uint64)).sum(axis=1, dtype=np.int64)
-        near = [m for m in member[fits[may_link(sizes[fits], n[q], differing, percent)]].tolist() if key in np.intersect1d(at(q), at(m))[:1]]
+        near = member[fits[may_link(sizes[fits], n[q], differing, percent)]].tolist()
         if near:
             yield q, near
 
@@ -330,9 +329,10 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         classes = classes.dropDuplicates(["digest", "rep"])
     classes = staged(classes.drop("digest"))
     rows = classes.select("rep", F.explode("keys").alias("key"))
-    # Sizes are written first, so that the join with them is one of two plain tables and Spark can split a large key.
-    shared = staged(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").drop("n"))
-    members = staged(rows.join(shared, "key"))
+    # Most keys are of one class: only keys and counts are shuffled for them, and the join is one of two plain tables, whose large keys Spark can split.
+    shared = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    found = staged(rows.join(shared, "key"))
+    members = staged(found.join(found.groupBy("key").agg(F.min("rep").alias("low")), "key"))
     pairs = members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     first = staged(confirmed(possible(pairs, classes, percent), docs, doc_id, text, shingle, percent))
     more = staged(apart(members, connected_components(first), classes, docs, doc_id, text, shingle, percent))
