@@ -256,7 +256,7 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
     arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
 
     def in_blocks(told: DataFrame, *more: str) -> DataFrame:
-        both = told.join(classes.select("rep", "n_shingles", "bits", *(["keys"] if more else [])), "rep").select(*COLUMNS, "n_shingles", "bits", *more)
+        both = told.join(classes.select("rep", "n_shingles", "bits", "keys"), "rep").select(*COLUMNS, "n_shingles", "bits", *more)
         return both.repartition(F.col("key"), F.col("block"), F.col("part")).sortWithinPartitions("key", "block", "part")
 
     def likely_rows(batches):
@@ -265,31 +265,34 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
             if chosen:
                 yield from group.select(COLUMNS).take(pa.array(sorted(chosen))).combine_chunks().to_batches()
 
+    def narrowed(rows: DataFrame) -> DataFrame:
+        return staged(rows.mapInArrow(likely_rows, rows.select(*COLUMNS).schema))
+
     def linked(batches):
         for group in grouped(batches, 3):
             rep, component = group.column(3).to_pylist(), group.column(4).to_pylist()
             found = []
             for q, near in across(group, percent):
                 done = set()
-                own, keys = np.frombuffer(group.column(10)[q].as_buffer(), np.uint64), np.asarray(group.column(9)[q].values)
+                own = np.frombuffer(group.column(9)[q].as_buffer(), np.uint64)
                 for m in near:
-                    # One link with a component is enough, and a pair is compared at the least key that it shares.
-                    if component[m] in done or group.column(0)[0].as_py() not in np.intersect1d(keys, np.asarray(group.column(9)[m].values))[:1]:
-                        continue
-                    if similar(own, np.frombuffer(group.column(10)[m].as_buffer(), np.uint64), percent):
+                    # One link with a component is enough.
+                    if component[m] not in done and similar(own, np.frombuffer(group.column(9)[m].as_buffer(), np.uint64), percent):
                         done.add(component[m])
                         found.append((max(rep[q], rep[m]), min(rep[q], rep[m])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], arrow[i].type) for i in (0, 1)], schema=arrow)
 
-    first = in_blocks(as_member.unionByName(as_query).select(*COLUMNS))
-    asked = staged(first.mapInArrow(likely_rows, first.select(*COLUMNS).schema))
+    # What sizes and parity bits leave takes its keys along, by which each pair stays at one key, and what that leaves its full set.
+    asked = narrowed(in_blocks(narrowed(in_blocks(as_member.unionByName(as_query).select(*COLUMNS))), "keys"))
     sets = staged(sets_of(docs, doc_id, text, shingle, staged(asked.select("rep").distinct())))
-    return in_blocks(asked.join(sets, "rep"), "keys", "tokens").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
+    return in_blocks(asked.join(sets, "rep"), "tokens").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def across(group: pa.Table, percent: int):
-    """For each asking row of a block, the rows of other components that may be linked with it."""
+    """For each asking row of a block, the rows of other components that may be linked with it and, where the rows have their keys, share no lesser one."""
+    keys = group.column("keys") if "keys" in group.column_names else None
+    key = group.column(0)[0].as_py()
     rep, component, query, asks, n, bits = (group.column(i).to_pylist() for i in range(3, 9))
     member = np.array([i for i, x in enumerate(asks) if not x], np.int64)
     if not len(member):
@@ -304,6 +307,9 @@ def across(group: pa.Table, percent: int):
             continue
         differing = np.bitwise_count(parities[fits] ^ np.frombuffer(bits[q], np.uint64)).sum(axis=1, dtype=np.int64)
         near = member[fits[may_link(sizes[fits], n[q], differing, percent)]].tolist()
+        if keys is not None:
+            own = np.asarray(keys[q].values)
+            near = [m for m in near if key in np.intersect1d(own, np.asarray(keys[m].values))[:1]]
         if near:
             yield q, near
 
