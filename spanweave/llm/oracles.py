@@ -117,22 +117,22 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, min(t.b) as component_id, d.doc
 TURN = "'<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
 CHAT = f"""
 with raw as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
-ro as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from raw),
+ro as (select *, row_number() over (partition by conv_id, made order by turn nulls first, role nulls first, text nulls first) as n from raw),
 la as (select conv_id, max(n) as n from ro where role = 'assistant' group by conv_id),
 en as (select x.conv_id, x.n, own.turn, other.text from la x join la y on y.conv_id = x.conv_id + 1 join ro own on own.conv_id = x.conv_id and own.n = x.n join ro other on other.conv_id = y.conv_id and other.n = y.n),
-t as (select conv_id, turn, role, text from raw union select -1 - ro.conv_id, ro.turn, ro.role, ro.text from ro join en on en.conv_id = ro.conv_id and ro.n < en.n union select -1 - conv_id, turn, 'assistant', text from en),
-o as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from t),
-p as (select distinct c.conv_id as c, c.conv_id + 1 as r from raw c join raw r on r.conv_id = c.conv_id + 1 where c.conv_id % 2 = 0 union select conv_id, -1 - conv_id from en),
-z as (select p.c, p.r, greatest(a.n, 0) as n, a.role is not distinct from b.role and a.text is not distinct from b.text and b.n is not null as same from p join o a on a.conv_id = p.c left join o b on b.conv_id = p.r and b.n = a.n),
-k as (select c, r, coalesce(min(n) filter (not same) - 1, max(n)) as n from z group by c, r),
-q as (select c, r, k.n as cut, side, o.n, role, text, {TURN} as shown, coalesce(sum(case when o.n > k.n then length({TURN}) else 0 end) over (partition by c, r, side order by o.n rows between unbounded preceding and 1 preceding), 0) as off
-  from k join (values (0), (1)) s(side) on true join o on o.conv_id = case side when 0 then k.c else k.r end),
+t as (select conv_id, false as made, turn, role, text from raw union select ro.conv_id, true, ro.turn, ro.role, ro.text from ro join en on en.conv_id = ro.conv_id and ro.n < en.n union select conv_id, true, turn, 'assistant', text from en),
+o as (select *, row_number() over (partition by conv_id, made order by turn nulls first, role nulls first, text nulls first) as n from t),
+p as (select distinct c.conv_id as c, c.conv_id + 1 as r, false as made from raw c join raw r on r.conv_id = c.conv_id + 1 where c.conv_id % 2 = 0 union select conv_id, conv_id, true from en),
+z as (select p.c, p.r, p.made, greatest(a.n, 0) as n, a.role is not distinct from b.role and a.text is not distinct from b.text and b.n is not null as same from p join o a on a.conv_id = p.c and not a.made left join o b on b.conv_id = p.r and b.made = p.made and b.n = a.n),
+k as (select c, r, made, coalesce(min(n) filter (not same) - 1, max(n)) as n from z group by c, r, made),
+q as (select c, r, k.made, k.n as cut, side, o.n, role, text, {TURN} as shown, coalesce(sum(case when o.n > k.n then length({TURN}) else 0 end) over (partition by c, r, k.made, side order by o.n rows between unbounded preceding and 1 preceding), 0) as off
+  from k join (values (0), (1)) s(side) on true join o on o.conv_id = case side when 0 then k.c else k.r end and o.made = (side = 1 and k.made)),
 w as (select *, off + length('<|im_start|>' || coalesce(role, '') || chr(10)) as a from q),
-g as (select c, r, cut, coalesce(string_agg(shown, '' order by n) filter (side = 0 and n <= cut), '') as prompt,
+g as (select c, r, made, cut, coalesce(string_agg(shown, '' order by n) filter (side = 0 and n <= cut), '') as prompt,
   coalesce(string_agg(shown, '' order by n) filter (side = 0 and n > cut), '') as chosen, coalesce(string_agg(shown, '' order by n) filter (side = 1 and n > cut), '') as rejected,
   coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 0 and n > cut and role = 'assistant'), '') as chosen_spans,
-  coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 1 and n > cut and role = 'assistant'), '') as rejected_spans from w group by c, r, cut)
-select c as chosen_id, r as rejected_id, cut as n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans, chosen_spans <> '' and rejected_spans <> '' as usable from g"""
+  coalesce(string_agg(cast(a as bigint) || '-' || cast(a + length(coalesce(text, '')) as bigint), ',' order by n) filter (side = 1 and n > cut and role = 'assistant'), '') as rejected_spans from w group by c, r, made, cut)
+select c as chosen_id, r as rejected_id, made, cut as n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans, chosen_spans <> '' and rejected_spans <> '' as usable from g"""
 
 JACCARD = f"""
 with recursive d as (select doc_id, regexp_extract_all({lower("coalesce(text, '')")}, {SPACED}) as w from documents),

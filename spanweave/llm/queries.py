@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
-from .chat import adjacent_pairs, other_endings, preference_pairs
+from .chat import adjacent_pairs, other_endings, preference_pairs, tagged_turns
 from .decontaminate import benchmark_hits, hit_digest
 from .jaccard import jaccard_groups
 from .licenses import license_scan
@@ -28,9 +28,9 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     conversations = table(spark, folder, "conversations")
     turns, endings = other_endings(conversations)
-    # Pairs of whole conversations and, under ids below 0, pairs that differ at the end.
-    both = conversations.select("conv_id", "turn", "role", "text").unionByName(turns)
-    pairs = preference_pairs(both, adjacent_pairs(conversations).unionByName(endings))
+    # Pairs of whole conversations, and pairs of a conversation with one made from it, which differ at the end.
+    pairs = preference_pairs(tagged_turns(conversations).unionByName(turns), adjacent_pairs(conversations).unionByName(endings))
+    pairs = pairs.withColumns({"made": F.col("rejected_id.made"), "chosen_id": F.col("chosen_id.id"), "rejected_id": F.col("rejected_id.id")})
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["stop"])), ",")
     return pairs.withColumns({c: shown(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
 
@@ -66,8 +66,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    # Every round of training is over all training documents.
-    return lm_scores(table(spark, folder, "documents"), share=1)
+    return lm_scores(table(spark, folder, "documents"))
 
 
 def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanweave.llm.bpe import bpe_decode, bpe_encode
-from spanweave.llm.chat import adjacent_pairs, other_endings, preference_pairs
+from spanweave.llm.chat import adjacent_pairs, other_endings, preference_pairs, tagged_turns
 from spanweave.llm.components import connected_components
 from spanweave.llm.decontaminate import benchmark_hits, decontaminate, hit_digest
 from spanweave.llm.licenses import license_scan
 from spanweave.llm.maxent import lm_scores
 from spanweave.llm.near import near_dedup, near_groups
 from spanweave.llm.quality import quality_filter, quality_verdicts
+from spanweave.llm.queries import QUERIES
 from spanweave.llm.spans import span_dedup, span_report
 from spanweave.llm.toxicity import toxicity_scores
 from spanweave.llm.urls import alias_edges, url_verdicts
@@ -227,8 +228,8 @@ def test_adjacent_conversations_with_a_prompt_of_several_turns(spark):
     shared = [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "more")]
     talks = {2: [*shared, ("assistant", "yes")], 3: [*shared, ("assistant", "no")], 5: shared, 6: shared}
     turns = spark.createDataFrame([(c, i, *t) for c, x in talks.items() for i, t in enumerate(x)], "conv_id long, turn int, role string, text string")
-    (got,) = preference_pairs(turns, adjacent_pairs(turns)).collect()
-    assert (got.chosen_id, got.rejected_id, got.n_prompt_turns, got.usable) == (2, 3, 4, True)
+    (got,) = preference_pairs(tagged_turns(turns), adjacent_pairs(turns)).collect()
+    assert (tuple(got.chosen_id), tuple(got.rejected_id), got.n_prompt_turns, got.usable) == ((2, False), (3, False), 4, True)
     assert got.prompt == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in shared)
     assert (got.chosen, got.rejected) == tuple(f"<|im_start|>assistant\n{x}<|im_end|>\n" for x in ("yes", "no"))
 
@@ -244,14 +245,33 @@ def test_tracking_parameters_anywhere(spark):
 def test_other_endings(spark):
     talks = {0: [("user", "q"), ("assistant", "a"), ("user", "r"), ("assistant", "b"), ("user", "bye")], 1: [("user", "s"), ("assistant", "c")], 2: [("user", "no answer")], 4: [("assistant", "alone")], 5: [("assistant", None)]}
     turns = spark.createDataFrame([(c, i, *t) for c, x in talks.items() for i, t in enumerate(x)] + [(None, 0, "assistant", "x")], "conv_id long, turn int, role string, text string")
-    both, pairs = other_endings(turns)
-    got = {r.chosen_id: r for r in preference_pairs(both, pairs).collect()}
-    assert {k: (r.rejected_id, r.n_prompt_turns, r.usable) for k, r in got.items()} == {0: (-1, 3, True), 4: (-5, 0, True)}
+    made, pairs = other_endings(turns)
+    got = {r.chosen_id.id: r for r in preference_pairs(tagged_turns(turns).unionByName(made), pairs).collect()}
+    assert {k: (tuple(r.rejected_id), r.n_prompt_turns, r.usable) for k, r in got.items()} == {0: ((0, True), 3, True), 4: ((4, True), 0, True)}
     assert got[0].rejected == "<|im_start|>assistant\nc<|im_end|>\n" and got[0].chosen.endswith("user\nbye<|im_end|>\n")
     assert got[4].rejected == "<|im_start|>assistant\n<|im_end|>\n"
     assert preference_pairs(*other_endings(turns.where("false"))).isEmpty()
 
 
+def test_other_endings_beside_ids_below_zero(spark, tmp_path):
+    """Conversations 4, 5 and -5: what is made from 4 has an id that none of them has."""
+    talks = {4: [("user", "q"), ("assistant", "a")], 5: [("user", "s"), ("assistant", "b")], -5: [("user", "far"), ("assistant", "off")]}
+    turns = spark.createDataFrame([(c, i, *t) for c, x in talks.items() for i, t in enumerate(x)], "conv_id long, turn int, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.chosen_id, r.rejected_id, r.made): r for r in QUERIES["op2_chat_formatting"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {(4, 5, False), (4, 4, True)}
+    assert got[4, 4, True].prompt == "<|im_start|>user\nq<|im_end|>\n" and got[4, 4, True].rejected == "<|im_start|>assistant\nb<|im_end|>\n"
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    """Spans of 40,000 turns are found in linear time."""
+    turns = spark.range(80_000).select((F.col("id") % 2).alias("conv_id"), F.expr("id div 2").alias("turn"), F.when(F.expr("id div 2 % 2 = 1"), "assistant").otherwise("user").alias("role"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    (got,) = preference_pairs(turns, spark.createDataFrame([(0, 1)], "chosen_id long, rejected_id long")).collect()
+    assert got.n_prompt_turns == 0 and len(got.chosen_spans) == len(got.rejected_spans) == 20_000
+    for x in (got.chosen_spans[0], got.chosen_spans[-1]):
+        assert got.chosen[x.start : x.stop].startswith("text ") and got.chosen[: x.start].endswith("assistant\n")
+
+
 @pytest.mark.parametrize("kind", ["date", "decimal(12,0)", "string"])
 def test_near_groups_by_other_ids(spark, kind):
     words = [f"w{i}" for i in range(60)]
