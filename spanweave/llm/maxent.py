@@ -16,10 +16,9 @@ Training is by gradients summed over the corpus.  The gradient of a weight is th
 times that its context meets its member less the number that the model expects; both are whole numbers
 or follow from them, are added up per row over all partitions in a shuffle, and so don't depend on
 how the rows are dealt out.  The step divides by the curvature, in logarithms:
-``RATE * log((observed + PRIOR) / (expected + PRIOR))``.  The first round is over all training documents,
-with weights of zero, where expectations follow from the counts; the next, over all of them or one in ``share``
-by text, draw one expected member for every token from the model's softmax, by a hash of the
-document and the place.  Scoring works on batches of tokens, three rows each.
+``RATE * log((observed + PRIOR) / (expected + PRIOR))``.  Every round is over all training documents.  In the first,
+with weights of zero, expectations follow from the counts; the next draw one expected
+member for every token from the model's softmax, by a hash of the document and the place.  Scoring works on batches of tokens, three rows each.
 """
 
 import numpy as np
@@ -34,8 +33,8 @@ from .text import Words, arrow_map, as_bytes, mixed, release, sliced, small_batc
 FAN, LEVELS, ROW_BITS = 32, 3, (11, 17)
 #: Words whose counts are broadcast, by descending count.
 HEAD_WORDS = 1 << 18
-#: Rounds of training, the documents of each after the first unless the caller says (one of so many), rates and priors of the first and of the others.
-ROUNDS, SHARE, RATE, PRIOR, LATER_RATE, LATER_PRIOR = 2, 2, 0.65, 1.5, 0.5, 16.0
+#: Rounds of training, and rates and priors of the first and of the others (chosen by ``settings.py`` on a split of the training rows).
+ROUNDS, RATE, PRIOR, LATER_RATE, LATER_PRIOR = 2, 0.65, 1.5, 0.5, 16.0
 #: Bound of a weight, and of the logarithm of a share.
 MOST, LEAST_LOG = 18.0, -60.0
 #: Tokens that are worked on at once, bits of the short hashes by which frequent words are found, and words that a worker counts before it sends them on.
@@ -383,14 +382,14 @@ def framed(counts: DataFrame) -> tuple[Frame, int, int, int | None]:
     return Frame(distinct, words[order], c[order], shared), total, distinct, least
 
 
-def lm_scores(docs: DataFrame, train: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) <> 2", text: str = "text", keep: tuple[str, ...] = ("doc_id",), share: int = SHARE) -> DataFrame:
+def lm_scores(docs: DataFrame, train: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) <> 2", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Per row: ``keep``, ``held_out`` (not in the training rows, those of the condition ``train``), ``n_tokens``,
     ``n_known``, ``train_tokens``, ``base_score`` (add-one unigram) and ``score`` (the model's log10 probability of the text).
 
     Tokens are the words without ASCII white space, A-Z lower-cased, and one end; a null or empty text is the
     end alone.  Words are told apart by 64-bit hash.  An empty training set leaves all tokens unknown.
     The counts of words beyond the frequent ones stay distributed and meet the texts in a join.
-    Counts and the first round of training are over all training rows; later rounds over one in ``share`` by text (1: over all too).
+    Counts and every round of training are over all training rows.
     """
     spark = docs.sparkSession
     learned = docs.where(train)
@@ -399,9 +398,8 @@ def lm_scores(docs: DataFrame, train: str = "pmod(crc32(coalesce(cast(doc_id as
     frame = spark.sparkContext.broadcast(know)
     release()
     weights = None
-    for k in range(ROUNDS if total else 0):
-        part = learned if k == 0 or share == 1 else learned.where(F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(share)) == k % share)
-        before, weights = weights, spark.sparkContext.broadcast(trained(part, text, keep, frame, weights))
+    for _ in range(ROUNDS if total else 0):
+        before, weights = weights, spark.sparkContext.broadcast(trained(learned, text, keep, frame, weights))
         if before is not None:
             before.destroy()
     weights = weights or spark.sparkContext.broadcast(np.zeros((know.rows(), FAN), np.float16))
