@@ -62,7 +62,7 @@ def frequencies(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
         total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for key, salt, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                x = np.frombuffer(raw, np.int64)
+                x = np.frombuffer(raw, f"u{len(raw) // PIECE}").astype(np.int64)
                 total[key, salt] = total[key, salt] + x if (key, salt) in total else x
         for (key, salt), x in total.items():
             yield pieced([(key, x)], salt)
@@ -72,12 +72,13 @@ def frequencies(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     salted = counted.repartition("piece", "salt").mapInArrow(add, kind).withColumn("salt", F.lit(0))
     out = np.zeros((CELLS // PIECE, PIECE), np.int64)
     for r in salted.repartition("piece").mapInArrow(add, kind).collect():
-        out[r.piece] = np.frombuffer(r.counts, np.int64)
+        out[r.piece] = np.frombuffer(r.counts, f"u{len(r.counts) // PIECE}")
     return out.ravel()
 
 
 def pieced(pieces: list[tuple[int, np.ndarray]], salt: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], names=["piece", "salt", "counts"])
+    """Pieces of counts as rows, each in the least type that holds it."""
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([salt] * len(pieces), pa.int32()), pa.array([x.astype(np.min_scalar_type(int(x.max()))).tobytes() for _, x in pieces], pa.binary())], names=["piece", "salt", "counts"])
 
 
 class Index:
@@ -143,12 +144,28 @@ class Index:
         return np.concatenate(found)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """Of each of 64 * PARITY bits, whether an odd number of tokens falls on it."""
-    odd = np.bincount((mixed(tokens) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(tokens: np.ndarray, bits: int | None = None) -> bytes:
+    """Of each of so many bits (a power of two; ``64 * PARITY``), whether an odd number of tokens falls on it."""
+    bits = bits or 64 * PARITY
+    odd = np.bincount((mixed(tokens) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def wide_parity(tokens: np.ndarray) -> bytes | None:
+    """As many bits as tokens at least, where the short ones are fewer."""
+    return parity(tokens, 1 << (len(tokens) - 1).bit_length()) if len(tokens) > 64 * PARITY else None
+
+
+def unequal(x: bytes, y: bytes) -> int:
+    """Unequal parity bits of two sets; the longer ones are folded to the shorter."""
+    x, y = (np.frombuffer(b, np.uint64) for b in (x, y))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def may_link(size: np.ndarray, other: int, differing: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes that differ in so many tokens at least may have the similarity of a link."""
     return (100 * np.minimum(size, other) >= percent * np.maximum(size, other)) & ((100 + percent) * differing <= (100 - percent) * (size + other))
@@ -161,25 +178,26 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str, shingle: int, index: Index) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, and for a non-empty set ``digest``, ``bits`` and ``keys``."""
+    """Per row: ``doc_id``, ``n_shingles``, and for a non-empty set ``digest``, ``bits``, ``wide`` (null for a small set) and ``keys``."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def start():
         cache = WordHash()
 
         def step(batch):
-            n, digest, bits, keys = [], [], [], []
+            n, digest, bits, wide, keys = [], [], [], [], []
             for raw in as_bytes(batch.column(1)):
                 found = shingles(cache.array(space_words(raw)), shingle)
                 n.append(len(found))
                 digest.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 bits.append(parity(found) if len(found) else None)
+                wide.append(wide_parity(found))
                 keys.append(index.keys(found).view(np.int64) if len(found) else None)
-            return {"doc_id": batch.column(0), "n_shingles": n, "digest": digest, "bits": bits, "keys": keys}
+            return {"doc_id": batch.column(0), "n_shingles": n, "digest": digest, "bits": bits, "wide": wide, "keys": keys}
 
         return step
 
-    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), start, f"doc_id {kind}, n_shingles long, digest binary, bits binary, keys array<long>")
+    return arrow_map(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), start, f"doc_id {kind}, n_shingles long, digest binary, bits binary, wide binary, keys array<long>")
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
@@ -199,17 +217,25 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataF
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity bits allow."""
-    of = lambda side: classes.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    """The pairs (a, b) that sizes and parity bits allow: the short bits first, the wide ones of what these leave."""
+    return allowed(staged(allowed(pairs, classes.drop("wide"), "bits", percent)), classes.where("wide is not null"), "wide", percent)
+
+
+def allowed(pairs: DataFrame, classes: DataFrame, name: str, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and the bits ``name`` allow; pairs with a side that has none stay."""
+    bits = classes.select("rep", "n_shingles", name)
+    if name == "wide":
+        bits = bits.join(broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+    of = lambda side: bits.toDF(side, f"n_{side}", f"bits_{side}")
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     kind = classes.schema["rep"].dataType.simpleString()
 
     def start():
         def step(batch):
-            n, m = (np.asarray(batch.column(i), np.int64) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
-            keep = pa.array(may_link(n, m, np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), percent), pa.bool_())
-            return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+            n, m, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [None in (p, q) or may_link(np.array([i]), j, np.array([unequal(p, q)]), percent)[0] for i, j, p, q in zip(n, m, x, y, strict=True)]
+            chosen = batch.filter(pa.array(keep, pa.bool_()))
+            return {"a": chosen.column(0), "b": chosen.column(1)}
 
         return step
 
@@ -255,8 +281,12 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
     kind = classes.schema["rep"].dataType.simpleString()
     arrow = pa.schema([("a", id_type(kind)), ("b", id_type(kind))])
 
-    def in_blocks(told: DataFrame, *more: str) -> DataFrame:
-        both = told.join(classes.select("rep", "n_shingles", "bits", "keys"), "rep").select(*COLUMNS, "n_shingles", "bits", *more)
+    def in_blocks(told: DataFrame, *more: str, tokens: DataFrame | None = None) -> DataFrame:
+        """``told`` in blocks, with the columns ``more`` of the classes; only those of classes that are still in question are shuffled."""
+        of = classes.select("rep", "n_shingles", "bits", *more)
+        both = told.join(of if told is all_told else of.join(broadcast_if_small(told.select("rep").distinct()), "rep", "left_semi"), "rep")
+        both = both if tokens is None else both.join(tokens, "rep")
+        both = both.select(*COLUMNS, "n_shingles", "bits", *more, *([] if tokens is None else ["tokens"]))
         return both.repartition(F.col("key"), F.col("block"), F.col("part")).sortWithinPartitions("key", "block", "part")
 
     def likely_rows(batches):
@@ -283,15 +313,18 @@ def apart(members: DataFrame, component_of: DataFrame, classes: DataFrame, docs:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], arrow[i].type) for i in (0, 1)], schema=arrow)
 
-    # What sizes and parity bits leave takes its keys along, by which each pair stays at one key, and what that leaves its full set.
-    asked = narrowed(in_blocks(narrowed(in_blocks(as_member.unionByName(as_query).select(*COLUMNS))), "keys"))
+    # What sizes and short parity bits leave takes its wide ones along, what those leave its keys, by which each pair stays at one key, and the rest its full set.
+    all_told = as_member.unionByName(as_query).select(*COLUMNS)
+    asked = narrowed(in_blocks(all_told))
+    asked = narrowed(in_blocks(asked, "wide"))
+    asked = narrowed(in_blocks(asked, "keys"))
     sets = staged(sets_of(docs, doc_id, text, shingle, staged(asked.select("rep").distinct())))
-    return in_blocks(asked.join(sets, "rep"), "tokens").mapInArrow(linked, f"a {kind}, b {kind}").distinct()
+    return in_blocks(asked, tokens=sets).mapInArrow(linked, f"a {kind}, b {kind}").distinct()
 
 
 def across(group: pa.Table, percent: int):
     """For each asking row of a block, the rows of other components that may be linked with it and, where the rows have their keys, share no lesser one."""
-    keys = group.column("keys") if "keys" in group.column_names else None
+    wide, keys = (group.column(c).to_pylist() if c in group.column_names else None for c in ("wide", "keys"))
     key = group.column(0)[0].as_py()
     rep, component, query, asks, n, bits = (group.column(i).to_pylist() for i in range(3, 9))
     member = np.array([i for i, x in enumerate(asks) if not x], np.int64)
@@ -307,9 +340,11 @@ def across(group: pa.Table, percent: int):
             continue
         differing = np.bitwise_count(parities[fits] ^ np.frombuffer(bits[q], np.uint64)).sum(axis=1, dtype=np.int64)
         near = member[fits[may_link(sizes[fits], n[q], differing, percent)]].tolist()
+        if wide is not None and wide[q]:
+            near = [m for m in near if not wide[m] or may_link(np.array([n[m]]), n[q], np.array([unequal(wide[q], wide[m])]), percent)[0]]
         if keys is not None:
-            own = np.asarray(keys[q].values)
-            near = [m for m in near if key in np.intersect1d(own, np.asarray(keys[m].values))[:1]]
+            own = set(keys[q])
+            near = [m for m in near if min(own.intersection(keys[m]), default=None) == key]
         if near:
             yield q, near
 
@@ -330,7 +365,7 @@ def jaccard_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     valid = table.where("digest is not null and doc_id is not null")
     by_row = staged(valid.groupBy("digest", "doc_id").agg(F.count("*").alias("n")))
     by_digest = staged(by_row.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    classes = valid.select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "bits", "keys").join(broadcast_if_small(by_digest), ["digest", "rep"], "left_semi")
+    classes = valid.select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "bits", "wide", "keys").join(broadcast_if_small(by_digest), ["digest", "rep"], "left_semi")
     if not by_row.where("n > 1").isEmpty():
         classes = classes.dropDuplicates(["digest", "rep"])
     classes = staged(classes.drop("digest"))

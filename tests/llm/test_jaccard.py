@@ -7,7 +7,7 @@ import pytest
 
 from helpers import rows_of
 from spanweave.llm import jaccard
-from spanweave.llm.jaccard import CELLS, Index, frequencies, jaccard_groups, may_link, parity
+from spanweave.llm.jaccard import CELLS, Index, frequencies, jaccard_groups, may_link, parity, unequal
 
 
 def cell(x):
@@ -38,6 +38,7 @@ def test_linked_sets_share_a_key(percent, common):
             assert may_link(np.array([len(x)]), len(y), differing, percent).all()
             bits = np.bitwise_count(np.frombuffer(parity(one), np.uint8) ^ np.frombuffer(parity(two), np.uint8)).sum(dtype=int)
             assert bits <= differing[0]
+            assert unequal(parity(one, 4096), parity(two, 1024)) == bits
     assert linked > 20 or percent == 100
 
 
@@ -93,7 +94,7 @@ def plain(rows, shingle=4, percent=85):
     return sorted(((i, len(x), root(i)) for i, x in sets), key=repr)
 
 
-@pytest.mark.parametrize("settings", [{}, {"PAIRS_FROM": 3, "TRIPLES_FROM": 40, "BLOCK": 8, "QUERIES": 8}, {"PAIRS_FROM": 0, "TRIPLES_FROM": 0}])
+@pytest.mark.parametrize("settings", [{}, {"PAIRS_FROM": 3, "TRIPLES_FROM": 40, "BLOCK": 8, "QUERIES": 8, "PARITY": 1}])
 def test_groups(spark, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(jaccard, name, value)
