@@ -34,15 +34,15 @@ def fits(function, contained, slack, a, b):
     return s < e2 + slack and s2 < e + slack
 
 
-@pytest.mark.parametrize("radix", [2, 64])
+@pytest.mark.parametrize("radix", [4, 64])
 @pytest.mark.parametrize("multiple", ["first", "last"])
 @pytest.mark.parametrize("function", ["overlaps", "overlaps_simple"])
 def test_first_and_last(drawn, monkeypatch, function, multiple, radix):
-    """With blocks of two the tree is eight levels high."""
+    """With blocks of four the tree is four levels high."""
     monkeypatch.setattr(dyadic, "RADIX", radix)
     left, right, x, y = drawn
     pick = min if multiple == "first" else max
-    for contained, slack in ((False, 0), (True, 2)) if radix == 2 else ((False, 0), (False, 5), (True, 0), (True, 3)):
+    for contained, slack in ((False, 0), (True, 2)) if radix == 4 else ((False, 0), (False, 5), (True, 0), (True, 3)):
         want = []
         for a in left:
             met = [(b[2], b[0]) for b in right if a[1] == b[1] and fits(function, contained, slack, a, b)]
