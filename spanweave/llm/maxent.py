@@ -34,7 +34,7 @@ FAN, LEVELS, ROW_BITS = 32, 3, (11, 17)
 #: Words whose counts are broadcast, by descending count.
 HEAD_WORDS = 1 << 18
 #: Rounds of training, and rates and priors of the first and of the others (chosen by ``settings.py`` on a split of the training rows).
-ROUNDS, RATE, PRIOR, LATER_RATE, LATER_PRIOR = 2, 0.65, 1.5, 0.5, 16.0
+ROUNDS, RATE, PRIOR, LATER_RATE, LATER_PRIOR = 2, 0.65, 2.5, 0.5, 32.0
 #: Bound of a weight, and of the logarithm of a share.
 MOST, LEAST_LOG = 18.0, -60.0
 #: Tokens that are worked on at once, bits of the short hashes by which frequent words are found, and words that a worker counts before it sends them on.
