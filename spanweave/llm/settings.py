@@ -18,7 +18,7 @@ LM_ROWS, LM_TRIED = "pmod(crc32(cast(doc_id as string)), 7) <> 2", "pmod(crc32(c
 TOXIC_ROWS, TOXIC_TRIED = "pmod(crc32(cast(doc_id as string)), 5) <> 0", "pmod(crc32(cast(doc_id as string)), 5) = 1"
 #: One setting at a time, the others as they are.
 LM = {"RATE": (0.5, 0.65, 0.8), "PRIOR": (1.5, 2.5, 4.0), "LATER_RATE": (0.35, 0.5, 0.65), "LATER_PRIOR": (16.0, 32.0, 64.0)}
-TOXIC = {"DISCOUNTS": tuple(tuple(f * x for x in (0.05, 0.008, 0.04)) for f in (0.5, 1.0, 2.0)), "PASSAGE": (1, 2, 4, 8)}
+TOXIC = {"DISCOUNTS": tuple(tuple(f * x for x in (0.05, 0.008, 0.04)) for f in (0.5, 1.0, 2.0))}
 
 
 def lm_token_score(docs: DataFrame) -> float:
