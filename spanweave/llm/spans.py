@@ -1,11 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences with ``MIN_WORDS`` words or more counts, and so
-does one sentence of ``LONE_WORDS``.  Such a run is a union of shortest ones, counted from
-each of its sentences forward and backward, and where the run is repeated they
-are, too: so the shortest runs are what is hashed and joined globally.  Sentences
+Every run of several consecutive sentences counts, however short.  Such a run is a union of
+pairs of neighbours, and where the run is repeated they are, too: so the pairs are what is hashed
+and joined globally, and they cover what all runs would.  One sentence of ``LONE_WORDS`` counts
+beside them, for a repeated passage that is a single sentence, or whose other sentences run on into the text around it.  Sentences
 covered by an occurrence other than the first, in the order of document id and
 place, are removed.
+
+Spans are compared by 96 bits of hash: among 10**12 different spans the chance that any two
+are taken for one is below 1e-5.
 """
 
 import re
@@ -19,12 +22,14 @@ from .decontaminate import word_bounds
 from .staging import broadcast_if_small, staged
 from .text import STEP, WordHash, alnum_words, arrow_map, as_bytes, carried, mixed, restored, with_columns
 
-#: Words that a span of several sentences has at least, and one of a single sentence.
-MIN_WORDS, LONE_WORDS = 16, 25
+#: Words that a span of a single sentence has at least.
+LONE_WORDS = 25
 #: A word of more bytes than this (writing without spaces) counts once for every half of it.
 LONG_WORD = 24
 #: A sentence ends after stops before white space (those of Arabic, Urdu and Hindi, too), after full-width stops, and after a line break.
 SENTENCE_END = re.compile(rb"(?:[.!?]|\xd8\x9f|\xdb\x94|\xe0\xa5\xa4)+(?=\s)[ \t]*\n?|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+[ \t]*\n?|\n")
+#: Full-width stops, which end a sentence but not a word.
+FULL_STOPS = re.compile(rb"((?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f)+)")
 #: A second odd multiplier, and the inverses of both modulo 2**64.
 STEP_2 = np.uint64(0xD6E8FEB86659FD93)
 INVERSE, INVERSE_2 = (np.uint64(pow(int(x), -1, 1 << 64)) for x in (STEP, STEP_2))
@@ -46,20 +51,20 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def runs(ends: np.ndarray) -> np.ndarray:
-    """(first, past last) sentence of each distinct span, from the number of words up to each sentence's end."""
-    upto = np.concatenate(([0], ends))
+    """(first, past last) sentence of each span, in their order, from the number of words up to each sentence's end."""
     n = len(ends)
-    rows = np.arange(n)
-    stop = np.maximum(np.searchsorted(upto, upto[:-1] + MIN_WORDS, "left"), rows + 2)
-    first = np.minimum(np.searchsorted(upto, upto[1:] - MIN_WORDS, "right"), rows) - 1
-    lone = rows[np.diff(upto) >= LONE_WORDS]
-    pairs = np.concatenate((np.stack((rows, stop), 1)[stop <= n], np.stack((first, rows + 1), 1)[first >= 0], np.stack((lone, lone + 1), 1)))
-    packed = np.unique(pairs[:, 0] << 32 | pairs[:, 1])
-    return np.stack((packed >> 32, packed & 0xFFFFFFFF), 1)
+    lone = np.flatnonzero(np.diff(ends, prepend=0) >= LONE_WORDS)
+    two = np.arange(max(n - 1, 0))
+    first, stop = np.concatenate((two, lone)), np.concatenate((two + 2, lone + 1))
+    order = np.lexsort((stop, first))
+    return np.stack((first[order], stop[order]), 1)
 
 
 def spans_of(raw: bytes, cache: WordHash, power: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64 and 32 bits of the hash of each span's words, and its sentences."""
+    # A space after them, which the sentence takes, keeps words within sentences.
+    if b"\xe3\x80\x82" in raw or b"\xef\xbc" in raw:
+        raw = FULL_STOPS.sub(rb"\1 ", raw)
     words = alnum_words(raw)
     starts, stops = word_bounds(raw)
     upto = np.searchsorted(starts, sentence_ends(raw), "left")
