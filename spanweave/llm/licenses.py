@@ -1,8 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
 A block is a line, and also what lies around a wrap: the last words of a line and the first ones of the
-lines that go on from it, on each side twice as many as the largest template has.  A line goes on if it has
-``WRAPPED`` characters and the next one has words; a shorter line ends what it closes.
+lines after it, on each side twice as many as the largest template has.  Lines of any width go on, up to one without
+words, so a notice within a paragraph is in some block however narrow its lines are.
 A block meets a template if it holds at least ``PERCENT`` percent of the template's distinct words.  Words are ordered by how many blocks hold them over the whole
 corpus, rarest first.  A block that shares enough words with a template shares
 one of the template's first ``size - needed + 1`` words (prefix filter), has at
@@ -40,18 +40,20 @@ TEMPLATES = {
 }
 #: Share of a template's words that a block needs, in percent.
 PERCENT = 90
-#: Characters of a line from which the next line goes on with its text.
-WRAPPED = 24
+#: Bytes of template words up to which their table is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def prefix_table(docs: DataFrame, templates: dict[str, str], order: list[str], needed: dict[str, int]) -> DataFrame:
     """The prefix of each template: ``word`` and its place ``i`` from 1 in the global order, with the template's ``label``, ``tokens``, ``size`` and ``needed``."""
+    place = {w: i for i, w in enumerate(order)}
     rows = []
     for text, label in templates.items():
-        tokens = sorted(set(text.split()), key=order.index)
+        tokens = sorted(set(text.split()), key=place.__getitem__)
         for i, word in enumerate(tokens[: len(tokens) - needed[text] + 1]):
             rows.append((word, i + 1, label, tokens, len(tokens), needed[text]))
-    return docs.sparkSession.createDataFrame(rows, "word string, i int, label string, tokens array<string>, size int, needed int")
+    made = docs.sparkSession.createDataFrame(rows, "word string, i int, label string, tokens array<string>, size int, needed int")
+    return F.broadcast(made) if sum(len(w.encode()) + 16 for r in rows for w in r[3]) <= BROADCAST_BYTES else made
 
 
 def words_of(text: Column) -> Column:
@@ -59,8 +61,8 @@ def words_of(text: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """For each line of a lower-cased text its ``words`` and whether it ``goes_on`` by its length."""
-    return F.transform(F.split(text, "\n"), lambda x: F.struct(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)).alias("words"), (F.length(x) >= WRAPPED).alias("goes_on")))
+    """The words of each line of a lower-cased text."""
+    return F.transform(F.split(text, "\n"), lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
 
 
 def possible(docs: DataFrame, templates: dict[str, str], needed: dict[str, int]) -> DataFrame:
@@ -84,32 +86,31 @@ def blocks_of(lines: Column, order: list[str], least: int, around: int) -> Colum
     def more(done: Column, line: Column) -> Column:
         taken = done["open"] & (F.size(done["words"]) < around)
         return F.struct(
-            F.when(taken, F.concat(done["words"], F.slice(line["words"], F.lit(1), F.lit(around)))).otherwise(done["words"]).alias("words"),
-            (taken & line["goes_on"] & (F.size(line["words"]) > 0)).alias("open"),
+            F.when(taken, F.concat(done["words"], F.slice(line, F.lit(1), F.lit(around)))).otherwise(done["words"]).alias("words"),
+            (taken & (F.size(line) > 0)).alias("open"),
         )
 
     def wrap(line: Column, i: Column) -> Column:
-        before = F.slice(line["words"], F.greatest(F.size(line["words"]) - around, F.lit(0)) + 1, F.lit(around))
+        before = F.slice(line, F.greatest(F.size(line) - around, F.lit(0)) + 1, F.lit(around))
         after = F.aggregate(F.slice(lines, i + 2, F.lit(around)), F.struct(none.alias("words"), F.lit(True).alias("open")), more)["words"]
-        return F.when(line["goes_on"] & (F.size(line["words"]) > 0) & (F.size(after) > 0), F.array_intersect(known, F.concat(before, F.slice(after, F.lit(1), F.lit(around)))))
+        return F.when((F.size(line) > 0) & (F.size(F.get(lines, i + 1)) > 0), F.array_intersect(known, F.concat(before, F.slice(after, F.lit(1), F.lit(around)))))
 
-    sets = F.concat(F.transform(lines, lambda x: F.array_intersect(known, x["words"])), F.transform(lines, wrap))
+    sets = F.concat(F.transform(lines, lambda x: F.array_intersect(known, x)), F.transform(lines, wrap))
     return F.filter(sets, lambda x: F.size(x) >= least)
 
 
-def places(text: Column, phrase: str) -> Column:
-    """Starts, in words, of a phrase in a text of words with single spaces around each."""
-    first = F.lit(f" {phrase} ")
-    words = len(phrase.split())
-    # Split by the phrase with an overlapping space: the words before each cut are those of the pieces so far.
-    pieces = F.split(F.regexp_replace(text, f" {phrase}(?= )", "\n"), "\n")
-    counts = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x: F.size(F.array_remove(F.split(x, " "), "")))
-    starts = F.aggregate(
-        counts,
-        F.array().cast("array<int>"),
-        lambda done, n: F.concat(done, F.array(F.when(F.size(done) > 0, F.element_at(done, -1) + words + n).otherwise(n))),
-    )
-    return F.when(F.contains(text, first), starts).otherwise(F.array().cast("array<int>"))
+def places(words: Column, spaced: Column, phrase: str) -> Column:
+    """Starts of a phrase in ``words``, by one look at each; none is looked at where the phrase isn't in ``spaced``, the words with single spaces around each."""
+    parts = phrase.split()
+
+    def start(word: Column, i: Column) -> Column:
+        here = word == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            here = here & (F.get(words, i + k) == part)
+        return F.when(here, i)
+
+    starts = F.filter(F.transform(words, start), lambda x: x.isNotNull())
+    return F.when(F.contains(spaced, F.lit(f" {phrase} ")), starts).otherwise(F.array().cast("array<int>"))
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
@@ -118,7 +119,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     and ``score``: 1 with a base phrase, else the largest matched share of a template, else 0.
 
     Null counts as the empty text: no words, no places, empty labels.  Repeated rows give repeated results.
-    Templates are a fixed small table and are broadcast; word frequencies are one row per template word.
+    The prefixes of templates are broadcast up to ``BROADCAST_BYTES``, and joined by a shuffle beyond; word frequencies are one row per template word.
     Rows are kept apart by a number of their own, under which the matches of a row are combined before the one shuffle.
     """
     whole = F.coalesce("text", F.lit(""))
@@ -137,7 +138,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     worded = possible(marked, templates, needed).select("doc_id", "row", words_of(F.col("text")).alias("words"), "lines")
     worded = worded.select("doc_id", "row", "words", blocks_of(F.col("lines"), order, least, around).alias("blocks"))
     spaced = worded.withColumn("spaced", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    found = [places(F.col("spaced"), p) for p in phrases]
+    found = [places(F.col("words"), F.col("spaced"), p) for p in phrases]
     based = spaced.select(
         "doc_id",
         "row",
@@ -156,7 +157,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     )
     each = base.select("doc_id", "row", "n_words", "starts", "base", F.explode_outer("blocks").alias("block"))
     tokens = each.select("*", F.posexplode_outer("block").alias("j", "word"))
-    met = tokens.join(F.broadcast(prefixes), "word", "left")
+    met = tokens.join(prefixes, "word", "left")
     room = F.col("needed") <= 1 + F.least(F.col("size") - F.col("i"), F.size("block") - 1 - F.col("j"))
     shared = F.size(F.array_intersect("block", "tokens"))
     matched = met.withColumn("share", F.when(room & (F.size("block") >= F.col("needed")) & (shared >= F.col("needed")), shared / F.col("size")))

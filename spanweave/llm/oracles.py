@@ -1,7 +1,7 @@
 """SQL that gives the rows of the queries that SQL can express (DuckDB)."""
 
 from .licenses import PERCENT, PHRASES, TEMPLATES
-from .quality import FLOORS, LENGTH_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, MIN_WORDS, SPREAD, TOP
+from .quality import BITS, FLOORS, MAX_REPEAT_PERCENT, MIN_WORDS, NOISE, PRIOR, SPREAD
 from .urls import CANONICAL, HREF, REFRESH, RULES
 
 UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
@@ -36,13 +36,19 @@ from d left join c using (r) left join n using (r)"""
 def license_sql() -> str:
     starts = [f"list_filter(generate_series(1, len(w)), lambda p: w[p : p + {len(p.split()) - 1}] = {listed(p)})" for p in PHRASES]
     base = ", ".join(f"case when len({x}) > 0 then {quoted(label)} end" for x, label in zip(starts, PHRASES.values(), strict=True))
-    met = []
+    met, around = [], 1
     for text, label in TEMPLATES.items():
         tokens = sorted(set(text.split()))
+        around = max(around, 2 * len(text.split()))
         met.append(f"select r, {quoted(label)} as label, len(list_intersect(b, {listed(' '.join(tokens))})) / {float(len(tokens))}::double as share, {max(1, -(-PERCENT * len(tokens) // 100))} / {float(len(tokens))}::double as least from b")
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all({lower("coalesce(text, '')")}, {ALNUM}) as w from documents),
-b as (select r, list_distinct(regexp_extract_all(l, {ALNUM})) as b from (select r, unnest(string_split({lower("t")}, chr(10))) as l from d)),
+l as (select r, unnest(generate_series(1, len(l))) as i, unnest(list_transform(l, lambda x: regexp_extract_all(x, {ALNUM}))) as w from (select r, string_split({lower("t")}, chr(10)) as l from d)),
+p as (select *, count(*) filter (len(w) = 0) over (partition by r order by i) as p from l),
+q as (select *, cast(sum(len(w)) over (partition by r, p order by i) as bigint) as stop from p where len(w) > 0),
+g as (select r, p, flatten(list(w order by i)) as words from q group by r, p),
+b as (select r, list_distinct(w) as b from l union all
+  select r, list_distinct(words[stop - least(len(w), {around}) + 1 : stop + {around}]) from q join g using (r, p) where stop < len(words)),
 m as (select r, list(distinct label) as more, max(share) as share from ({" union all ".join(met)}) where share >= least group by r),
 x as (select r, doc_id, len(w) as n, list_concat({", ".join(starts)}) as starts, list_filter([{base}], lambda x: x is not null) as base from d)
 select doc_id, cast(n as bigint) as n_words, cast(len(starts) as bigint) as n_base, list_min(starts) - 1 as first_word, list_max(starts) - 1 as last_word,
@@ -74,16 +80,20 @@ from v left join s using (node)"""
 
 
 def quality_sql() -> str:
-    share = lambda a, b, unit: f"least({TOP}, case when {b} > 0 then {unit} * {a} // {b} else 0 end)"
-    pairs = " union all ".join(f"select l, s, {quoted(k)} as share, {k} as value from x where not base_failed and {k} is not null" for k in FLOORS)
+    share = lambda a, b, unit: f"case when {b} > 0 then {unit} * {a} // {b} else 0 end"
+    pairs = " union all ".join(f"select l, s, {quoted(k)} as share, ({k} >> greatest(len(bin({k})) - {BITS}, 0)) << greatest(len(bin({k})) - {BITS}, 0) as value from x where not base_failed" for k in FLOORS)
     floor = " ".join(f"when {quoted(k)} then {v}" for k, v in FLOORS.items())
 
-    def level(name: str, by: str, least: int) -> str:
+    noise = " ".join(f"when {quoted(k)} then {v}" for k, v in NOISE.items())
+
+    def level(name: str, by: str) -> str:
         keys = f"{by}, share" if by else "share"
         return f"""{name}_c as (select {keys}, value, count(*) as n from k group by {keys}, value),
 {name}_u as (select *, sum(n) over (partition by {keys} order by value) as upto, sum(n) over (partition by {keys}) as total from {name}_c),
-{name}_q as (select {keys}, min(value) filter (upto * 4 >= total) as q1, min(value) filter (upto * 4 >= total * 3) as q3, max(total) as docs from {name}_u group by {keys}),
-{name} as (select {keys}, q3 + {SPREAD} * greatest(q3 - q1, case share {floor} end) as fence from {name}_q where docs >= {least})"""
+{name} as (select {keys}, min(value) filter (upto * 4 >= total) as q1, min(value) filter (upto * 4 >= total * 3) as q3, max(total) as n from {name}_u group by {keys})"""
+
+    def drawn(q: str, group: str, parent: str) -> str:
+        return f"(coalesce({group}.n * {group}.{q}, 0) + {PRIOR} * {parent}) // (coalesce({group}.n, 0) + {PRIOR})"
 
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as l, coalesce(source, '') as s, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), {SPACED}) as w from documents),
@@ -94,14 +104,14 @@ rp as (select r, count(distinct q) as n_repeat_words from (select r, unnest(gene
 m as (select r, doc_id, l, s, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
   coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from d left join ln using (r) left join rp using (r)),
 x as (select *, {share("n_symbols", "n_words", 1000)} as symbol_share, {share("n_dup_lines", "n_lines", 1000)} as dup_line_share, {share("n_repeat_words", "n_words", 1000)} as repeat_share,
-  case when n_words >= {LENGTH_WORDS} then {share("word_chars", "n_words", 100)} end as word_length, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from m),
+  {share("word_chars", "n_words", 100)} as word_length, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from m),
 k as ({pairs}),
-{level("fo", "l, s", MIN_GROUP)},
-{level("fl", "l", MIN_GROUP)},
-{level("fa", "", 0)},
-f as (select x.r, y.share, coalesce(fo.fence, fl.fence, fa.fence) as fence from x cross join (select unnest([{", ".join(quoted(k) for k in FLOORS)}]) as share) y
+{level("fo", "l, s")},
+{level("fl", "l")},
+{level("fa", "")},
+f as (select x.r, y.share, {drawn("q1", "fo", drawn("q1", "fl", "fa.q1"))} as q1, {drawn("q3", "fo", drawn("q3", "fl", "fa.q3"))} as q3 from x cross join (select unnest([{", ".join(quoted(k) for k in FLOORS)}]) as share) y
   left join fo on fo.l = x.l and fo.s = x.s and fo.share = y.share left join fl on fl.l = x.l and fl.share = y.share left join fa on fa.share = y.share),
-z as (select r, bool_or(coalesce(case share {" ".join(f"when {quoted(k)} then {k}" for k in FLOORS)} end > fence, false)) as beyond from x join f using (r) group by r)
+z as (select r, bool_or(coalesce((case share {" ".join(f"when {quoted(k)} then {k}" for k in FLOORS)} end - q3) * n_words > {SPREAD} * greatest(q3 - q1, case share {floor} end) * (n_words + case share {noise} else 0 end), false)) as beyond from x join f using (r) group by r)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or beyond) as kept from x join z using (r)"""
 
 

@@ -95,7 +95,7 @@ def test_licenses(spark, odd):
     docs = spark.createDataFrame([(1, "x MIT License, mit license!\nsee cc by"), (2, "released under the\nMIT license"), (3, "Released (under) THE mit-LICENSE")], "doc_id long, text string")
     got = by_id(license_scan(docs))
     assert tuple(got[1][0])[1:6] == (8, 3, 1, 6, "cc-by,mit")
-    assert got[2][0].labels == "mit" and got[3][0].labels == "mit,mit-notice"
+    assert got[2][0].labels == got[3][0].labels == "mit,mit-notice"
     assert license_scan(docs.where("false")).isEmpty()
 
 
@@ -137,6 +137,24 @@ def test_quality(odd):
     assert got[1][0].base_failed and not got[1][0].kept and got[4][0].n_repeat_words == 15000
     assert quality_filter(odd).columns == odd.columns
     assert quality_filter(odd).isEmpty() and quality_filter(odd.where("false")).isEmpty()
+    prose = odd.sparkSession.createDataFrame([(i, " ".join(f"w{i * 7 + j}" for j in range(30))) for i in range(5)], "doc_id long, text string")
+    assert quality_filter(prose).columns == prose.columns and quality_filter(prose).count() == 5
+    assert quality_verdicts(prose.withColumn("lang", F.lit(3))).where("kept").count() == 5
+
+
+def test_fences_of_small_groups_and_large_shares(spark):
+    """A small group is judged mostly by its language, with its own share in it; values of any size keep their order."""
+    usual = [(i, "en", "a", " ".join(f"w{i}x{j}" for j in range(40)) + " #" * (i % 3)) for i in range(400)]
+    few = [(1000 + i, "en", "b", " ".join(f"v{i}x{j}" for j in range(40)) + "".join(" " + "#" * (5 + j) for j in range(5))) for i in range(3)]
+    odd_ones = [(2000, "en", "a", " ".join(f"u{j}" for j in range(40)) + " " + "#" * 9000), (2001, "zz", None, " ".join("\u3042" * 200 + str(j) for j in range(12)))]
+    docs = spark.createDataFrame(usual + few + odd_ones, "doc_id long, lang string, source string, text string")
+    got = {r.doc_id: r for r in quality_verdicts(docs).collect()}
+    assert got[2000].symbol_share == 1000 * 9000 // 41 and got[2001].word_length > 20_000
+    kept = {i for i, r in got.items() if r.kept}
+    # The mean of 12 words counts for 12/62 of its distance, which is still far out.
+    assert kept == set(range(400)) and not any(got[i].base_failed for i in (1000, 2000, 2001))
+    many = spark.createDataFrame([(i, "en", "b", t) for i, (_, _, _, t) in enumerate(few * 400)], docs.schema)
+    assert quality_filter(many.unionByName(docs)).where("source = 'b'").count() == 1203
 
 
 def test_spans(odd):
@@ -209,10 +227,18 @@ def test_licenses_over_wrapped_lines(spark):
         "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU\n# General Public License as published",
         "Permission is hereby granted, free of charge, to any person obtaining a copy\n\nof this software",
         "Permission is hereby granted, free of charge,\nno\nto any person obtaining a copy of this software",
+        "Permission is hereby\ngranted, free of\ncharge, to any\nperson obtaining a\ncopy of this\nsoftware",
+        "\n".join("permission is hereby granted free of charge to any person obtaining a copy of this software".split()),
     ]
     got = by_id(license_scan(spark.createDataFrame(list(enumerate(notices)), "doc_id long, text string")))
-    assert [got[i][0].labels for i in range(5)] == ["mit-notice", "bsd", "gpl,gpl-notice", "", ""]
-    assert got[0][0].score == got[1][0].score == 1.0
+    assert [got[i][0].labels for i in range(7)] == ["mit-notice", "bsd", "gpl,gpl-notice", "", "mit-notice", "mit-notice", "mit-notice"]
+    assert got[0][0].score == got[1][0].score == got[5][0].score == 1.0
+
+
+def test_places_of_many_phrases(spark):
+    texts = [" mit license" * 20_000, "mit mit license license cc by by", "cc\nby"]
+    got = by_id(license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(got[i][0].n_base, got[i][0].first_word, got[i][0].last_word) for i in range(3)] == [(20_000, 0, 39_998), (2, 1, 4), (1, 0, 0)]
 
 
 def test_aliases_of_all_forms(spark):
