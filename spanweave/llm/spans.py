@@ -1,9 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-Every run of several consecutive sentences counts, however short.  Such a run is a union of
-pairs of neighbours, and where the run is repeated they are, too: so the pairs are what is hashed
-and joined globally, and they cover what all runs would.  One sentence of ``LONE_WORDS`` counts
-beside them, for a repeated passage that is a single sentence, or whose other sentences run on into the text around it.  Sentences
+Every run of ``SEVERAL`` or more consecutive sentences counts, however short.  Such a run is a union of
+runs of just as many, and where it is repeated they are, too: so these are what is hashed
+and joined globally, and they cover what all runs would.  Two sentences of ``PAIR_WORDS`` together and one of ``LONE_WORDS`` count
+beside them, for a repeated passage of few sentences, or whose other sentences run on into the text around it.  Shorter
+pairs are phrases that many unrelated documents share, and stay.  Sentences
 covered by an occurrence other than the first, in the order of document id and
 place, are removed.
 
@@ -22,8 +23,8 @@ from .decontaminate import word_bounds
 from .staging import broadcast_if_small, staged
 from .text import STEP, WordHash, alnum_words, arrow_map, as_bytes, carried, mixed, restored, with_columns
 
-#: Words that a span of a single sentence has at least.
-LONE_WORDS = 25
+#: Sentences of a run that counts whatever its length, and the words from which two and one do.
+SEVERAL, PAIR_WORDS, LONE_WORDS = 3, 16, 25
 #: A word of more bytes than this (writing without spaces) counts once for every half of it.
 LONG_WORD = 24
 #: A sentence ends after stops before white space (those of Arabic, Urdu and Hindi, too), after full-width stops, and after a line break.
@@ -53,9 +54,10 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 def runs(ends: np.ndarray) -> np.ndarray:
     """(first, past last) sentence of each span, in their order, from the number of words up to each sentence's end."""
     n = len(ends)
-    lone = np.flatnonzero(np.diff(ends, prepend=0) >= LONE_WORDS)
-    two = np.arange(max(n - 1, 0))
-    first, stop = np.concatenate((two, lone)), np.concatenate((two + 2, lone + 1))
+    upto = np.concatenate(([0], ends))
+    some = [np.arange(max(n - SEVERAL + 1, 0)), np.flatnonzero(upto[2:] - upto[:-2] >= PAIR_WORDS), np.flatnonzero(np.diff(upto) >= LONE_WORDS)]
+    first = np.concatenate(some)
+    stop = first + np.repeat((SEVERAL, 2, 1), [len(x) for x in some])
     order = np.lexsort((stop, first))
     return np.stack((first[order], stop[order]), 1)
 

@@ -19,7 +19,7 @@ from spanweave.llm import maxent, toxicity
 from spanweave.llm.maxent import lm_scores
 from spanweave.llm.near import near_groups
 from spanweave.llm.queries import QUERIES
-from spanweave.llm.spans import LONE_WORDS, LONG_WORD, span_report
+from spanweave.llm.spans import LONE_WORDS, LONG_WORD, PAIR_WORDS, SEVERAL, span_report
 from spanweave.llm.urls import url_verdicts
 from spanweave.llm.text import BASE, BYTES, alnum_words, space_words
 
@@ -102,10 +102,10 @@ def span_cuts(rows):
         spoken = [k for k, w in enumerate(words) if w]
         for a in range(len(spoken)):
             n = 0
-            # All runs, not only the pairs, of up to a few sentences.
+            # All runs, not only the shortest, of up to a few sentences.
             for b in range(a, min(len(spoken), a + 24)):
                 n += size[spoken[b]]
-                if b > a or n >= LONE_WORDS:
+                if sum(map(bool, words[spoken[a] : spoken[b] + 1])) >= SEVERAL or n >= (PAIR_WORDS if b > a else LONE_WORDS):
                     run = range(spoken[a], spoken[b] + 1)
                     found.setdefault(tuple(w for x in run for w in words[x]), []).append((i, run))
     cut = collections.defaultdict(set)
@@ -127,7 +127,7 @@ def test_spans(spark, folder, texts):
 
 
 def test_short_runs_of_sentences(spark):
-    texts = ["One came. Two went home. Three stayed there for long. Other end.", "A start. One came. Two went home. Three stayed there for long. All else.", "Two went home. Then nothing. One came. Three stayed there for long."]
+    texts = ["One came. Two went home. Three stayed there for long. Other end.", "A start. One came. Two went home. Three stayed there for long. All else.", "Two went home. Then nothing. One came. Two went home."]
     split, cut = span_cuts(list(enumerate(texts)))
     got = {r.doc_id: r for r in span_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert {i: got[i].n_removed for i in got} == {i: len(cut[i]) for i in split} == {0: 0, 1: 3, 2: 0}
